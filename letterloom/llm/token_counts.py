@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from letterloom.llm.common import text_batches
-from letterloom.llm.tokens import PartEncoder, keeps_space, load
+from letterloom.llm.tokens import PartEncoder, PartLibrary, keeps_space, load
 
 #: The public pre-token pattern of byte-level vocabularies (a fixed value of that file format).
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -41,13 +41,14 @@ def count_encoder(vocabulary: str, proved: frozenset[str]) -> PartEncoder:
     if not keeps_space(tok):
         raise ValueError("the shortcut is proved for byte-level vocabularies only")
     added = [t.content for t in tok.get_added_tokens_decoder().values()]
+    library = PartLibrary(tok)
     merged: dict[str, int] = {}
 
     def merge(strings: list[str]) -> None:
         if len(merged) > 500_000:
             merged.clear()
         new = list({s for s in strings if s not in merged})
-        merged.update(zip(new, (len(e.ids) for e in tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        merged.update(zip(new, (len(ids) // 4 for ids in library(new)), strict=True))
 
     def count(strings: list[str]) -> list[int]:
         rest: list[list[str]] = []
