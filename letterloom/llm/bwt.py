@@ -6,9 +6,10 @@ import numpy as np
 
 
 def transform(strings: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, string numbers, offsets) of a shard: rotations of each string closed by an end mark, sorted by ``depth`` symbols.
+    """(symbol pairs, string numbers, offsets) of a shard: rotations of each string closed by an end mark, sorted by ``depth`` symbols.
 
-    Symbols are bytes plus one and 0 for the end mark; UTF-8 has no byte 255. Strings must have ``depth`` bytes at least.
+    Symbols are bytes plus one and 0 for the end mark; UTF-8 has no byte 255. A pair holds the symbol before a
+    rotation in its low byte and the one before that in its high byte. Strings must have ``depth`` bytes at least.
     """
     sizes = np.array([len(s) for s in strings], np.int64)
     # each string, its end mark and its beginning again, so that every rotation's prefix is at hand
@@ -19,27 +20,30 @@ def transform(strings: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray,
     at = begins[number] + offset
     keys = np.lib.stride_tricks.sliding_window_view(data, depth)[at]
     order = np.argsort(np.ascontiguousarray(keys).view(f"S{depth}").ravel(), kind="stable")
-    before = np.where(offset == 0, sizes[number], offset - 1)
-    symbols = data[begins[number] + before][order]
-    return symbols, number[order], offset[order]
+    number, offset = number[order], offset[order]
+    begin, size = begins[number], sizes[number]
+    before = np.where(offset > 0, offset - 1, size)
+    further = np.where(before > 0, before - 1, size)
+    return data[begin + before] | data[begin + further].astype(np.uint16) << np.uint16(8), number, offset
 
 
 def merge(left: np.ndarray, right: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleave two transforms so that rotations stand in the order of ``depth`` symbols; nothing is sorted anew.
 
     Starts with all of ``left`` before all of ``right``. One round reads the interleaved symbols and deals their
-    sources out by symbol, in order: that sorts by one symbol more, as each rotation moves to where the
-    rotation one symbol longer stands. Where neighbours part, in the symbol or in what they were dealt from, a
-    block of common prefixes ends. Returns (source: False for left, block number) in the final order.
+    sources out by symbol, in order: that sorts by what was read more, as each rotation moves to where the longer
+    rotation stands. A round takes two symbols, a last one the odd symbol. Where neighbours part, in the symbols or
+    in what they were dealt from, a block of common prefixes ends. Returns (source: False for left, block number)
+    in the final order.
     """
     source = np.zeros(len(left) + len(right), bool)
     source[len(left) :] = True
     block = np.zeros(len(source), np.int32)
-    symbols = np.empty(len(source), np.uint8)
+    symbols = np.empty(len(source), np.uint16)
     new = np.ones(len(source), bool)
-    for _ in range(depth):
-        symbols[source] = right
-        symbols[~source] = left
+    for mask in [0xFFFF] * (depth // 2) + [0xFF] * (depth % 2):
+        symbols[source] = right & np.uint16(mask)
+        symbols[~source] = left & np.uint16(mask)
         order = np.argsort(symbols, kind="stable")
         source, dealt, block = source[order], symbols[order], block[order]
         np.not_equal(dealt[1:], dealt[:-1], out=new[1:])
@@ -55,7 +59,7 @@ def repeated_minima(strings: list[bytes], values: np.ndarray, depth: int) -> lis
     """
     half = len(strings) // 2
     shards = [strings[:half], strings[half:]] if half else [strings, []]
-    parts = [transform(s, depth) if s else (np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)) for s in shards]
+    parts = [transform(s, depth) if s else (np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)) for s in shards]
     source, block = merge(parts[0][0], parts[1][0], depth)
     number, offset = np.empty(len(source), np.int64), np.empty(len(source), np.int64)
     for here, (_, n, o), first in ((~source, parts[0], 0), (source, parts[1], half)):

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +50,24 @@ def _windows(data: np.ndarray, size: int, combine) -> np.ndarray:
     return out
 
 
+#: Bytes whose runs are found at once; keeps the arrays in a core's cache.
+CHUNK_BYTES = 64_000
+
+
 def keyed_runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text number, start, number of strings, key) of runs of ``length``-byte strings with one key, in order."""
+    parts, begin, size = [], 0, 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= CHUNK_BYTES or k + 1 == len(texts):
+            text, *rest = _runs_of_chunk(texts[begin : k + 1], length)
+            parts.append((text + begin, *rest))
+            begin, size = k + 1, 0
+    return tuple(map(np.concatenate, zip(*parts, strict=True))) if parts else _runs_of_chunk([], length)
+
+
+def _runs_of_chunk(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``keyed_runs``, of few texts."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     if len(data) < length:
@@ -144,11 +161,12 @@ def _keys_of_documents(docs: DataFrame, length: int, n: int) -> DataFrame:
 
 
 def _segments(docs: DataFrame, length: int, n: int) -> DataFrame:
-    """Segments of each batch's documents (doc_id, text, keys) under shared keys, distinct ones once, packed by bucket."""
+    """Segments of each batch's documents (_key, text, text_hash, keys and others) under shared keys, distinct ones once, packed by bucket."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shrink = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            ids, hashes, lists = batch.column("doc_id").to_numpy(), batch.column("text_hash").to_numpy(), batch.column("keys")
+            ids, hashes, lists = batch.column("_key").to_numpy(), batch.column("text_hash").to_numpy(), batch.column("keys")
             for begin, strings in text_batches(batch.column("text"), 1_500_000):
                 texts = [t.encode() for t in strings]
                 text, start, count, key = keyed_runs(texts, length)
@@ -173,8 +191,8 @@ def _segments(docs: DataFrame, length: int, n: int) -> DataFrame:
                     own = begin + text[runs]
                     out.append((b, np.array(keys, "<u8").tobytes(), np.array([len(x) for x in strings_], "<u4").tobytes(), b"".join(strings_), np.array(which, "<u4").tobytes(), ids[own].astype("<i8").tobytes(), hashes[own].astype("<i8").tobytes(), start[runs].astype("<u4").tobytes()))
                 if out:
-                    columns = list(zip(*out, strict=True))
-                    yield pa.record_batch([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", *_PACKED])
+                    bucket, *columns = zip(*out, strict=True)
+                    yield pa.record_batch([pa.array(bucket, pa.int32()), *(pa.array(list(map(shrink, c)), pa.binary()) for c in columns)], names=["bucket", *_PACKED])
 
     return docs.mapInArrow(pack, "bucket int, " + ", ".join(f"{c} binary" for c in _PACKED))
 
@@ -217,8 +235,10 @@ def _spans_of_bucket(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple, int] = {}
         which, docs, hashes, starts = [], [], [], []
+        grow = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for keys, sizes, text, w, d, h, s in zip(*(batch.column(c).to_pylist() for c in _PACKED), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in _PACKED), strict=True):
+                keys, sizes, text, w, d, h, s = map(grow, row)
                 ends = np.cumsum(np.frombuffer(sizes, "<u4")).tolist()
                 own = np.array([known.setdefault((k, text[a:b]), len(known)) for k, a, b in zip(np.frombuffer(keys, "<u8").tolist(), [0, *ends[:-1]], ends, strict=True)], np.int64)
                 which.append(own[np.frombuffer(w, "<u4")])
@@ -264,13 +284,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = docs.sparkSession
     n = partitions(spark)
     docs = docs.drop("text_hash", "spans").withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "text_hash").where("doc_id is not null and octet_length(text) >= " + str(length))
-    shared = _keys_of_documents(texts.select("doc_id", "text"), length, n).groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
-    shared = written(shared, "shared-keys")
-    segments = _segments(texts.join(shared.hint("shuffle_hash"), "doc_id"), length, n)
+    docs = docs.withColumn("_key", F.col("doc_id").cast("long"))
+    long_enough = F.col("_key").isNotNull() & (F.octet_length(F.coalesce("text", F.lit(""))) >= length)
+    texts = docs.where(long_enough)
+    shared = _keys_of_documents(texts.select(F.col("_key").alias("doc_id"), "text"), length, n).groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+    shared = written(shared, "shared-keys").withColumnRenamed("doc_id", "_key")
+    # both joins read the same shuffle of the texts: nothing is selected before it, so the plans agree
+    segments = _segments(texts.join(shared.hint("shuffle_hash"), "_key"), length, n)
     spans = _deal(segments, n).mapInArrow(_spans_of_bucket(length), _SPAN)
-    spans = written(spans.groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "begin", "end")).alias("spans")), "spans")
-    return docs.join(spans.withColumnRenamed("doc_id", "_doc").hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("_doc"), "left").drop("_doc")
+    spans = spans.groupBy(F.col("doc_id").alias("_key")).agg(F.collect_list(F.struct("text_hash", "begin", "end")).alias("spans"))
+    marked = texts.join(spans.hint("shuffle_hash"), "_key", "left").drop("_key")
+    return marked.unionByName(docs.where(~long_enough).drop("_key").withColumn("spans", F.lit(None).cast(marked.schema["spans"].dataType)))
 
 
 def _kept(text: bytes, spans: np.ndarray) -> tuple[bytes, int]:
