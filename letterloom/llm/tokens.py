@@ -36,72 +36,106 @@ def parts(text: str) -> list[str]:
 class PartEncoder:
     """Values of texts from values of their parts: ``of_parts`` gets the strings not yet known."""
 
-    def __init__(self, of_parts, lead: str, limit: int = 600_000):
-        self.of_parts, self.lead, self.limit = of_parts, lead, limit
+    def __init__(self, of_parts, lead: str, form=None, limit: int = 600_000):
+        self.of_parts, self.lead, self.form, self.limit = of_parts, lead, form, limit
         self.first: dict = {}
         self.later: dict = self.first if not lead else {}
 
-    def _learn(self, known: dict, asked: set, lead: str) -> list:
-        new = [x for x in asked if x not in known]
-        if new:
-            known.update(zip(new, self.of_parts([lead + x for x in new]), strict=True))
-        return new
+    def _values(self, known: dict, asked: list[str], lead: str) -> list:
+        """Values of parts, repeats included; each different one is looked up, or worked out, once."""
+        here = dict.fromkeys(asked)
+        new = [x for x in here if x not in known]
+        found = dict(zip(new, self.of_parts([lead + x for x in new]), strict=True)) if new else {}
+        if len(known) < self.limit:
+            known.update(found)
+            here = {x: known[x] for x in here}
+        else:
+            here = {x: found[x] if x in found else known[x] for x in here}
+        return list(map(here.__getitem__, asked))
 
     def __call__(self, texts: list[str]) -> list[list]:
         """For each text, the values of its parts in order."""
-        cut = [parts(t) for t in texts]
-        fresh = [(self.later, self._learn(self.later, set().union(*(c[1:] for c in cut)), self.lead))]
-        fresh.append((self.first, self._learn(self.first, {c[0] for c in cut}, "")))
-        first, later = self.first, self.later
-        out = [[first[c[0]], *map(later.__getitem__, c[1:])] for c in cut]
-        for known, new in fresh:
-            if len(known) > self.limit:
-                for x in new:
-                    known.pop(x, None)
+        cut = [parts(t if self.form is None else self.form(t)) for t in texts]
+        first = self._values(self.first, [c[0] for c in cut], "")
+        later = self._values(self.later, [x for c in cut for x in c[1:]], self.lead)
+        out, at = [], 0
+        for value, c in zip(first, cut, strict=True):
+            out.append([value, *later[at : at + len(c) - 1]])
+            at += len(c) - 1
         return out
 
 
 class PartLibrary:
     """The library's ids of many short strings in few calls.
 
-    Strings without inner white space are encoded as one text, set apart by spaces, across which nothing is
-    merged; the library's offsets tell whose each id is. Strings for which that may not hold go one by one.
+    Strings are joined into one text where that cannot change their ids and where the ids show which is whose: for
+    a byte-level vocabulary, a space and a word without white space, of which only the first id begins with the
+    space; for a vocabulary with word ends, one run of settled letters, of which only the last id ends a word.
+    All others, and a text whose ids don't show as many strings as went in, are encoded one by one.
     """
 
     def __init__(self, tok, at_once: int = 400):
         self.tok, self.at_once = tok, at_once
         self.added = [t.content for t in tok.get_added_tokens_decoder().values()]
         self.lead = " " if keeps_space(tok) else ""
+        names = [tok.id_to_token(i) or "" for i in range(tok.get_vocab_size())]
+        self.edge = np.array([n.startswith("\u0120") if self.lead else n.endswith("</w>") for n in names], bool)
+
+    def _joins(self, s: str) -> bool:
+        if not self.lead:
+            return s.isalpha() and not _UNSETTLED.search(s)
+        plain = s[1:]
+        return s[:1] == " " and plain.split() == [plain] and not any(a in s for a in self.added)
+
+    def _each(self, strings: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(strings, add_special_tokens=False)]
 
     def __call__(self, strings: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each string, without added special tokens."""
         out: list = [None] * len(strings)
         joint, alone = [], []
         for k, s in enumerate(strings):
-            plain = s[len(self.lead) :]
-            fits = s.startswith(self.lead) and plain.split() == [plain] and not any(a in s for a in self.added)
-            (joint if fits else alone).append(k)
-        for k, e in zip(alone, self.tok.encode_batch_fast([strings[k] for k in alone], add_special_tokens=False), strict=True):
-            out[k] = np.array(e.ids, "<u4").tobytes()
-        gap = "" if self.lead else " "
-        for at in range(0, len(joint), self.at_once):
-            run = joint[at : at + self.at_once]
-            texts = [strings[k] for k in run]
-            e = self.tok.encode(gap.join(texts), add_special_tokens=False)
-            begins = np.cumsum([0] + [len(t) + len(gap) for t in texts])
-            first = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))
-            cuts = (4 * np.searchsorted(first, begins)).tolist()
-            data = np.array(e.ids, "<u4").tobytes()
+            (joint if self._joins(s) else alone).append(k)
+        runs = [joint[at : at + self.at_once] for at in range(0, len(joint), self.at_once)]
+        texts = [("" if self.lead else " ").join([strings[k] for k in run]) for run in runs]
+        for run, e in zip(runs, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            cuts = np.flatnonzero(self.edge[ids])
+            cuts = np.append(cuts, len(ids)) if self.lead else np.append(0, cuts + 1)
+            if len(cuts) != len(run) + 1 or cuts[0]:
+                alone += run
+                continue
+            data, cuts = ids.tobytes(), (4 * cuts).tolist()
             for k, a, b in zip(run, cuts[:-1], cuts[1:], strict=True):
                 out[k] = data[a:b]
+        for k, ids in zip(alone, self._each([strings[k] for k in alone]), strict=True):
+            out[k] = ids
         return out
 
 
+#: Beyond the Latin blocks Unicode versions may differ; the capital I with a dot grows in lower case.
+_UNSETTLED = re.compile("[^\x00-\u012f\u0131-\u024f]")
+_LONE_MARK = re.compile("(?<=[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])(?=[.,](?: |$))")
+
+
+def plain_form(text: str) -> str:
+    """A text with the same ids in a vocabulary that ignores case and drops white space, but fewer different parts.
+
+    Letters become lower case and a lone full stop or comma behind a word is set apart. Texts with characters
+    whose treatment is not settled, or with what may be a special string in capitals, stay as they are.
+    """
+    if "<|" in text or _UNSETTLED.search(text):
+        return text
+    return _LONE_MARK.sub(" ", text.lower())
+
+
 def id_encoder(path: str) -> PartEncoder:
     """Ids as little-endian uint32 bytes, without added special tokens."""
     tok = load(path)
-    # a byte-level vocabulary keeps the space with the word behind it; one with word ends drops white space
-    return PartEncoder(PartLibrary(tok), " " if keeps_space(tok) else "")
+    if keeps_space(tok):  # a byte-level vocabulary keeps the space with the word behind it
+        return PartEncoder(PartLibrary(tok), " ")
+    ignores_case = tok.encode("Ab", add_special_tokens=False).ids == tok.encode("ab", add_special_tokens=False).ids
+    return PartEncoder(PartLibrary(tok), "", plain_form if ignores_case else None)
 
 
 def keeps_space(tok) -> bool:
