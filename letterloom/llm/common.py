@@ -63,6 +63,10 @@ def text_batches(column: pa.Array, limit: int = 4_000_000) -> Iterator[tuple[int
         yield begin, run
 
 
+#: Small tables of two numbers a row are broadcast up to so many rows, whose count is checked before.
+BROADCAST_ROWS = 100_000
+
+
 def split_hot(df: DataFrame, key: str, member: str, limit: int) -> DataFrame:
     """Split groups that must be compared pairwise.
 
@@ -71,11 +75,12 @@ def split_hot(df: DataFrame, key: str, member: str, limit: int) -> DataFrame:
     of blocks becomes a group of its own, named by ``pair`` = (smaller, larger), so that each pair of members
     still meets exactly once between different blocks, and once in the block's own group. No row is dropped.
     """
-    hot = (
-        df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-        .select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_blocks"))
-    )
-    dealt = df.join(hot, key, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    hot = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    hot = written(hot.select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_blocks")), "hot-groups")
+    found = hot.count()  # at most the rows divided by the limit
+    if not found:
+        return df.withColumns({"block": F.lit(0), "low_block": F.lit(0), "high_block": F.lit(0)})
+    dealt = df.join(F.broadcast(hot) if found <= BROADCAST_ROWS else hot, key, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     return dealt.select(
