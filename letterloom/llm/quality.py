@@ -123,13 +123,14 @@ def _feature_rows(docs: DataFrame) -> DataFrame:
     return docs.select("positive", "text").mapInArrow(run, "positive boolean, features binary")
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, positives: int = 6_000, unlabelled: int = 12_000) -> QualityModel:
-    """Fit on ``usable`` rows: at most about so many trusted positives (``labels.quality`` = 1) and unlabelled documents.
+def train(docs: DataFrame, labels: DataFrame, usable: Column | str, positives: int = 6_000, unlabelled: int = 12_000) -> QualityModel:
+    """Fit on ``usable`` rows (a condition on doc_id that holds for both tables): at most about so many trusted positives (``labels.quality`` = 1) and unlabelled documents.
 
     Both samples are taken by a hash of doc_id, so they are bounded whatever the corpus and the same each time.
     The class prior is the share of quality 1 among all usable labelled rows (0.5 without any), kept within
     0.02 and 0.98. Without positives or documents the model is the prior.
     """
+    usable = F.expr(usable) if isinstance(usable, str) else usable
     labels = labels.where(usable & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id", "quality")
     known = labels.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.col("quality") == 1).cast("long")), F.lit(0)).alias("good")).first()
     prior = float(np.clip(known["good"] / known["n"] if known["n"] else 0.5, 0.02, 0.98))

@@ -1,8 +1,8 @@
 """Token ids of whole texts, as a tokenizer library gives them, at a bounded price per distinct word.
 
-A text is cut at single spaces that stand between two characters that are no white space. A tokenizer whose
-pre-tokenizer starts a new word at every such space (both families below) gives the same ids for the parts one
-by one as for the whole text, so each distinct part is encoded by the library once per worker and remembered
+A text is cut at spaces and line ends that stand alone between other characters. A tokenizer whose pre-tokenizer
+starts a new word at every one of them (both families below) gives the same ids for the parts one by one as for
+the whole text, so each distinct part is encoded by the library once per worker and remembered
 (up to ``limit`` parts; further ones are encoded again where they occur).
 """
 
@@ -15,9 +15,11 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread per Spark core
 
-_BEFORE = re.compile(r" \s")
-_AFTER = re.compile(r"[^\S ] ")
+_ODD = re.compile(r"[ \n]\s|[^\S \n][ \n]")
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+#: Beyond the Latin blocks Unicode versions may differ; the capital I with a dot grows in lower case.
+_UNSETTLED = re.compile("[^\x00-\u012f\u0131-\u024f]")
+_SETTLED_WORD = frozenset(chr(c) for c in (*range(48, 58), *range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x130), *range(0x131, 0x250)))
 
 
 def load(path: str):
@@ -27,17 +29,32 @@ def load(path: str):
 
 
 def parts(text: str) -> list[str]:
-    """Cut a text at spaces between characters that are no white space; those spaces themselves are left out."""
-    if _BEFORE.search(text) or _AFTER.search(text):
+    """Cut a text before line ends and at spaces, between characters that are no white space; those spaces are left out.
+
+    Texts where such a space or line end has other white space next to it are cut at the spaces alone that have none.
+    """
+    if _ODD.search(text):
         return _BETWEEN.split(text)
-    return text.split(" ")
+    return text.replace("\n", " \n").split(" ")
+
+
+def loose_parts(text: str) -> list[str]:
+    """Parts for a vocabulary that drops white space and ignores case."""
+    if "<|" not in text and (text.isascii() or not _UNSETTLED.search(text)):
+        text = text.lower()  # not where it could make a special string, or differ from the library's lower case
+    return text.replace("\n", " ").split(" ")
 
 
 class PartEncoder:
-    """Values of texts from values of their parts: ``of_parts`` gets the strings not yet known."""
+    """Values of texts from values of their parts: ``of_parts`` gets the strings not yet known.
+
+    Values can be added. A full stop or comma behind a settled letter or digit is a token of its own in both
+    families, so such a part has the value of the rest and of the mark.
+    """
 
-    def __init__(self, of_parts, lead: str, form=None, limit: int = 600_000):
-        self.of_parts, self.lead, self.form, self.limit = of_parts, lead, form, limit
+    def __init__(self, of_parts, lead: str, cut=parts, limit: int = 600_000):
+        self.of_parts, self.lead, self.cut, self.limit = of_parts, lead, cut, limit
+        self.marks = dict(zip(".,", of_parts([".", ","]), strict=True))
         self.first: dict = {}
         self.later: dict = self.first if not lead else {}
 
@@ -45,17 +62,21 @@ class PartEncoder:
         """Values of parts, repeats included; each different one is looked up, or worked out, once."""
         here = dict.fromkeys(asked)
         new = [x for x in here if x not in known]
-        found = dict(zip(new, self.of_parts([lead + x for x in new]), strict=True)) if new else {}
+        stems = {x: x[:-1] for x in new if x[-1:] in self.marks and x[-2:-1] in _SETTLED_WORD}
+        ask = [x for x in new if x not in stems]
+        ask += [x for x in set(stems.values()).difference(ask) if x not in known]
+        found = dict(zip(ask, self.of_parts([x if x[:1] == "\n" else lead + x for x in ask]), strict=True)) if ask else {}
+        for x, stem in stems.items():
+            found[x] = (found[stem] if stem in found else known[stem]) + self.marks[x[-1]]
         if len(known) < self.limit:
             known.update(found)
-            here = {x: known[x] for x in here}
-        else:
-            here = {x: found[x] if x in found else known[x] for x in here}
+            return list(map(known.__getitem__, asked))
+        here = {x: found[x] if x in found else known[x] for x in here}
         return list(map(here.__getitem__, asked))
 
     def __call__(self, texts: list[str]) -> list[list]:
         """For each text, the values of its parts in order."""
-        cut = [parts(t if self.form is None else self.form(t)) for t in texts]
+        cut = list(map(self.cut, texts))
         first = self._values(self.first, [c[0] for c in cut], "")
         later = self._values(self.later, [x for c in cut for x in c[1:]], self.lead)
         out, at = [], 0
@@ -69,9 +90,9 @@ class PartLibrary:
     """The library's ids of many short strings in few calls.
 
     Strings are joined into one text where that cannot change their ids and where the ids show which is whose: for
-    a byte-level vocabulary, a space and a word without white space, of which only the first id begins with the
-    space; for a vocabulary with word ends, one run of settled letters, of which only the last id ends a word.
-    All others, and a text whose ids don't show as many strings as went in, are encoded one by one.
+    a byte-level vocabulary, a space (or line end) and a word without white space, of which only the first id
+    begins with the space; for a vocabulary with word ends, one run of settled letters, of which only the last id
+    ends a word. All others, and a text whose ids don't show as many strings as went in, are encoded one by one.
     """
 
     def __init__(self, tok, at_once: int = 400):
@@ -79,13 +100,16 @@ class PartLibrary:
         self.added = [t.content for t in tok.get_added_tokens_decoder().values()]
         self.lead = " " if keeps_space(tok) else ""
         names = [tok.id_to_token(i) or "" for i in range(tok.get_vocab_size())]
-        self.edge = np.array([n.startswith("\u0120") if self.lead else n.endswith("</w>") for n in names], bool)
+        # how a byte-level vocabulary writes the space and the line end
+        self.edges = {k: np.array([n.startswith(c) for n in names], bool) for k, c in ((" ", "\u0120"), ("\n", "\u010a"))}
+        self.last = np.array([n.endswith("</w>") for n in names], bool)
 
-    def _joins(self, s: str) -> bool:
+    def _kind(self, s: str) -> str | None:
+        """With what kind of strings ``s`` can be joined."""
         if not self.lead:
-            return s.isalpha() and not _UNSETTLED.search(s)
+            return "word" if s.isalpha() and not _UNSETTLED.search(s) else None
         plain = s[1:]
-        return s[:1] == " " and plain.split() == [plain] and not any(a in s for a in self.added)
+        return s[0] if s[:1] in self.edges and s[:1] and plain.split() == [plain] and not any(a in s for a in self.added) else None
 
     def _each(self, strings: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(strings, add_special_tokens=False)]
@@ -93,49 +117,34 @@ class PartLibrary:
     def __call__(self, strings: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each string, without added special tokens."""
         out: list = [None] * len(strings)
-        joint, alone = [], []
+        kinds: dict[str | None, list[int]] = {}
         for k, s in enumerate(strings):
-            (joint if self._joins(s) else alone).append(k)
-        runs = [joint[at : at + self.at_once] for at in range(0, len(joint), self.at_once)]
-        texts = [("" if self.lead else " ").join([strings[k] for k in run]) for run in runs]
-        for run, e in zip(runs, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            cuts = np.flatnonzero(self.edge[ids])
-            cuts = np.append(cuts, len(ids)) if self.lead else np.append(0, cuts + 1)
-            if len(cuts) != len(run) + 1 or cuts[0]:
-                alone += run
-                continue
-            data, cuts = ids.tobytes(), (4 * cuts).tolist()
-            for k, a, b in zip(run, cuts[:-1], cuts[1:], strict=True):
-                out[k] = data[a:b]
+            kinds.setdefault(self._kind(s), []).append(k)
+        alone = kinds.pop(None, [])
+        for kind, of_kind in kinds.items():
+            runs = [of_kind[at : at + self.at_once] for at in range(0, len(of_kind), self.at_once)]
+            texts = [(" " if kind == "word" else "").join([strings[k] for k in run]) for run in runs]
+            for run, e in zip(runs, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                cuts = np.append(0, np.flatnonzero(self.last[ids]) + 1) if kind == "word" else np.append(np.flatnonzero(self.edges[kind][ids]), len(ids))
+                if len(cuts) != len(run) + 1 or cuts[0]:
+                    alone += run
+                    continue
+                data, ends = ids.tobytes(), (4 * cuts).tolist()
+                for k, a, b in zip(run, ends[:-1], ends[1:], strict=True):
+                    out[k] = data[a:b]
         for k, ids in zip(alone, self._each([strings[k] for k in alone]), strict=True):
             out[k] = ids
         return out
 
 
-#: Beyond the Latin blocks Unicode versions may differ; the capital I with a dot grows in lower case.
-_UNSETTLED = re.compile("[^\x00-\u012f\u0131-\u024f]")
-_LONE_MARK = re.compile("(?<=[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])(?=[.,](?: |$))")
-
-
-def plain_form(text: str) -> str:
-    """A text with the same ids in a vocabulary that ignores case and drops white space, but fewer different parts.
-
-    Letters become lower case and a lone full stop or comma behind a word is set apart. Texts with characters
-    whose treatment is not settled, or with what may be a special string in capitals, stay as they are.
-    """
-    if "<|" in text or _UNSETTLED.search(text):
-        return text
-    return _LONE_MARK.sub(" ", text.lower())
-
-
 def id_encoder(path: str) -> PartEncoder:
     """Ids as little-endian uint32 bytes, without added special tokens."""
     tok = load(path)
     if keeps_space(tok):  # a byte-level vocabulary keeps the space with the word behind it
         return PartEncoder(PartLibrary(tok), " ")
     ignores_case = tok.encode("Ab", add_special_tokens=False).ids == tok.encode("ab", add_special_tokens=False).ids
-    return PartEncoder(PartLibrary(tok), "", plain_form if ignores_case else None)
+    return PartEncoder(PartLibrary(tok), "", loose_parts if ignores_case else lambda t: t.split(" "))
 
 
 def keeps_space(tok) -> bool:
