@@ -62,7 +62,7 @@ def text_choice(pdf_norm: Column, excerpt_norm: Column) -> Column:
 
 def summary(df: DataFrame, marked: DataFrame) -> DataFrame:
     copies = F.count("duplicate_of")
-    return df.join(marked, "filename", "left").agg(F.count(F.lit(1)).alias("total"), (F.count(F.lit(1)) - copies).alias("unique"), copies.alias("copies"))
+    return df.select("filename").join(marked, "filename", "left").agg(F.count(F.lit(1)).alias("total"), (F.count(F.lit(1)) - copies).alias("unique"), copies.alias("copies"))
 
 
 def similar_values(cells: DataFrame, least: float = 0.85) -> DataFrame:

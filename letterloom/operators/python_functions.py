@@ -12,9 +12,10 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def cmp_norm(values: pd.Series) -> pd.Series:
     """Comparison key: compatibility decomposition, lower case, runs of anything but a-z and 0-9 become one space; null is empty."""
     return values.fillna("").map(lambda v: re.sub(r"[^a-z0-9]+", " ", unicodedata.normalize("NFKD", v).lower()).strip())
@@ -26,7 +27,7 @@ def similarity(first: Column, second: Column, least: float = 0.0) -> Column:
     Where difflib's quick upper bounds are already below ``least`` the costly ratio is not computed and 0 returned.
     """
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         def one(x: str, y: str) -> float:
             m = difflib.SequenceMatcher(None, x, y)
@@ -37,7 +38,7 @@ def similarity(first: Column, second: Column, least: float = 0.0) -> Column:
     return ratio(first, second)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def longest_block_share(text: pd.Series, value: pd.Series) -> pd.Series:
     """Length of the longest common block as a share of the value's length."""
 

@@ -107,7 +107,7 @@ def catalog_from_json(lines: DataFrame) -> DataFrame:
 
 def catalog(spark: SparkSession, path: str) -> DataFrame:
     """Indicators of a catalog file that nests them under ``indicators``."""
-    return spark.read.schema(f"indicators array<struct<{CATALOG.replace(' string', ': string').replace(' boolean', ': boolean').replace(' array', ': array').replace('max_score double', 'max_score: double')}>>").json(path, multiLine=True).select(F.explode("indicators").alias("i")).select("i.*")
+    return spark.read.schema(f"indicators array<struct<{CATALOG}>>").json(path, multiLine=True).select(F.explode("indicators").alias("i")).select("i.*")
 
 
 def audit_from_lines(lines: DataFrame) -> DataFrame:
