@@ -8,6 +8,7 @@ for the other. Whoever meets under one segment is compared in all 64 bits.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,21 +28,31 @@ DISTANCE = 4
 GROUP = 20_000
 
 
-def fingerprint(text: str, shingle: int) -> int:
-    """64-bit SimHash over word shingles, repeats included; zero without words."""
+def _shingle_hashes(text: str, shingle: int) -> np.ndarray:
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     begins = np.append(0, ends[:-1] + 1)
     n = max(1, len(words) - shingle + 1)
     digest, low, high = xxhash.xxh64_intdigest, begins[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
-    h = np.array([digest(line[a:b], SEED) for a, b in zip(low, high, strict=True)], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for part in range(0, n, 4096):
-        ones += np.unpackbits(h[part : part + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    return np.array([digest(line[a:b], SEED) for a, b in zip(low, high, strict=True)], np.uint64)
+
+
+def _majority(h: np.ndarray) -> np.ndarray:
+    """Bits set in over half of the rows of ``h`` (words of 64 bits), as words."""
+    ones = np.zeros(64 * h.shape[1], np.int64)
+    for part in range(0, len(h), 255):
+        bits = np.unpackbits(h[part : part + 255].astype("<u8").view(np.uint8).reshape(-1, 8 * h.shape[1]), axis=1, bitorder="little")
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")
+
+
+def fingerprint(text: str, shingle: int) -> int:
+    """64-bit SimHash over word shingles, repeats included; zero without words."""
+    h = _shingle_hashes(text, shingle)
+    return int(_majority(h[:, None])[0]) if len(h) else 0
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -77,12 +88,13 @@ def _entries(fps: DataFrame) -> DataFrame:
 
 
 def local_forest(fp: np.ndarray, left: np.ndarray | None = None, distance: int = DISTANCE) -> np.ndarray:
-    """For each of the distinct fingerprints, the number of the first one it is connected to within the group.
+    """For each of the distinct fingerprints (of one or more words), the number of the first one it is connected to within the group.
 
     Grows one component after another: what is near to the newest members is found among those not yet taken,
     so a dense group costs a few passes and no list of pairs is made. With ``left``, only pairs of one from
     each side count.
     """
+    fp = fp.reshape(len(fp), -1)
     n = len(fp)
     root = np.full(n, -1, np.int64)
     free = np.arange(n)
@@ -94,7 +106,7 @@ def local_forest(fp: np.ndarray, left: np.ndarray | None = None, distance: int =
         free = free[free != i]
         while front and len(free):
             x = front.pop()
-            near = np.bitwise_count(fp[free] ^ fp[x]) <= distance
+            near = np.bitwise_count(fp[free] ^ fp[x]).sum(axis=1) <= distance
             if left is not None:
                 near &= left[free] != left[x]
             if near.any():
@@ -152,7 +164,117 @@ def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
     from letterloom.llm.common import written
 
     marked = written(fingerprints(docs, shingle), "fingerprints")
-    parts = connected_components(links(marked))
+    return _with_components(marked, connected_components(links(marked)))
+
+
+# --- by similarity ---------------------------------------------------------------------------------------------------
+#: Words of a wide fingerprint; the first ``CHECKED`` of them are compared.
+WIDE, CHECKED = 16, 4
+
+
+def wide_fingerprint(text: str, shingle: int) -> np.ndarray:
+    """1024-bit SimHash: every shingle's hash is spread over 16 words by multiplication and shifts."""
+    h = _shingle_hashes(text, shingle)
+    if not len(h):
+        return np.zeros(WIDE, np.uint64)
+    odd = (np.arange(WIDE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C16)) | np.uint64(1)
+    out = np.zeros(WIDE, np.uint64)
+    ones = np.zeros(64 * WIDE, np.int64)
+    for part in range(0, len(h), 255):
+        x = h[part : part + 255, None] * odd
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        bits = np.unpackbits(x.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    out[:] = np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")
+    return out
+
+
+def differing_share(similarity: float) -> float:
+    """Share of bits in which texts of this shingle similarity (intersection by union) differ on average."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def similar_links(classes: DataFrame, similarity: float, group: int = GROUP) -> DataFrame:
+    """(a, b) between distinct wide fingerprints (fp, bits), as ``links``.
+
+    Two texts of the similarity agree in all bits of one of the many segments with high probability: 99.2 % at 0.8
+    with 64 segments of 16 bits, more for closer ones. Segments widen with the rows, so that chance meetings
+    stay few. Whoever meets is compared in 256 bits, allowing 1.7 standard errors beyond the average share, which 19
+    of 20 pairs of exactly the similarity keep to.
+    """
+    n = max(2, classes.count())
+    width = min(32, max(16, math.ceil(math.log2(n)) - 2))
+    q = differing_share(similarity)
+    most = int(64 * CHECKED * (q + 1.7 * math.sqrt(q * (1 - q) / (64 * CHECKED))))
+    checked = [f"v{k}" for k in range(CHECKED)]
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = np.frombuffer(b"".join(batch.column("bits").to_pylist()), "<u8").reshape(-1, WIDE)
+            bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8 * WIDE), axis=1, bitorder="little")
+            for k in range(64 * WIDE // width):
+                part = bits[:, k * width : (k + 1) * width].astype(np.int64) @ (np.int64(1) << np.arange(width, dtype=np.int64))
+                yield pa.record_batch([pa.array(part | (k << 40)), batch.column("fp"), *(pa.array(words[:, c].copy().view(np.int64)) for c in range(CHECKED))], names=["key", "fp", *checked])
+
+    entries = classes.mapInArrow(enter, "key long, fp long, " + ", ".join(f"{c} long" for c in checked))
+    entries = split_hot(entries, "key", "fp", group)
+    keys = ["key", "low_block", "high_block"]
+    entries = entries.repartition(*keys).sortWithinPartitions(*keys, "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data in whole_groups(batches, keys):
+            columns = [data.column(k).to_numpy() for k in keys]
+            fp, block = data.column("fp").to_numpy(), data.column("block").to_numpy()
+            v = np.stack([data.column(c).to_numpy().view(np.uint64) for c in checked], axis=1)
+            bounds = group_bounds(*columns)
+            size = np.diff(bounds)
+            number = np.repeat(np.arange(len(size)), size)
+            small = np.repeat(size <= 12, size)
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for lag in range(1, 12):  # small groups, all at once
+                at = np.flatnonzero((number[lag:] == number[:-lag]) & small[lag:])
+                if not len(at):
+                    break
+                at = at[np.bitwise_count(v[at] ^ v[at + lag]).sum(axis=1) <= most]
+                a.append(fp[at])
+                b.append(fp[at + lag])
+            for k in np.flatnonzero(size > 12):
+                s = slice(bounds[k], bounds[k + 1])
+                two = columns[1][s.start] != columns[2][s.start]
+                root = local_forest(v[s], block[s] if two else None, most)
+                other = root != np.arange(len(root))
+                a.append(fp[s][root[other]])
+                b.append(fp[s][other])
+            low, high = np.concatenate(a), np.concatenate(b)
+            if len(low):
+                yield pa.record_batch([pa.array(low), pa.array(high)], names=["a", "b"])
+
+    return entries.mapInArrow(run, "a long, b long")
+
+
+def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """As ``near_duplicates``, for texts whose word shingles are similar, which 64 bits cannot tell well.
+
+    ``fp`` is a hash of the wide fingerprint. Texts of fewer words than a shingle are one shingle; those without
+    words are one class.
+    """
+    from letterloom.llm.common import written
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [wide_fingerprint(t, shingle).astype("<u8").tobytes() for _, texts in text_batches(batch.column("text")) for t in texts]
+            fp = np.array([xxhash.xxh64_intdigest(r, SEED) for r in rows], np.uint64).view(np.int64)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(fp), pa.array(rows, pa.binary())], names=["doc_id", "fp", "bits"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    marked = written(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long, bits binary"), "wide-fingerprints")
+    classes = written(marked.groupBy("fp").agg(F.first("bits").alias("bits")), "wide-classes")
+    return _with_components(marked.select("doc_id", "fp"), connected_components(similar_links(classes, similarity)))
+
+
+def _with_components(marked: DataFrame, parts: DataFrame) -> DataFrame:
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     linked = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = linked.groupBy("component").agg(F.min("first").alias("component_id"))

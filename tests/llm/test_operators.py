@@ -337,3 +337,25 @@ def test_alignment_against_brute_force():
         a, b = RNG.integers(0, 5, RNG.integers(1, 12)), RNG.integers(0, 5, RNG.integers(0, 25))
         score, begin, end = decontam.align(a, b)
         assert score == plain(a, b) and 0 <= begin <= end <= len(b) and (not score or plain(a, b[begin:end]) == score)
+
+
+def test_similar_texts(spark, docs):
+    texts = []
+    for g in range(12):
+        words = RNG.choice(VOCAB, 300)
+        for c in range(4):
+            w = words.copy()
+            w[RNG.choice(300, c, replace=False)] = "edited"
+            texts.append((g, " ".join(w)))
+    hot = RNG.choice(VOCAB, 200)
+    for c in range(40):  # one large group of near copies
+        w = hot.copy()
+        w[RNG.integers(0, 200)] = f"z{c}"
+        texts.append((99, " ".join(w)))
+    frame = spark.createDataFrame([(1000 + i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"] - 1000: r["component_id"] - 1000 for r in simhash.similar_texts(frame).collect()}
+    first = {}
+    for i, (g, _) in enumerate(texts):
+        first.setdefault(g, i)
+    assert got == {i: first[g] for i, (g, _) in enumerate(texts)}
+    assert simhash.similar_texts(docs).count() == docs.count() and simhash.similar_texts(empty(docs)).count() == 0
