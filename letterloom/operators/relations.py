@@ -11,7 +11,8 @@ from letterloom.functions.classify import split_rank
 def numbered_by(df: DataFrame, *order: str | Column) -> DataFrame:
     """``df`` with ``no``, 1 up in the given order: sorted in ranges, numbered by the sizes of those before; no single task sorts all."""
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number: adaptive execution leaves these partitions alone
+    ordered = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
     part = F.shiftright("_id", 33)
     sizes = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # one row per partition
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

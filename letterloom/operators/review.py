@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from letterloom.functions import rules, validate
 from letterloom.functions.text import cmp_norm_ascii
 from letterloom.operators.metrics import long_form
+from letterloom.operators.relations import numbered_by
 
 
 def priority(doc_type: str = "doc_type") -> Column:
@@ -16,12 +17,8 @@ def priority(doc_type: str = "doc_type") -> Column:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """``df`` with ``no``: 1 up, by type priority, then name. Row numbers of all rows are one order: sorted in parts, counted by parts."""
-    ordered = df.withColumn("_p", priority()).repartitionByRange("_p", "filename").sortWithinPartitions("_p", "filename").withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
-    sizes = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return ordered.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("no", F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).drop("_p", "_id", "_part", "_before")
+    """``df`` with ``no``: 1 up, by type priority, then name."""
+    return numbered_by(df.withColumn("_priority", priority()), "_priority", "filename").drop("_priority")
 
 
 def select_for_sheet(df: DataFrame, *, open_only=False, status=None, priority_only=False, doc_type=None, exclude_outside=False, name_part=None, with_duplicates=False) -> DataFrame:
