@@ -12,6 +12,7 @@ last) the bitmap and the uint64 directory. Every section starts at a multiple of
 
 from __future__ import annotations
 
+import math
 import struct
 
 import numpy as np
@@ -28,9 +29,44 @@ def widths_for(largest: int, widths: tuple[int, ...] = WIDTHS) -> tuple[int, ...
     return tuple(out)
 
 
+def _group(width: int) -> int:
+    """How many chunks of ``width`` bits fill whole bytes."""
+    return 8 // math.gcd(width, 8)
+
+
 def _pack(values: np.ndarray, width: int) -> bytes:
-    bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
-    return np.packbits(bits[:, :width], bitorder="little").tobytes()
+    k = _group(width)
+    if k * width > 64:
+        bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+        return np.packbits(bits[:, :width], bitorder="little").tobytes()
+    whole = np.zeros(-(-len(values) // k) * k, np.uint64)
+    whole[: len(values)] = values & np.uint32((1 << width) - 1)
+    joined = whole[::k].copy()
+    for n in range(1, k):
+        joined |= whole[n::k] << np.uint64(n * width)
+    data = joined.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : k * width // 8].tobytes()
+    return data[: -(-len(values) * width // 8)]
+
+
+def _unpack(data: np.ndarray, width: int, begin: int, end: int) -> np.ndarray:
+    """Chunks ``begin`` to ``end`` of packed bytes."""
+    k = _group(width)
+    if k * width > 64:
+        first = begin * width
+        bits = np.unpackbits(data[first >> 3 : -(-end * width // 8)], bitorder="little")[first & 7 :][: (end - begin) * width]
+        wide = np.zeros((end - begin, 32), np.uint8)
+        wide[:, :width] = bits.reshape(-1, width)
+        return np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel()
+    a, b, size = begin // k, -(-end // k), k * width // 8
+    wide = np.zeros((b - a, 8), np.uint8)
+    part = data[a * size : b * size]
+    rows = len(part) // size
+    wide[:rows, :size] = part[: rows * size].reshape(-1, size)
+    wide[rows:, : len(part) - rows * size] = part[rows * size :]
+    joined, out = wide.view("<u8").ravel(), np.empty((b - a, k), np.uint32)
+    for n in range(k):
+        out[:, n] = (joined >> np.uint64(n * width)) & np.uint64((1 << width) - 1)
+    return out.ravel()[begin - a * k : end - a * k]
 
 
 def encode(ids: np.ndarray, doc_ids: list, ends: np.ndarray, widths: tuple[int, ...] = WIDTHS) -> bytes:
@@ -136,11 +172,7 @@ class Reader:
             if end <= begin:
                 break
             width, _, chunks, bitmap, _ = level
-            first = begin * width
-            bits = np.unpackbits(chunks[first >> 3 : -(-end * width // 8)], bitorder="little")[first & 7 :][: (end - begin) * width]
-            wide = np.zeros((end - begin, 32), np.uint8)
-            wide[:, :width] = bits.reshape(-1, width)
-            out[here] |= np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel() << np.uint32(shift)
+            out[here] |= _unpack(chunks, width, begin, end) << np.uint32(shift)
             if k + 1 < len(self.levels):
                 bits = np.unpackbits(bitmap[begin >> 6 : (end >> 6) + 1].view(np.uint8), bitorder="little")
                 more = np.flatnonzero(bits[begin & 63 :][: end - begin])
@@ -152,3 +184,12 @@ class Reader:
 
     def document(self, k: int) -> np.ndarray:
         return self.span(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
+
+    def documents(self, at_once: int = 1 << 16):
+        """The ids of all documents in order; neighbours of up to about ``at_once`` ids are read as one span."""
+        begin = k = 0
+        while k < self.n_docs:
+            last = max(k + 1, int(np.searchsorted(self.ends, begin + at_once, side="right")))
+            ids = self.span(begin, int(self.ends[last - 1]))
+            yield from np.split(ids, self.ends[k : last - 1] - begin)
+            begin, k = int(self.ends[last - 1]), last

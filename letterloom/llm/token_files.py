@@ -84,7 +84,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
             for name, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
                 file = dac.Reader(content.as_buffer())
                 begins = np.append(0, file.ends[:-1]).astype(np.int64)
-                sums = [zlib.crc32(file.document(k).astype("<u4").tobytes()) for k in range(file.n_docs)]
+                sums = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in file.documents()]
                 yield pa.record_batch(
                     [pa.array([name] * file.n_docs), pa.array(range(file.n_docs), pa.int32()), pa.array(file.doc_ids, pa.int64()), pa.array(begins), pa.array(file.ends - begins), pa.array(sums, pa.int64())],
                     names=["file", "place", "doc_id", "begin", "n_tokens", "ids_crc32"],

@@ -60,19 +60,20 @@ class PartEncoder:
 
     def _values(self, known: dict, asked: list[str], lead: str) -> list:
         """Values of parts, repeats included; each different one is looked up, or worked out, once."""
-        here = dict.fromkeys(asked)
-        new = [x for x in here if x not in known]
+        values = list(map(known.get, asked))
+        at = [i for i, v in enumerate(values) if v is None]
+        new = list(dict.fromkeys([asked[i] for i in at]))
         stems = {x: x[:-1] for x in new if x[-1:] in self.marks and x[-2:-1] in _SETTLED_WORD}
         ask = [x for x in new if x not in stems]
         ask += [x for x in set(stems.values()).difference(ask) if x not in known]
         found = dict(zip(ask, self.of_parts([x if x[:1] == "\n" else lead + x for x in ask]), strict=True)) if ask else {}
         for x, stem in stems.items():
             found[x] = (found[stem] if stem in found else known[stem]) + self.marks[x[-1]]
+        for i in at:
+            values[i] = found[asked[i]]
         if len(known) < self.limit:
             known.update(found)
-            return list(map(known.__getitem__, asked))
-        here = {x: found[x] if x in found else known[x] for x in here}
-        return list(map(here.__getitem__, asked))
+        return values
 
     def __call__(self, texts: list[str]) -> list[list]:
         """For each text, the values of its parts in order."""

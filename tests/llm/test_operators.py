@@ -57,6 +57,7 @@ def test_dac_random_access(widths):
     at = RNG.permutation(len(ids))
     assert (file[at] == ids[at]).all() and (file.span(0, len(ids)) == ids).all()
     assert file.doc_ids == [7, None, -3] and len(file.document(1)) == 0 and (file.document(2) == ids[10:]).all()
+    assert [d.tolist() for d in file.documents(7)] == [file.document(k).tolist() for k in range(3)]
     for a, b in ((0, 0), (3, 4), (511, 513), (1000, 2999)):
         assert (file.span(a, b) == ids[a:b]).all()
     assert dac.Reader(dac.encode(np.zeros(0, np.uint32), [], np.zeros(0))).n_ids == 0
