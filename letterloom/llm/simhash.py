@@ -168,18 +168,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
 
 # --- by similarity ---------------------------------------------------------------------------------------------------
-#: Words of a wide fingerprint; the first ``CHECKED`` of them are compared.
-WIDE, CHECKED = 16, 4
+#: Bits of a segment, whatever the number of rows; the first ``CHECKED`` words of a wide fingerprint are compared.
+WIDTH, CHECKED = 18, 4
+#: Members of a key's group up to which all its pairs are compared at once.
+SMALL = 64
+#: Share of the pairs of exactly the similarity that meet under a segment; closer ones meet more surely.
+RECALL = 0.99
 
 
-def wide_fingerprint(text: str, shingle: int) -> np.ndarray:
-    """1024-bit SimHash: every shingle's hash is spread over 16 words by multiplication and shifts."""
+def segment_count(similarity: float, recall: float = RECALL) -> int:
+    """Segments in one of which at least two texts of the similarity agree with probability ``recall``."""
+    agree = (1 - differing_share(similarity)) ** WIDTH
+    return 1 if agree >= recall else math.ceil(math.log(1 - recall) / math.log(1 - agree))
+
+
+def words_for(similarity: float) -> int:
+    """Words of a fingerprint that holds all segments."""
+    return max(CHECKED, -(-segment_count(similarity) * WIDTH // 64))
+
+
+def wide_fingerprint(text: str, shingle: int, wide: int) -> np.ndarray:
+    """SimHash of ``wide`` words: every shingle's hash is spread over them by multiplication and shifts."""
     h = _shingle_hashes(text, shingle)
     if not len(h):
-        return np.zeros(WIDE, np.uint64)
-    odd = (np.arange(WIDE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C16)) | np.uint64(1)
-    out = np.zeros(WIDE, np.uint64)
-    ones = np.zeros(64 * WIDE, np.int64)
+        return np.zeros(wide, np.uint64)
+    odd = (np.arange(wide, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C16)) | np.uint64(1)
+    out = np.zeros(wide, np.uint64)
+    ones = np.zeros(64 * wide, np.int64)
     for part in range(0, len(h), 255):
         x = h[part : part + 255, None] * odd
         x ^= x >> np.uint64(32)
@@ -199,23 +214,22 @@ def differing_share(similarity: float) -> float:
 def similar_links(classes: DataFrame, similarity: float, group: int = GROUP) -> DataFrame:
     """(a, b) between distinct wide fingerprints (fp, bits), as ``links``.
 
-    Two texts of the similarity agree in all bits of one of the many segments with high probability: 99.2 % at 0.8
-    with 64 segments of 16 bits, more for closer ones. Segments widen with the rows, so that chance meetings
-    stay few. Whoever meets is compared in 256 bits, allowing 1.7 standard errors beyond the average share, which 19
+    Two texts of the similarity agree in all bits of one of the many segments with probability ``RECALL``: at 0.8
+    with 87 segments of 18 bits; closer ones more surely. Neither depends on the number of rows: chance meetings
+    grow with it (10 million rows: 38 under a key), and cost one comparison each. Whoever meets is compared in 256 bits, allowing 1.7 standard errors beyond the average share, which 19
     of 20 pairs of exactly the similarity keep to.
     """
-    n = max(2, classes.count())
-    width = min(32, max(16, math.ceil(math.log2(n)) - 2))
+    segments, wide = segment_count(similarity), words_for(similarity)
     q = differing_share(similarity)
     most = int(64 * CHECKED * (q + 1.7 * math.sqrt(q * (1 - q) / (64 * CHECKED))))
     checked = [f"v{k}" for k in range(CHECKED)]
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = np.frombuffer(b"".join(batch.column("bits").to_pylist()), "<u8").reshape(-1, WIDE)
-            bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8 * WIDE), axis=1, bitorder="little")
-            for k in range(64 * WIDE // width):
-                part = bits[:, k * width : (k + 1) * width].astype(np.int64) @ (np.int64(1) << np.arange(width, dtype=np.int64))
+            words = np.frombuffer(b"".join(batch.column("bits").to_pylist()), "<u8").reshape(-1, wide)
+            bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8 * wide), axis=1, bitorder="little")
+            for k in range(segments):
+                part = bits[:, k * WIDTH : (k + 1) * WIDTH].astype(np.int64) @ (np.int64(1) << np.arange(WIDTH, dtype=np.int64))
                 yield pa.record_batch([pa.array(part | (k << 40)), batch.column("fp"), *(pa.array(words[:, c].copy().view(np.int64)) for c in range(CHECKED))], names=["key", "fp", *checked])
 
     entries = classes.mapInArrow(enter, "key long, fp long, " + ", ".join(f"{c} long" for c in checked))
@@ -231,16 +245,16 @@ def similar_links(classes: DataFrame, similarity: float, group: int = GROUP) ->
             bounds = group_bounds(*columns)
             size = np.diff(bounds)
             number = np.repeat(np.arange(len(size)), size)
-            small = np.repeat(size <= 12, size)
+            small = np.repeat(size <= SMALL, size)
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for lag in range(1, 12):  # small groups, all at once
+            for lag in range(1, SMALL):  # small groups, all at once
                 at = np.flatnonzero((number[lag:] == number[:-lag]) & small[lag:])
                 if not len(at):
                     break
                 at = at[np.bitwise_count(v[at] ^ v[at + lag]).sum(axis=1) <= most]
                 a.append(fp[at])
                 b.append(fp[at + lag])
-            for k in np.flatnonzero(size > 12):
+            for k in np.flatnonzero(size > SMALL):
                 s = slice(bounds[k], bounds[k + 1])
                 two = columns[1][s.start] != columns[2][s.start]
                 root = local_forest(v[s], block[s] if two else None, most)
@@ -262,9 +276,11 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     """
     from letterloom.llm.common import written
 
+    wide = words_for(similarity)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [wide_fingerprint(t, shingle).astype("<u8").tobytes() for _, texts in text_batches(batch.column("text")) for t in texts]
+            rows = [wide_fingerprint(t, shingle, wide).astype("<u8").tobytes() for _, texts in text_batches(batch.column("text")) for t in texts]
             fp = np.array([xxhash.xxh64_intdigest(r, SEED) for r in rows], np.uint64).view(np.int64)
             yield pa.record_batch([batch.column("doc_id"), pa.array(fp), pa.array(rows, pa.binary())], names=["doc_id", "fp", "bits"])
 

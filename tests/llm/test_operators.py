@@ -360,3 +360,18 @@ def test_similar_texts(spark, docs):
         first.setdefault(g, i)
     assert got == {i: first[g] for i, (g, _) in enumerate(texts)}
     assert simhash.similar_texts(docs).count() == docs.count() and simhash.similar_texts(empty(docs)).count() == 0
+
+
+def test_recall_is_the_same_at_every_size(spark, monkeypatch):
+    """Pairs at 0.8 by the model's own share of bits meet alike, however many rows the table is said to have."""
+    pairs, q = 400, simhash.differing_share(0.8)
+    rng = np.random.default_rng(11)
+    one = rng.integers(0, 2, (pairs, 2048)).astype(np.uint8)
+    two = one ^ (rng.random((pairs, 2048)) < q).astype(np.uint8)
+    wide = getattr(simhash, "words_for", lambda _: 16)(0.8)
+    rows = [(i, np.packbits(b[: 64 * wide], bitorder="little").tobytes()) for i, b in enumerate(np.concatenate([one, two]))]
+    frame = spark.createDataFrame(rows, "fp long, bits binary")
+    for n in (2 * pairs, 10_000_000):
+        monkeypatch.setattr(type(frame), "count", lambda self, n=n: n if self.columns == ["fp", "bits"] else 0)
+        found = {tuple(sorted(r)) for r in simhash.similar_links(frame, 0.8).collect()}
+        assert sum((i, i + pairs) in found for i in range(pairs)) >= 0.91 * pairs
