@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from letterloom.llm.common import group_bounds, split_hot, text_batches, whole_groups
@@ -187,9 +187,8 @@ def words_for(similarity: float) -> int:
     return max(CHECKED, -(-segment_count(similarity) * WIDTH // 64))
 
 
-def wide_fingerprint(text: str, shingle: int, wide: int) -> np.ndarray:
-    """SimHash of ``wide`` words: every shingle's hash is spread over them by multiplication and shifts."""
-    h = _shingle_hashes(text, shingle)
+def wide_fingerprint(h: np.ndarray, wide: int) -> np.ndarray:
+    """SimHash of ``wide`` words: every distinct shingle's hash is spread over them by multiplication and shifts."""
     if not len(h):
         return np.zeros(wide, np.uint64)
     odd = (np.arange(wide, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C16)) | np.uint64(1)
@@ -211,17 +210,22 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def _allowed(q: float, bits: int, errors: float) -> int:
+    """Bits of ``bits`` that may differ: the share ``q`` and so many standard errors."""
+    return int(bits * (q + errors * math.sqrt(q * (1 - q) / bits)))
+
+
 def similar_links(classes: DataFrame, similarity: float, group: int = GROUP) -> DataFrame:
-    """(a, b) between distinct wide fingerprints (fp, bits), as ``links``.
+    """(a, b) between distinct classes (fp, bits): candidates, connected as in ``links``.
 
     Two texts of the similarity agree in all bits of one of the many segments with probability ``RECALL``: at 0.8
     with 87 segments of 18 bits; closer ones more surely. Neither depends on the number of rows: chance meetings
-    grow with it (10 million rows: 38 under a key), and cost one comparison each. Whoever meets is compared in 256 bits, allowing 1.7 standard errors beyond the average share, which 19
-    of 20 pairs of exactly the similarity keep to.
+    grow with it (10 million rows: 38 under a key), and cost one comparison each. Whoever meets is compared in 256
+    bits, allowing 3.5 standard errors beyond the average share; ``verified_links`` decides.
     """
     segments, wide = segment_count(similarity), words_for(similarity)
     q = differing_share(similarity)
-    most = int(64 * CHECKED * (q + 1.7 * math.sqrt(q * (1 - q) / (64 * CHECKED))))
+    most = _allowed(q, 64 * CHECKED, 3.5)
     checked = [f"v{k}" for k in range(CHECKED)]
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,11 +272,101 @@ def similar_links(classes: DataFrame, similarity: float, group: int = GROUP) ->
     return entries.mapInArrow(run, "a long, b long")
 
 
+#: Texts of fewer distinct shingles are compared by these alone: their bits stray further from the average share.
+FEW = 100
+
+
+def exact_forest(sets: list[np.ndarray], bits: np.ndarray, similarity: float, left: np.ndarray | None = None) -> np.ndarray:
+    """As ``local_forest``, of texts whose distinct shingles (sorted) have the similarity: intersection by union, exactly.
+
+    All bits of the fingerprints are compared before, with 4.5 standard errors to spare.
+    """
+    n = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    most = _allowed(differing_share(similarity), 64 * bits.shape[1], 4.5)
+    root = np.full(n, -1, np.int64)
+    free = np.arange(n)
+    for i in range(n):
+        if root[i] >= 0:
+            continue
+        root[i] = i
+        front = [i]
+        free = free[free != i]
+        while front and len(free):
+            x = front.pop()
+            near = np.minimum(size[free], size[x]) >= similarity * np.maximum(size[free], size[x]) - 1e-9
+            near &= size[free] > 0
+            if left is not None:
+                near &= left[free] != left[x]
+            at = np.flatnonzero(near)
+            at = at[(np.minimum(size[free[at]], size[x]) <= FEW) | (np.bitwise_count(bits[free[at]] ^ bits[x]).sum(axis=1) <= most)]
+            hit = np.zeros(len(free), bool)
+            for part in range(0, len(at), 256):
+                some = at[part : part + 256]
+                other = np.concatenate([sets[k] for k in free[some]])
+                place = np.minimum(np.searchsorted(sets[x], other), size[x] - 1)
+                common = np.add.reduceat((sets[x][place] == other).astype(np.int64), np.append(0, np.cumsum(size[free[some]])[:-1]))
+                hit[some] = common >= similarity * (size[free[some]] + size[x] - common) - 1e-9
+            if hit.any():
+                root[free[hit]] = i
+                front += free[hit].tolist()
+                free = free[~hit]
+    return root
+
+
+def verified_links(docs: DataFrame, classes: DataFrame, candidates: DataFrame, shingle: int, similarity: float, group: int = 5_000) -> DataFrame:
+    """(a, b): links that connect exactly what classes (fp, text_hash, bits) of one candidate component and of the similarity connect.
+
+    The shingles of one text a class are joined to its candidate component (node, component); all texts of a
+    component meet, in pairs of blocks where it is large.
+    """
+    wanted = classes.join(candidates.withColumnRenamed("node", "fp"), "fp")
+    texts = docs.select(_text_hash(), "text").groupBy("text_hash").agg(F.min("text").alias("text"))  # copies are combined before the shuffle
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.unique(_shingle_hashes(t, shingle)).astype("<u8").tobytes() for _, run in text_batches(batch.column("text")) for t in run]
+            yield pa.record_batch([batch.column("component"), batch.column("fp"), batch.column("bits"), pa.array(own, pa.binary())], names=["component", "fp", "bits", "shingles"])
+
+    from letterloom.llm.common import written
+
+    members = written(texts.join(wanted, "text_hash").select("component", "fp", "bits", "text").mapInArrow(sets, "component long, fp long, bits binary, shingles binary"), "shingles")
+    keys = ["component", "low_block", "high_block"]
+    members = split_hot(members, "component", "fp", group).repartition(*keys).sortWithinPartitions(*keys, "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data in whole_groups(batches, keys, 1_000):
+            columns = [data.column(k).to_numpy() for k in keys]
+            fp, block = data.column("fp").to_numpy(), data.column("block").to_numpy()
+            bounds = group_bounds(*columns)
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                rows = data.slice(low, high - low)
+                own = [np.frombuffer(x, "<u8") for x in rows.column("shingles").to_pylist()]
+                bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), "<u8").reshape(len(own), -1)
+                two = columns[1][low] != columns[2][low]
+                root = exact_forest(own, bits, similarity, block[low:high] if two else None)
+                other = root != np.arange(len(root))
+                a.append(fp[low:high][root[other]])
+                b.append(fp[low:high][other])
+            first, second = np.concatenate(a), np.concatenate(b)
+            if len(first):
+                yield pa.record_batch([pa.array(first), pa.array(second)], names=["a", "b"])
+
+    return members.mapInArrow(run, "a long, b long")
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
+
+
 def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """As ``near_duplicates``, for texts whose word shingles are similar, which 64 bits cannot tell well.
+    """As ``near_duplicates``, for texts whose sets of word shingles are similar, which 64 bits cannot tell well.
 
-    ``fp`` is a hash of the wide fingerprint. Texts of fewer words than a shingle are one shingle; those without
-    words are one class.
+    Candidates meet by wide fingerprints; links are verified exactly before components are formed. ``fp`` is a
+    hash of the distinct shingles. Texts of fewer words than a shingle are one shingle; those without words are
+    one class. The fingerprints of texts with few shingles differ by more than the average, so that pairs at
+    exactly the similarity meet less surely there.
     """
     from letterloom.llm.common import written
 
@@ -280,14 +374,20 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [wide_fingerprint(t, shingle, wide).astype("<u8").tobytes() for _, texts in text_batches(batch.column("text")) for t in texts]
-            fp = np.array([xxhash.xxh64_intdigest(r, SEED) for r in rows], np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(fp), pa.array(rows, pa.binary())], names=["doc_id", "fp", "bits"])
+            fp, rows = [], []
+            for _, texts in text_batches(batch.column("text")):
+                for t in texts:
+                    own = np.unique(_shingle_hashes(t, shingle))
+                    fp.append(xxhash.xxh64_intdigest(own.astype("<u8").tobytes(), SEED))
+                    rows.append(wide_fingerprint(own, wide).astype("<u8").tobytes())
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(rows, pa.binary())], names=["doc_id", "text_hash", "fp", "bits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    marked = written(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long, bits binary"), "wide-fingerprints")
-    classes = written(marked.groupBy("fp").agg(F.first("bits").alias("bits")), "wide-classes")
-    return _with_components(marked.select("doc_id", "fp"), connected_components(similar_links(classes, similarity)))
+    marked = written(docs.select("doc_id", _text_hash(), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, fp long, bits binary"), "wide-fingerprints")
+    classes = written(marked.groupBy("fp").agg(F.min("text_hash").alias("text_hash"), F.first("bits").alias("bits")), "wide-classes")
+    candidates = connected_components(similar_links(classes.select("fp", "bits"), similarity))
+    links = verified_links(docs, classes, candidates, shingle, similarity)
+    return _with_components(marked.select("doc_id", "fp"), connected_components(links))
 
 
 def _with_components(marked: DataFrame, parts: DataFrame) -> DataFrame:

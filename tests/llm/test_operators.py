@@ -375,3 +375,32 @@ def test_recall_is_the_same_at_every_size(spark, monkeypatch):
         monkeypatch.setattr(type(frame), "count", lambda self, n=n: n if self.columns == ["fp", "bits"] else 0)
         found = {tuple(sorted(r)) for r in simhash.similar_links(frame, 0.8).collect()}
         assert sum((i, i + pairs) in found for i in range(pairs)) >= 0.91 * pairs
+
+
+def test_similar_texts_against_brute_force(spark):
+    """Pairs of similarity 0.6 to 0.9: only what is linked exactly at 0.8 is joined, and nearly all of it."""
+    rng = np.random.default_rng(12)
+    texts = []
+    for edits in np.tile(np.arange(3, 17), 12):
+        words = rng.choice(VOCAB, 300)
+        other = words.copy()
+        other[rng.choice(300, edits, replace=False)] = [f"e{k}" for k in range(edits)]
+        texts += [" ".join(words), " ".join(other)]
+    texts.append("again and again and still " * 60 + texts[0])  # repeated shingles count once
+
+    def shingles(t):
+        w = t.split()
+        return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = [shingles(t) for t in texts]
+    share = [len(a & b) / len(a | b) for a, b in zip(sets[:-1:2], sets[1:-1:2], strict=True)]
+    assert min(share) < 0.65 and max(share) > 0.88
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(frame).collect()}
+    wrong = [s for i, s in enumerate(share) if s < 0.8 and got[2 * i] == got[2 * i + 1]]
+    found = [got[2 * i] == got[2 * i + 1] for i, s in enumerate(share) if s >= 0.8]
+    assert not wrong and np.mean(found) >= 0.98 and len(found) >= 50
+    assert (got[len(texts) - 1] == got[0]) == (len(sets[-1] & sets[0]) >= 0.8 * len(sets[-1] | sets[0]))
+    classes = [np.unique(simhash._shingle_hashes(t, 5)) for t in texts]
+    wide = np.stack([simhash.wide_fingerprint(h, 25) for h in classes])
+    assert (simhash.exact_forest(classes, wide, 0.8)[1:-1:2] == np.arange(0, len(texts) - 1, 2)).tolist() == [s >= 0.8 for s in share]
