@@ -5,6 +5,10 @@ content. The key of a 50-byte string is the least hash of the 20-byte strings in
 so only strings under one key can be equal, and a run of neighbouring strings shares its key. Keys that a single
 document has cannot repeat. The runs of the others are gathered by key as short segments; the transforms of shards
 of segments are merged by interleave refinement, whose blocks of 50 common bytes are the repeated strings.
+
+A key that very many documents have, as at the ends of a passage that stands in each in other surroundings, is no
+single task's: its segments are dealt by content, and the least document of each of their strings is found by a
+Spark aggregation.
 """
 
 from __future__ import annotations
@@ -14,6 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +31,8 @@ LENGTH = 50
 SEED_SHARE = 0.4
 #: Bytes of segments whose transforms are merged at once; keeps the arrays of a merge small.
 MERGE_BYTES = 120_000
+#: Documents that a key may have in one task; the strings of hotter keys are compared in Spark aggregations.
+HOT_DOCS = 5_000
 _LOW = np.uint64((1 << 40) - 1)
 
 
@@ -110,7 +118,8 @@ def _deal(blobs: DataFrame, n: int) -> DataFrame:
 
 
 def _keys_of_documents(docs: DataFrame, length: int, n: int) -> DataFrame:
-    """(doc_id, key): the keys of each document that another one has, too. Keys travel packed by bucket."""
+    """(doc_id, key, hot): the keys of each document that another one has, too, and whether over ``HOT_DOCS`` have it. Keys travel packed by bucket."""
+    most = HOT_DOCS
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,50 +160,59 @@ def _keys_of_documents(docs: DataFrame, length: int, n: int) -> DataFrame:
         doc, key = doc[order], key[order]
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
-        keep = np.repeat(several, np.diff(np.append(starts, len(key))))
-        doc, key = doc[keep], key[keep].view(np.int64)
+        sizes = np.diff(np.append(starts, len(key)))
+        keep, hot = np.repeat(several, sizes), np.repeat(sizes > most, sizes)
+        doc, key, hot = doc[keep], key[keep].view(np.int64), hot[keep]
         for at in range(0, len(doc), 500_000):
-            yield pa.record_batch([pa.array(doc[at : at + 500_000]), pa.array(key[at : at + 500_000])], names=["doc_id", "key"])
+            yield pa.record_batch([pa.array(doc[at : at + 500_000]), pa.array(key[at : at + 500_000]), pa.array(hot[at : at + 500_000])], names=["doc_id", "key", "hot"])
 
     blobs = docs.mapInArrow(pack, "bucket int, docs binary, counts binary, keys binary")
-    return _deal(blobs, n).mapInArrow(meet, "doc_id long, key long")
+    return _deal(blobs, n).mapInArrow(meet, "doc_id long, key long, hot boolean")
 
 
 def _segments(docs: DataFrame, length: int, n: int) -> DataFrame:
-    """Segments of each batch's documents (_key, text, text_hash, keys and others) under shared keys, distinct ones once, packed by bucket."""
+    """Segments of each batch's documents (_key, text, text_hash, keys, hot_keys and others) under shared keys, distinct ones once, packed by bucket.
+
+    Segments under hot keys are dealt by their content in rows of their own.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shrink = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             ids, hashes, lists = batch.column("_key").to_numpy(), batch.column("text_hash").to_numpy(), batch.column("keys")
+            hot_lists = batch.column("hot_keys")
             for begin, strings in text_batches(batch.column("text"), 1_500_000):
                 texts = [t.encode() for t in strings]
                 text, start, count, key = keyed_runs(texts, length)
                 bucket = _buckets(key, n)
                 short = (key & _LOW) | (bucket.astype(np.uint64) << np.uint64(40))
                 bounds = np.searchsorted(text, np.arange(len(texts) + 1))
-                keep = np.zeros(len(text), bool)
+                keep, hot = np.zeros(len(text), bool), np.zeros(len(text), bool)
                 for k in range(len(texts)):
                     s = slice(bounds[k], bounds[k + 1])
                     keep[s] = np.isin(short[s], lists[begin + k].values.to_numpy(zero_copy_only=False).view(np.uint64))
-                at = np.flatnonzero(keep)
-                at = at[np.argsort(bucket[at], kind="stable")]
-                where = np.searchsorted(bucket[at], np.arange(n + 1))
+                    if len(hot_lists[begin + k]):
+                        hot[s] = np.isin(short[s], hot_lists[begin + k].values.to_numpy(zero_copy_only=False).view(np.uint64))
+                for r in np.flatnonzero(hot).tolist():
+                    bucket[r] = xxhash.xxh64_intdigest(texts[text[r]][start[r] : start[r] + count[r] + length - 1]) % n
                 out: list[tuple] = []
-                for b in np.flatnonzero(np.diff(where)).tolist():
-                    runs = at[where[b] : where[b + 1]]
-                    known: dict[tuple, int] = {}
-                    which = []
-                    for t, s, c, k in zip(text[runs].tolist(), start[runs].tolist(), count[runs].tolist(), short[runs].tolist(), strict=True):
-                        which.append(known.setdefault((k, texts[t][s : s + c + length - 1]), len(known)))
-                    keys, strings_ = zip(*known, strict=True)
-                    own = begin + text[runs]
-                    out.append((b, np.array(keys, "<u8").tobytes(), np.array([len(x) for x in strings_], "<u4").tobytes(), b"".join(strings_), np.array(which, "<u4").tobytes(), ids[own].astype("<i8").tobytes(), hashes[own].astype("<i8").tobytes(), start[runs].astype("<u4").tobytes()))
+                for is_hot, at in ((False, np.flatnonzero(keep)), (True, np.flatnonzero(hot))):
+                    at = at[np.argsort(bucket[at], kind="stable")]
+                    where = np.searchsorted(bucket[at], np.arange(n + 1))
+                    for b in np.flatnonzero(np.diff(where)).tolist():
+                        runs = at[where[b] : where[b + 1]]
+                        known: dict[tuple, int] = {}
+                        which = []
+                        for t, s, c, k in zip(text[runs].tolist(), start[runs].tolist(), count[runs].tolist(), short[runs].tolist(), strict=True):
+                            which.append(known.setdefault((k, texts[t][s : s + c + length - 1]), len(known)))
+                        keys, strings_ = zip(*known, strict=True)
+                        own = begin + text[runs]
+                        out.append((b, is_hot, np.array(keys, "<u8").tobytes(), np.array([len(x) for x in strings_], "<u4").tobytes(), b"".join(strings_), np.array(which, "<u4").tobytes(), ids[own].astype("<i8").tobytes(), hashes[own].astype("<i8").tobytes(), start[runs].astype("<u4").tobytes()))
                 if out:
-                    bucket, *columns = zip(*out, strict=True)
-                    yield pa.record_batch([pa.array(bucket, pa.int32()), *(pa.array(list(map(shrink, c)), pa.binary()) for c in columns)], names=["bucket", *_PACKED])
+                    bucket, is_hot, *columns = zip(*out, strict=True)
+                    yield pa.record_batch([pa.array(bucket, pa.int32()), pa.array(is_hot, pa.bool_()), *(pa.array(list(map(shrink, c)), pa.binary()) for c in columns)], names=["bucket", "hot", *_PACKED])
 
-    return docs.mapInArrow(pack, "bucket int, " + ", ".join(f"{c} binary" for c in _PACKED))
+    return docs.mapInArrow(pack, "bucket int, hot boolean, " + ", ".join(f"{c} binary" for c in _PACKED))
 
 
 _PACKED = ("keys", "sizes", "strings", "which", "docs", "hashes", "starts")
@@ -237,6 +255,7 @@ def _spans_of_bucket(length: int):
         which, docs, hashes, starts = [], [], [], []
         grow = zstandard.ZstdDecompressor().decompress
         for batch in batches:
+            batch = batch.filter(pc.invert(batch.column("hot")))
             for row in zip(*(batch.column(c).to_pylist() for c in _PACKED), strict=True):
                 keys, sizes, text, w, d, h, s = map(grow, row)
                 ends = np.cumsum(np.frombuffer(sizes, "<u4")).tolist()
@@ -272,6 +291,50 @@ def _spans_of_bucket(length: int):
     return run
 
 
+def _hot_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The segments under hot keys, one row a run; equal segments have one hash."""
+    grow = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        batch = batch.filter(batch.column("hot"))
+        for row in zip(*(batch.column(c).to_pylist() for c in _PACKED), strict=True):
+            keys, sizes, text, which, docs, hashes, starts = map(grow, row)
+            ends = np.cumsum(np.frombuffer(sizes, "<u4")).tolist()
+            strings = [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            marks = np.array([xxhash.xxh64_intdigest(x) for x in strings], np.uint64).view(np.int64)
+            which = np.frombuffer(which, "<u4")
+            yield pa.record_batch(
+                [pa.array(np.frombuffer(keys, "<u8").view(np.int64)[which]), pa.array(marks[which]), pa.array(strings, pa.binary()).take(pa.array(which)), pa.array(np.frombuffer(docs, "<i8")), pa.array(np.frombuffer(hashes, "<i8")), pa.array(np.frombuffer(starts, "<u4").astype(np.int64))],
+                names=["key", "mark", "segment", "doc_id", "text_hash", "begin"],
+            )
+
+
+def _hot_spans(dealt: DataFrame, length: int) -> DataFrame:
+    """Spans under hot keys. No task gathers a key or a string: minima are combined before the shuffle, frequent ones broadcast."""
+    runs = dealt.mapInArrow(_hot_runs, "key long, mark long, segment binary, doc_id long, text_hash long, begin long")
+    # as many rows as hot keys, at most the runs divided by the limit
+    keys = runs.groupBy("key").agg((F.min("mark") == F.max("mark")).alias("one"), F.min("doc_id").alias("least"))
+    runs = runs.join(F.broadcast(keys), "key")
+    end = (F.col("begin") + F.octet_length("segment")).alias("end")
+    whole = runs.where("one and least < doc_id").select("doc_id", "text_hash", "begin", end)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            segments = batch.column("segment").to_pylist()
+            count = np.array([len(x) - length + 1 for x in segments], np.int64)
+            strings = [xxhash.xxh3_128_digest(x[k : k + length]) for x in segments for k in range(len(x) - length + 1)]
+            row = np.repeat(np.arange(len(count)), count)
+            offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            doc, text, begin = (batch.column(c).to_numpy()[row] for c in ("doc_id", "text_hash", "begin"))
+            yield pa.record_batch([pa.array(strings, pa.binary()), pa.array(doc), pa.array(text), pa.array(begin + offset)], names=["string", "doc_id", "text_hash", "begin"])
+
+    strings = runs.where("not one").select("segment", "doc_id", "text_hash", "begin").mapInArrow(cut, "string binary, doc_id long, text_hash long, begin long")
+    minima = strings.groupBy("string").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"), F.count(F.lit(1)).alias("n")).where("least < greatest")
+    frequent = F.broadcast(minima.where(F.col("n") > HOT_DOCS).select("string", "least"))
+    rest = minima.where(F.col("n") <= HOT_DOCS).select("string", "least")
+    met = strings.join(frequent, "string").unionByName(strings.join(frequent, "string", "left_anti").join(rest, "string"))
+    return whole.unionByName(met.where("least < doc_id").select("doc_id", "text_hash", "begin", (F.col("begin") + length).alias("end")))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` (doc_id, text and any columns) with text_hash and ``spans``: array of (text_hash, begin, end) byte ranges, null where nothing repeats.
 
@@ -287,11 +350,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     docs = docs.withColumn("_key", F.col("doc_id").cast("long"))
     long_enough = F.col("_key").isNotNull() & (F.octet_length(F.coalesce("text", F.lit(""))) >= length)
     texts = docs.where(long_enough)
-    shared = _keys_of_documents(texts.select(F.col("_key").alias("doc_id"), "text"), length, n).groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+    shared = _keys_of_documents(texts.select(F.col("_key").alias("doc_id"), "text"), length, n)
+    shared = shared.groupBy("doc_id").agg(*(F.collect_list(F.when(F.col("hot") == F.lit(h), F.col("key"))).alias(c) for c, h in (("keys", False), ("hot_keys", True))))
     shared = written(shared, "shared-keys").withColumnRenamed("doc_id", "_key")
     # both joins read the same shuffle of the texts: nothing is selected before it, so the plans agree
-    segments = _segments(texts.join(shared.hint("shuffle_hash"), "_key"), length, n)
-    spans = _deal(segments, n).mapInArrow(_spans_of_bucket(length), _SPAN)
+    dealt = _deal(_segments(texts.join(shared.hint("shuffle_hash"), "_key"), length, n), n)
+    spans = dealt.mapInArrow(_spans_of_bucket(length), _SPAN).unionByName(_hot_spans(dealt, length))
     spans = spans.groupBy(F.col("doc_id").alias("_key")).agg(F.collect_list(F.struct("text_hash", "begin", "end")).alias("spans"))
     marked = texts.join(spans.hint("shuffle_hash"), "_key", "left").drop("_key")
     return marked.unionByName(docs.where(~long_enough).drop("_key").withColumn("spans", F.lit(None).cast(marked.schema["spans"].dataType)))

@@ -404,3 +404,28 @@ def test_similar_texts_against_brute_force(spark):
     classes = [np.unique(simhash._shingle_hashes(t, 5)) for t in texts]
     wide = np.stack([simhash.wide_fingerprint(h, 25) for h in classes])
     assert (simhash.exact_forest(classes, wide, 0.8)[1:-1:2] == np.arange(0, len(texts) - 1, 2)).tolist() == [s >= 0.8 for s in share]
+
+
+def test_repeats_of_a_passage_in_a_third_of_documents(spark, monkeypatch):
+    """One passage with differing neighbours: no task gets all segments of its keys, and the result is the same."""
+    rng = np.random.default_rng(13)
+
+    def words(n):
+        return " ".join(rng.choice(VOCAB, n))
+
+    passage = words(30)
+    data = [(i, words(25) + (" " + passage + " " + words(8) if i % 3 == 0 else "")) for i in range(240)]
+    data += [(900, data[3][1]), (901, "tail of it " + passage[40:]), (902, passage + "x"), (902, passage + "x"), (None, passage)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    monkeypatch.setattr(repeats, "HOT_DOCS", 20, raising=False)
+    seen = spark.sparkContext.accumulator(0)
+    earlier = repeats._earlier
+
+    def watched(strings, keys, first, length):
+        if len(keys):
+            seen.add(int(np.unique(keys, return_counts=True)[1].max() > 30))
+        return earlier(strings, keys, first, length)
+
+    monkeypatch.setattr(repeats, "_earlier", watched)
+    got = sorted(str(tuple(r)) for r in repeats.removal_report(repeats.repeated_spans(docs)).collect())
+    assert got == brute_repeats(data) and seen.value == 0
