@@ -114,3 +114,12 @@ def test_streaming_equals_batch(spark, tmp_path):
     ingest.ingest(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == 2 and got.where("doc_number = '421/1/AB/2024'").count() == 1
+
+
+def test_find_contained_seeks_short_needles(spark):
+    hay = spark.createDataFrame([(1, "one two three four"), (2, "someone else"), (3, None)], "doc_id long, hay string")
+    needles = spark.createDataFrame([(1, "one"), (2, "two three"), (3, "one two three"), (4, "five"), (5, "one"), (6, None)], "item_id long, needle string")
+    from letterloom.operators.relations import find_contained
+
+    got = sorted(tuple(r) for r in find_contained(hay, needles).collect())
+    assert got == [(1, 1), (1, 2), (1, 3), (1, 5), (2, 1), (2, 5)]
