@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from letterloom.functions.text import audit_norm, cmp_norm_ascii, col, digits
+from letterloom.functions.text import audit_norm, cmp_norm_ascii, col, digits, once
 from letterloom.functions.validate import date_variants
 
 
 def cmp_verdict(machine, label) -> Column:
     """exact, partial (either holds the other), wrong, empty or no_ref, of values already normalised."""
-    a, b = (F.coalesce(col(x), F.lit("")) for x in (machine, label))
+    values = F.struct(*(F.coalesce(col(x), F.lit("")).alias(n) for n, x in (("a", machine), ("b", label))))
+    return once(values, lambda v: _verdict(v["a"], v["b"]))
+
+
+def _verdict(a: Column, b: Column) -> Column:
     return F.when(b == "", "no_ref").when(a == "", "empty").when(a == b, "exact").when(F.contains(b, a) | F.contains(a, b), "partial").otherwise("wrong")
 
 
@@ -34,8 +38,8 @@ def aud_contains(value, text_norm) -> Column:
 def aud_date(iso, text_norm) -> Column:
     day = F.regexp_extract(F.coalesce(col(iso), F.lit("")), r"^(\d{4})-(\d{2})-(\d{2})", 3).try_cast("int").cast("string")
     year = F.left(F.coalesce(col(iso), F.lit("")), F.lit(4))
-    near = F.regexp_like(col(text_norm), F.concat(F.lit(r"\b"), day, F.lit(r"\b.{0,20}"), year))
-    return F.when(F.exists(date_variants(iso), lambda v: F.contains(col(text_norm), v)), "found").when(F.coalesce(near, F.lit(False)), "similar").otherwise("not_found")
+    near = lambda t: F.regexp_like(t, F.concat(F.lit(r"\b"), day, F.lit(r"\b.{0,20}"), year))
+    return once(text_norm, lambda t: F.when(F.exists(date_variants(iso), lambda v: F.contains(t, v)), "found").when(F.coalesce(near(t), F.lit(False)), "similar").otherwise("not_found"))
 
 
 def aud_signer_id(value, text_norm) -> Column:

@@ -6,31 +6,35 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from letterloom.functions import rules
-from letterloom.functions.text import col, first_match, found, replace, split_glued, strip
+from letterloom.functions.text import col, found, once, replace, rx, split_glued, strip
 
 
 def type_code(text, filename) -> Column:
     """hits * 100 + preference of the best type; no join and no shuffle, the rules are part of the expression."""
-    both = F.lower(F.concat(F.coalesce(col(filename), F.lit("")), F.lit("\n"), F.coalesce(col(text), F.lit(""))))
     last = len(rules.DOC_TYPES)
-    codes = [
-        F.when(hits > 0, hits * 100 + (last - order)).otherwise(0)
-        for order, (_, patterns, _) in enumerate(rules.DOC_TYPES)
-        if patterns
-        for hits in [sum((found(both, p, "im").cast("int") for p in patterns), F.lit(0))]
-    ]
-    return F.greatest(*codes)
+
+    def best(both: Column) -> Column:
+        def code(order: int, patterns: tuple[str, ...]) -> Column:
+            hits = sum((found(both, p, "im").cast("int") for p in patterns), F.lit(0))
+            return once(hits, lambda n: F.when(n > 0, n * 100 + (last - order)).otherwise(0))
+
+        return F.greatest(*(code(order, patterns) for order, (_, patterns, _) in enumerate(rules.DOC_TYPES) if patterns))
+
+    return once(F.lower(F.concat(F.coalesce(col(filename), F.lit("")), F.lit("\n"), F.coalesce(col(text), F.lit("")))), best)
 
 
 def doc_type(text, filename) -> Column:
     """struct(type, hits, confidence): the type with most patterns, ties by preference; an image is media whatever it says."""
-    code = type_code(text, filename)
     names = F.array(*(F.lit(t) for t, _, _ in rules.DOC_TYPES))
-    image = is_image(filename)
-    hits = F.floor(code / 100).cast("int")
-    kind = F.when(image, rules.MEDIA_TYPE).when(code == 0, rules.UNKNOWN_TYPE).otherwise(F.element_at(names, (F.lit(len(rules.DOC_TYPES)) - code % 100 + 1).cast("int")))
-    sure = F.when(image, F.lit(80)).when(code == 0, F.lit(0)).otherwise(F.least(F.lit(100), 50 + 15 * hits))
-    return F.struct(kind.alias("type"), F.when(image, 0).otherwise(hits).alias("hits"), (sure / 100).alias("confidence"))
+
+    def result(code: Column) -> Column:
+        hits = F.floor(code / 100).cast("int")
+        kind = F.when(code == 0, rules.UNKNOWN_TYPE).otherwise(F.element_at(names, (F.lit(len(rules.DOC_TYPES)) - code % 100 + 1).cast("int")))
+        sure = F.when(code == 0, F.lit(0)).otherwise(F.least(F.lit(100), 50 + 15 * hits))
+        return F.struct(kind.alias("type"), hits.alias("hits"), (sure / 100).alias("confidence"))
+
+    image = F.struct(F.lit(rules.MEDIA_TYPE).alias("type"), F.lit(0).alias("hits"), (F.lit(80) / 100).alias("confidence"))
+    return F.when(is_image(filename), image).otherwise(once(type_code(text, filename), result))
 
 
 def is_image(filename) -> Column:
@@ -48,20 +52,28 @@ def irrelevant_fields(kind) -> Column:
 
 def region(text) -> Column:
     """struct(code, name): the first government entity decides, else a mention of the home name."""
-    t = split_glued(F.upper(F.coalesce(col(text), F.lit(""))))
-    kind, name = first_match(t, rules.ENTITY, 1, "i"), first_match(t, rules.ENTITY, 2, "i")
-    squeezed = strip(replace(name, r"\s+", " "))
-    entity = strip(F.concat_ws(" ", kind, squeezed))
     home = F.lit(rules.HOME_NAME)
-    code = F.when(name.isNotNull(), F.when(F.contains(squeezed, home), rules.HOME_REGION).otherwise(rules.OUTSIDE_REGION)).when(F.contains(t, home), rules.HOME_REGION).otherwise(rules.UNKNOWN_REGION)
-    return F.struct(code.alias("code"), F.when(name.isNotNull(), entity).when(F.contains(t, home), F.lit(f"KOTA {rules.HOME_NAME}")).otherwise("").alias("name"))
+
+    def named(kind: Column, name: Column) -> Column:
+        code = F.when(F.contains(name, home), rules.HOME_REGION).otherwise(rules.OUTSIDE_REGION)
+        return F.struct(code.alias("code"), strip(F.concat_ws(" ", kind, name)).alias("name"))
+
+    def mentioned(t: Column) -> Column:
+        here = F.struct(F.lit(rules.HOME_REGION).alias("code"), F.lit(f"KOTA {rules.HOME_NAME}").alias("name"))
+        return F.when(F.contains(t, home), here).otherwise(F.struct(F.lit(rules.UNKNOWN_REGION).alias("code"), F.lit("").alias("name")))
+
+    def judge(t: Column) -> Column:
+        name = strip(replace(F.regexp_extract(t, rx(rules.ENTITY, "i"), 2), r"\s+", " "))
+        return F.when(found(t, rules.ENTITY, "i"), once(name, lambda n: named(F.regexp_extract(t, rx(rules.ENTITY, "i"), 1), n))).otherwise(mentioned(t))
+
+    return once(split_glued(F.upper(F.coalesce(col(text), F.lit("")))), judge)
 
 
 def tag(text) -> Column:
     """struct(tag, keyword) of the first tag with a keyword in the text; both null without one."""
-    low = F.lower(F.coalesce(col(text), F.lit("")))
     table = F.array(*(F.struct(F.lit(t).alias("tag"), F.lit(k).alias("keyword")) for t, words in rules.TAGS for k in words))
-    return F.get(F.filter(table, lambda r: F.contains(low, r["keyword"])), F.lit(0))
+    first = lambda low: F.get(F.filter(table, lambda r: F.contains(low, r["keyword"])), F.lit(0))
+    return once(F.lower(F.coalesce(col(text), F.lit(""))), first)
 
 
 def skipped_name(filename) -> Column:

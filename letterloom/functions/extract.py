@@ -6,16 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from letterloom.functions import rules
-from letterloom.functions.text import clean_value, col, count_matches, first_match, found, line_clean, norm_agency, norm_name, normalize, replace, rx, strip
+from letterloom.functions.text import clean_value, col, count_matches, first_match, found, line_clean, norm_agency, norm_name, normalize, once, replace, rx, strip
 
 _MARKS = " .;,"
 
 
 def docnum_valid(c) -> Column:
-    v = strip(c, _MARKS)
-    checks = F.length(v).between(5, 80) & F.contains(v, F.lit("/")) & ~found(v, rules.ADDRESS_IN_NUMBER, "i")
-    checks &= found(v, r"\d") & found(v, "[A-Za-z]") & found(v, "[A-Z]") & ~found(v, "[a-z]{3,}-[a-z]{3,}")
-    return F.coalesce(checks, F.lit(False))
+    def valid(v: Column) -> Column:
+        checks = F.length(v).between(5, 80) & F.contains(v, F.lit("/")) & ~found(v, rules.ADDRESS_IN_NUMBER, "i")
+        checks &= found(v, r"\d") & found(v, "[A-Za-z]") & found(v, "[A-Z]") & ~found(v, "[a-z]{3,}-[a-z]{3,}")
+        return F.coalesce(checks, F.lit(False))
+
+    return once(strip(c, _MARKS), valid)
 
 
 def docnum_labelled(lines) -> Column:
@@ -35,8 +37,8 @@ def docnum(text, lines) -> Column:
 
 def header_zone(lines) -> Column:
     """Lines before the first number line among the first 15, ten at most; else the first eight."""
-    at = F.array_position(F.transform(F.slice(col(lines), 1, 15), lambda x: found(x, rules.NUMBER_LINE, "i")), True)
-    return F.when(at > 0, F.slice(col(lines), F.lit(1), F.least(at - 1, F.lit(10)).cast("int"))).otherwise(F.slice(col(lines), 1, 8))
+    place = F.array_position(F.transform(F.slice(col(lines), 1, 15), lambda x: found(x, rules.NUMBER_LINE, "i")), True)
+    return once(place, lambda at: F.when(at > 0, F.slice(col(lines), F.lit(1), F.least(at - 1, F.lit(10)).cast("int"))).otherwise(F.slice(col(lines), 1, 8)))
 
 
 def _agency_ok(b: Column) -> Column:
@@ -48,7 +50,7 @@ def _agency_ok(b: Column) -> Column:
 
 
 def agency_ok(c) -> Column:
-    return _agency_ok(line_clean(c))
+    return once(line_clean(c), _agency_ok)
 
 
 def agency(lines) -> Column:
@@ -73,8 +75,7 @@ def subject_raw(text) -> Column:
 
 
 def subject(text) -> Column:
-    raw = subject_raw(text)
-    return F.when(raw.isNotNull(), F.left(normalize(raw), F.lit(200)))
+    return once(subject_raw(text), lambda raw: F.when(raw.isNotNull(), F.left(normalize(raw), F.lit(200))))
 
 
 def date_raw(text) -> Column:
@@ -84,16 +85,16 @@ def date_raw(text) -> Column:
 def signer_id(text) -> Column:
     """Digits behind a label; only without any label, an id that stands alone."""
     labelled = F.regexp_replace(first_match(text, rules.SIGNER_ID_LABEL), "[^0-9]", "")
-    alone = F.concat(*(first_match(text, rules.SIGNER_ID_ALONE, k) for k in range(1, 5)))
+    alone = replace(first_match(text, rules.SIGNER_ID_ALONE, 0), r"\s", "")  # its groups, next to each other
     return F.coalesce(labelled, alone)
 
 
 def signer_name(lines, signer) -> Column:
     """The line above the first one with the id or its label, if it may be a name."""
-    at = F.array_position(F.transform(col(lines), lambda x: F.contains(x, col(signer)) | F.contains(x, F.lit("NIP"))), True)
-    name = F.get(col(lines), (at - 2).cast("int"))
-    usable = (at > 1) & (F.length(name) > 3) & ~found(name, rules.NOT_A_NAME, "i")
-    return F.when(col(signer).isNotNull() & (col(signer) != "") & usable, norm_name(name))
+    place = F.array_position(F.transform(col(lines), lambda x: F.contains(x, col(signer)) | F.contains(x, F.lit("NIP"))), True)
+    above = once(place, lambda at: F.when(at > 1, F.get(col(lines), (at - 2).cast("int"))))
+    usable = lambda name: (F.length(name) > 3) & ~found(name, rules.NOT_A_NAME, "i")
+    return F.when(col(signer) != "", once(above, lambda name: F.when(usable(name), norm_name(name))))
 
 
 _EDGE = ".,;:"
@@ -105,7 +106,7 @@ def _title_ok(b: Column) -> Column:
 
 
 def title_ok(c) -> Column:
-    return _title_ok(strip(line_clean(c), _EDGE))
+    return once(strip(line_clean(c), _EDGE), _title_ok)
 
 
 def title_join(first: Column, following: Column) -> Column:
@@ -125,7 +126,7 @@ def title_anchor(lines, signer, name) -> Column:
     """1-based line of the signature: with an id behind its label, else with the id's digits, else with the name; 0 if none."""
 
     def line(test) -> Column:
-        return F.nullif(F.array_position(F.transform(col(lines), test), True), F.lit(0))
+        return once(F.array_position(F.transform(col(lines), test), True), lambda at: F.when(at > 0, at))
 
     by_id = F.when(F.coalesce(col(signer), F.lit("")) != "", line(lambda x: F.contains(F.regexp_replace(x, "[^0-9]", ""), col(signer))))
     by_name = F.when(F.coalesce(col(name), F.lit("")) != "", line(lambda x: F.contains(F.lower(x), F.lower(col(name)))))
@@ -140,12 +141,11 @@ def title(lines, cleaned, anchor) -> Column:
     """
     lines, cleaned, anchor = col(lines), col(cleaned), col(anchor)
     near = F.filter(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: anchor - k), lambda i: (i >= 1) & _title_ok(F.get(cleaned, i - 1)))
-    at = F.get(near, F.lit(0))
-    joined = title_join(F.get(cleaned, at - 1), F.slice(cleaned, at + 1, F.greatest(anchor - at - 1, F.lit(0))))
+    joined = once(F.get(near, F.lit(0)), lambda at: F.when(at.isNotNull(), title_join(F.get(cleaned, at - 1), F.slice(cleaned, at + 1, F.greatest(anchor - at - 1, F.lit(0))))))
     tails = F.transform(F.filter(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.when(anchor - k >= 1, F.get(lines, anchor - k - 1))), lambda x: F.contains(x, F.lit(","))), lambda x: strip(replace(x, r"^[^,]*,", "", "s")))
     tail = F.get(F.filter(tails, title_ok), F.lit(0))
     anywhere = F.get(F.filter(cleaned, _title_ok), F.lit(0))
-    return F.coalesce(F.when(at.isNotNull(), joined), strip(tail, _EDGE), anywhere, F.lit(""))
+    return F.coalesce(joined, strip(tail, _EDGE), anywhere, F.lit(""))
 
 
 def cleaned_lines(lines) -> Column:

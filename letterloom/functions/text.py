@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,15 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(c, body) -> Column:
+    """``body`` of a value that is worked out once however often the body uses it.
+
+    A column's name is passed on; any other expression is bound to a variable (that of a one-element array), which
+    the optimizer does not copy into its uses, so expressions grow with their length and not with their repeats.
+    """
+    return body(F.col(c)) if isinstance(c, str) else F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def rx(pattern: str, flags: str = "") -> str:
     """Unicode-aware classes and word boundaries, with further inline flags."""
     return f"(?U{flags}){pattern}"
@@ -23,7 +34,7 @@ def found(c, pattern: str, flags: str = "") -> Column:
 
 def first_match(c, pattern: str, group: int = 1, flags: str = "") -> Column:
     """The first match's group, null where there is none."""
-    return F.when(found(c, pattern, flags), F.regexp_extract(col(c), rx(pattern, flags), group))
+    return once(c, lambda v: F.when(found(v, pattern, flags), F.regexp_extract(v, rx(pattern, flags), group)))
 
 
 def replace(c, pattern: str, by: str, flags: str = "") -> Column:
@@ -43,30 +54,34 @@ _CAPS = r"\b[A-Z][A-Z.]{9,}\b"
 
 def split_glued(c) -> Column:
     """Put spaces between known terms inside long words in capitals that hold two terms or more."""
-    terms = F.array(*map(F.lit, TERMS))
+    terms = F.split(F.lit(" ".join(TERMS)), " ")  # one literal, split once when the plan is made
     longest_first = "|".join(sorted(TERMS, key=len, reverse=True))
 
-    def part(piece: Column) -> Column:
-        cut = F.trim(F.regexp_replace(F.regexp_replace(piece, f"({longest_first})", " $1 "), " +", " "))
-        several = F.size(F.filter(terms, lambda t: F.contains(piece, t))) >= 2
-        usable = several & ~F.exists(F.split(cut, " "), lambda x: F.length(x) > 24)
-        return F.when(piece.rlike(f"^{_CAPS}$") & usable, cut).otherwise(piece)
+    def part(word: Column) -> Column:
+        cut = F.trim(F.regexp_replace(F.regexp_replace(word, f"({longest_first})", " $1 "), " +", " "))
+        several = F.size(F.filter(terms, lambda t: F.contains(word, t))) >= 2
+        return F.when(several, once(cut, lambda x: F.when(F.exists(F.split(x, " "), lambda y: F.length(y) > 24), word).otherwise(x))).otherwise(word)
+
+    def whole(v: Column) -> Column:
+        between, words = F.split(v, rx(_CAPS), -1), F.regexp_extract_all(v, F.lit(rx(_CAPS)), F.lit(0))
+        pieces = F.zip_with(between, words, lambda x, w: F.when(w.isNull(), x).otherwise(F.concat(x, part(w))))  # words are one fewer
+        return F.when(found(v, _CAPS), F.array_join(pieces, "")).otherwise(v)
 
-    pieces = F.regexp_extract_all(col(c), F.lit(rx(rf"{_CAPS}|(?:(?!{_CAPS}).)+", "s")), F.lit(0))
-    return F.when(found(c, _CAPS), F.array_join(F.transform(pieces, part), "")).otherwise(col(c))
+    return once(c, whole)
 
 
 def fix_misread(c) -> Column:
     """Correct whole words that scans misread, keeping upper, capitalised or lower case."""
     known = F.create_map(*(F.lit(x) for pair in MISREAD.items() for x in pair))
 
+    def shaped(w: Column, right: Column) -> Column:
+        return F.when(w == F.upper(w), F.upper(right)).when(F.left(w, F.lit(1)).rlike("[A-Z]"), F.concat(F.upper(F.left(right, F.lit(1))), F.substring(right, 2, 1000))).otherwise(right)
+
     def word(w: Column) -> Column:
-        right = F.try_element_at(known, F.lower(w))
-        shaped = F.when(w == F.upper(w), F.upper(right)).when(F.left(w, F.lit(1)).rlike("[A-Z]"), F.concat(F.upper(F.left(right, F.lit(1))), F.substring(right, 2, 1000))).otherwise(right)
-        return F.coalesce(shaped, w)
+        return F.coalesce(once(F.try_element_at(known, F.lower(w)), lambda right: shaped(w, right)), w)
 
-    words = F.regexp_extract_all(col(c), F.lit(r"(?Us)\w+|\W+"), F.lit(0))
-    return F.when(col(c) == "", col(c)).otherwise(F.array_join(F.transform(words, word), ""))
+    words = lambda v: F.regexp_extract_all(v, F.lit(r"(?Us)\w+|\W+"), F.lit(0))
+    return once(c, lambda v: F.when(found(v, r"\b(?:" + "|".join(map(re.escape, MISREAD)) + r")\b", "i"), F.array_join(F.transform(words(v), word), "")).otherwise(v))
 
 
 def clean_value(c) -> Column:

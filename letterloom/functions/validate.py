@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from letterloom.functions import rules
-from letterloom.functions.text import audit_norm, col, digits, found, rx, strip
+from letterloom.functions.text import audit_norm, col, digits, first_match, once, replace, strip
 
 
 def _two(c: Column) -> Column:
@@ -15,45 +15,54 @@ def _two(c: Column) -> Column:
 
 def signer_id(raw, text) -> Column:
     """struct(valid, id): an 18-digit id is judged as it is; any other is sought in the text."""
-    d = digits(raw)
-    birth, joined, sex = (F.substring(d, a, n).try_cast("int") for a, n in ((1, 4), (9, 4), (15, 1)))
-    plausible = birth.between(1940, 2025) & joined.between(1960, 2030) & sex.isin(1, 2)
-    healed = F.when(found(text, rules.SIGNER_ID_HEALED), F.concat(*(F.regexp_extract(col(text), rx(rules.SIGNER_ID_HEALED), k) for k in range(1, 8))))
-    return F.when(F.length(d) == 18, F.struct(plausible.alias("valid"), d.alias("id"))).otherwise(F.struct(healed.isNotNull().alias("valid"), healed.alias("id")))
+    healed = replace(first_match(text, rules.SIGNER_ID_HEALED, 0), r"\s", "")  # the groups, next to each other
+
+    def judge(d: Column) -> Column:
+        birth, joined, sex = (F.substring(d, a, n).try_cast("int") for a, n in ((1, 4), (9, 4), (15, 1)))
+        plausible = birth.between(1940, 2025) & joined.between(1960, 2030) & sex.isin(1, 2)
+        sought = once(healed, lambda h: F.struct(h.isNotNull().alias("valid"), h.alias("id")))
+        return F.when(F.length(d) == 18, F.struct(plausible.alias("valid"), d.alias("id"))).otherwise(sought)
+
+    return once(digits(raw), judge)
 
 
 def date_iso(raw) -> Column:
     """ISO date of a written one: ISO as it is, then day, month name, year by the order of the month table, then d/m/y."""
-    c = F.lower(strip(raw))
-    tries = [F.when(c.rlike(r"\b\d{4}-\d{2}-\d{2}\b"), F.regexp_extract(c, r"\b\d{4}-\d{2}-\d{2}\b", 0))]
-    for name, number in rules.MONTHS:
-        p = rf"\b(\d{{1,2}})\s+{name}\s+(\d{{4}})\b"
-        tries.append(F.when(c.rlike(p), F.concat(F.regexp_extract(c, p, 2), F.lit(f"-{number:02d}-"), F.lpad(F.regexp_extract(c, p, 1), 2, "0"))))
-    p = r"\b(\d{1,2})[/\-](\d{1,2})[/\-](\d{4})\b"
-    day, month = (F.regexp_extract(c, p, k).try_cast("int") for k in (1, 2))
-    tries.append(F.when(month.between(1, 12) & day.between(1, 31), F.concat(F.regexp_extract(c, p, 3), F.lit("-"), _two(month), F.lit("-"), _two(day))))
-    return F.coalesce(*tries)
+
+    def read(c: Column) -> Column:
+        tries = [F.when(c.rlike(r"\b\d{4}-\d{2}-\d{2}\b"), F.regexp_extract(c, r"\b\d{4}-\d{2}-\d{2}\b", 0))]
+        for name, number in rules.MONTHS:
+            p = rf"\b(\d{{1,2}})\s+{name}\s+(\d{{4}})\b"
+            tries.append(F.when(F.contains(c, F.lit(name)) & c.rlike(p), F.concat(F.regexp_extract(c, p, 2), F.lit(f"-{number:02d}-"), F.lpad(F.regexp_extract(c, p, 1), 2, "0"))))
+        p = r"\b(\d{1,2})[/\-](\d{1,2})[/\-](\d{4})\b"
+        day, month = (F.regexp_extract(c, p, k).try_cast("int") for k in (1, 2))
+        tries.append(F.when(c.rlike(p) & month.between(1, 12) & day.between(1, 31), F.concat(F.regexp_extract(c, p, 3), F.lit("-"), _two(month), F.lit("-"), _two(day))))
+        return F.coalesce(*tries)
+
+    return once(F.lower(strip(raw)), read)
 
 
 def date_sheet(raw) -> Column:
     """struct(value, changed): a date as spreadsheets write it, made ISO; anything else is left as it is."""
-    s = strip(F.coalesce(col(raw), F.lit("")))
-    iso, dmy, named = r"^(\d{4})-(\d{1,2})-(\d{1,2})$", r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})$", r"^(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})$"
+    def read(s: Column) -> Column:
+        iso, dmy, named = r"^(\d{4})-(\d{1,2})-(\d{1,2})$", r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})$", r"^(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})$"
+
+        def part(p: str, k: int) -> Column:
+            return F.regexp_extract(s, p, k)
 
-    def part(p: str, k: int) -> Column:
-        return F.regexp_extract(s, p, k)
+        a, b = part(dmy, 1).try_cast("int"), part(dmy, 2).try_cast("int")
+        swapped = (b > 12) & (a <= 12)
+        months = F.create_map(*(x for name, n in rules.SHEET_MONTHS for x in (F.lit(name), F.lit(f"{n:02d}"))))
+        month = F.try_element_at(months, F.lower(part(named, 2)))
+        new = (
+            F.when(s.rlike(iso), F.concat(part(iso, 1), F.lit("-"), _two(part(iso, 2).try_cast("int")), F.lit("-"), _two(part(iso, 3).try_cast("int"))))
+            .when(s.rlike(dmy), F.concat(part(dmy, 3), F.lit("-"), _two(F.when(swapped, a).otherwise(b)), F.lit("-"), _two(F.when(swapped, b).otherwise(a))))
+            .when(s.rlike(named) & month.isNotNull(), F.concat(part(named, 3), F.lit("-"), month, F.lit("-"), _two(part(named, 1).try_cast("int"))))
+        )
+        changed = F.when(s.rlike(iso), new != s).otherwise(new.isNotNull())
+        return F.struct(F.coalesce(new, s).alias("value"), changed.alias("changed"))
 
-    a, b = part(dmy, 1).try_cast("int"), part(dmy, 2).try_cast("int")
-    swapped = (b > 12) & (a <= 12)
-    months = F.create_map(*(x for name, n in rules.SHEET_MONTHS for x in (F.lit(name), F.lit(f"{n:02d}"))))
-    month = F.try_element_at(months, F.lower(part(named, 2)))
-    new = (
-        F.when(s.rlike(iso), F.concat(part(iso, 1), F.lit("-"), _two(part(iso, 2).try_cast("int")), F.lit("-"), _two(part(iso, 3).try_cast("int"))))
-        .when(s.rlike(dmy), F.concat(part(dmy, 3), F.lit("-"), _two(F.when(swapped, a).otherwise(b)), F.lit("-"), _two(F.when(swapped, b).otherwise(a))))
-        .when(s.rlike(named) & month.isNotNull(), F.concat(part(named, 3), F.lit("-"), month, F.lit("-"), _two(part(named, 1).try_cast("int"))))
-    )
-    changed = F.when(s.rlike(iso), new != s).otherwise(new.isNotNull())
-    return F.struct(F.coalesce(new, s).alias("value"), changed.alias("changed"))
+    return once(strip(F.coalesce(col(raw), F.lit(""))), read)
 
 
 def date_variants(iso) -> Column:
@@ -83,7 +92,8 @@ def confidence(doc_number, agency, subject, iso_date, signer, valid, url) -> Col
     points = F.least(points + F.when(given(url), w["verification_url"]).otherwise(0), F.lit(100))
     flags = [F.when(~v, rules.FLAGS[k]) for k, v in ok.items()] + [F.when(given(signer) & ~col(valid), rules.FLAGS["signer_id"])]
     flags = F.filter(F.array(*flags), lambda x: x.isNotNull())
-    return F.struct((points / 100).alias("score"), points.alias("hundredths"), flags.alias("flags"), needs_review(points, flags).alias("review"))
+    result = lambda v: F.struct((v["p"] / 100).alias("score"), v["p"].alias("hundredths"), v["f"].alias("flags"), needs_review(v["p"], v["f"]).alias("review"))
+    return once(F.struct(points.alias("p"), flags.alias("f")), result)
 
 
 def needs_review(hundredths: Column, flags: Column) -> Column:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from letterloom.functions import validate
 from letterloom.functions.text import dup_norm
 from letterloom.operators.python_functions import longest_block_share, similarity
+from letterloom.shared import written
 
 
 def preference(name: str = "filename") -> Column:
@@ -50,9 +50,9 @@ def flatten(pointers: DataFrame) -> DataFrame:
 def mark(df: DataFrame) -> DataFrame:
     """filename, duplicate_of of all copies in ``df`` (filename, doc_number, text); markers it has are not read."""
     df = df.select("filename", "doc_number", dup_norm("text").alias("text_norm"))
-    numbered = by_number(df).persist(StorageLevel.DISK_ONLY)  # used twice, and its comparisons are costly
+    numbered = written(by_number(df), "numbered")  # used twice, and its comparisons are costly
     rest = df.join(numbered.select("filename"), "filename", "left_anti").withColumn("text_sha256", validate.content_hash(F.col("text_norm")))
-    return flatten(numbered.unionByName(by_hash(rest)).persist(StorageLevel.DISK_ONLY))
+    return flatten(written(numbered.unionByName(by_hash(rest)), "pointers"))
 
 
 def text_choice(pdf_norm: Column, excerpt_norm: Column) -> Column:

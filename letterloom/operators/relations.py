@@ -6,20 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from letterloom.functions.classify import split_rank
+from letterloom.shared import written
 
 
 def numbered_by(df: DataFrame, *order: str | Column) -> DataFrame:
-    """``df`` with ``no``, 1 up in the given order: sorted in ranges, numbered by the sizes of those before; no single task sorts all."""
+    """``df`` with ``no``, 1 up in the given order: sorted in ranges, numbered by the sizes of those before; no single task sorts all.
+
+    The sorted ranges are written once, and both the sizes and the rows are read from there: computed twice, the
+    ranges could differ, as their bounds come from a sample. Rows that tie may stand in any order.
+    """
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number: adaptive execution leaves these partitions alone
-    ordered = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
-    sizes = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # one row per partition
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    ordered = written(ordered.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "ordered")
+    sizes = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row per partition
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return (
-        ordered.withColumn("_part", part).join(F.broadcast(before), "_part")
-        .withColumn("no", F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).drop("_id", "_part", "_before")
-    )
+    return ordered.join(F.broadcast(before), "_part").withColumn("no", F.col("_before") + F.col("_row") + 1).drop("_row", "_part", "_before")
 
 
 def seeded_split(df: DataFrame, key: str, train: float = 0.6, seed: int = 42) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from letterloom.functions import audit, rules, validate
+from letterloom.functions import audit, classify, extract, rules, validate
 from letterloom.functions.text import dup_norm
 from letterloom.operators import assess, dedup, metrics, relations, review
 from letterloom.plans import extraction
 from letterloom.plans.registry import query, table
+from letterloom.shared import scratch, written
 from letterloom.sources import readers, writers
 from letterloom.sources.letters import letters, records
 
@@ -84,11 +85,11 @@ def join_same_number(spark, sf_dir):
 def _with_copies(spark, sf_dir):
     """Letters with long texts under unique numbers, and scans of some: a word lost, or another text under the number."""
     base = letters(spark, sf_dir).select("letter_id", F.concat(F.lit("letter-"), F.col("letter_id").cast("string"), F.lit(".pdf")).alias("filename"),
-        F.when(F.col("t_doc_number").isNotNull(), F.concat("t_doc_number", F.lit("/"), F.col("letter_id").cast("string"))).alias("doc_number"), F.concat("text", F.lit(" Demikian surat ini dibuat untuk digunakan sebagaimana mestinya dan atas perhatian serta kerja samanya diucapkan terima kasih banyak. Arsip "), F.col("letter_id").cast("string")).alias("text")).repartition("letter_id")  # fmt: skip; computed once, as a stored table is
+        F.when(F.col("t_doc_number").isNotNull(), F.concat("t_doc_number", F.lit("/"), F.col("letter_id").cast("string"))).alias("doc_number"), F.concat("text", F.lit(" Demikian surat ini dibuat untuk digunakan sebagaimana mestinya dan atas perhatian serta kerja samanya diucapkan terima kasih banyak. Arsip "), F.col("letter_id").cast("string")).alias("text"))
     name = F.replace("filename", F.lit(".pdf"), F.lit(" (1).pdf"))
     near = base.where("letter_id % 50 in (8, 24)").withColumns({"filename": name, "text": F.replace("text", F.lit("Bersama"), F.lit("bersama "))})
     other = base.where("letter_id % 50 = 16").withColumns({"filename": name, "text": F.concat(F.repeat(F.lit("lain sekali "), 40), F.col("letter_id").cast("string"))})
-    return base.unionByName(near).unionByName(other)
+    return written(base.unionByName(near).unionByName(other), "with-copies")  # read several times, as a stored table is
 
 
 @query("join_rules", "WITH rules(kind, word) AS (VALUES ('a', 'the'), ('a', 'les'), ('b', 'der'), ('b', 'los'), ('c', 'zzz')) SELECT doc_id, kind, count(*) AS hits FROM documents JOIN rules ON contains(lower(text), word) GROUP BY doc_id, kind")
@@ -482,9 +483,9 @@ def set_iterations(spark, sf_dir):
     return runs.groupBy("run_name").agg(F.count(F.lit(1)).alias("n"), F.count("doc_number").alias("with_number"))
 
 
-@query("set_page_union", "SELECT letter_id, array_to_string(list_concat(range(least(3, letter_id % 7 + 1)), CASE WHEN letter_id % 7 >= 3 THEN [letter_id % 7] ELSE [] END), ',') AS pages FROM letters")
+@query("set_page_union", "SELECT letter_id, array_to_string(list_concat(range(least(3, pages)), CASE WHEN pages > 3 THEN [pages - 1] ELSE [] END), ',') AS pages FROM records")
 def set_page_union(spark, sf_dir):
-    return letters(spark, sf_dir).select("letter_id", F.array_join(validate.page_pick((F.col("letter_id") % 7 + 1).cast("int"), F.lit(3)).cast("array<string>"), ",").alias("pages"))
+    return records(spark, sf_dir).select("letter_id", F.array_join(validate.page_pick("pages", F.lit(3)).cast("array<string>"), ",").alias("pages"))
 
 
 # --- duplicates ----------------------------------------------------------------------------------------------------------
@@ -659,6 +660,11 @@ def asm_kappa(spark, sf_dir):
     return assess.kappa(p, "grp").withColumn("kappa", F.round("kappa", 9))
 
 
+def _read_back(merged, name: str):
+    """The next version of a table, written beside the old one and read again."""
+    return merged.sparkSession.read.parquet(writers.new_version(merged, scratch(merged.sparkSession, name)))
+
+
 # --- sources and sinks: what they hold after a round trip ------------------------------------------------------------------------
 @query("src_orm", "SELECT doc_id, lang, source FROM documents WHERE lang = 'en'")
 def src_orm(spark, sf_dir):
@@ -699,10 +705,16 @@ def src_audit_jsonl(spark, sf_dir):
     return readers.audit_from_lines(events).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("src_csv_sheet", "SELECT letter_id, CASE letter_id % 3 WHEN 0 THEN ';' WHEN 1 THEN ',' ELSE chr(9) END AS delimiter FROM letters")
+@query("src_csv_sheet", f"SELECT filename, field, machine AS true_value FROM ({_CELLS})")
 def src_csv_sheet(spark, sf_dir):
-    sep = F.when(F.col("letter_id") % 3 == 0, ";").when(F.col("letter_id") % 3 == 1, ",").otherwise("\t")
-    return letters(spark, sf_dir).select("letter_id", readers.delimiter(F.array_join(F.array(F.lit("no"), F.lit("filename"), F.lit("note")), "|")).alias("unused"), sep.alias("sep")).select("letter_id", readers.delimiter(F.concat_ws("", F.lit("no"), "sep", F.lit("filename"), "sep", F.lit("note"))).alias("delimiter"))
+    """A long sheet of all cells, written with semicolons and read back by what its header tells; empty cells stay empty."""
+    path = scratch(spark, "sheet")
+    cells = metrics.long_form(records(spark, sf_dir), "filename").select("filename", "field", F.col("machine").alias("true_value"), F.lit("").alias("clearly_absent"))
+    cells.write.csv(path, sep=";", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    shape, rows = readers.csv_sheet(spark, path)
+    if shape != "long":
+        raise ValueError(shape)
+    return rows.select("filename", "field", F.coalesce("true_value", F.lit("")).alias("true_value"))
 
 
 @query("src_files", "SELECT filename FROM letters WHERE letter_id % 29 = 0 AND contains(filename, '1')")
@@ -715,22 +727,76 @@ def sink_doc_upsert(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_hash"))
     old = orders.where("file_hash % 2 = 0").withColumns({"status": F.lit("NEW"), "filename": F.lit("old")})
     new = orders.where("file_hash % 3 = 0").withColumns({"status": F.lit("DONE"), "filename": F.lit("new")})
-    return relations.upsert(old, new, "file_hash", ("status",))
+    return _read_back(relations.upsert(old, new, "file_hash", ("status",)), "documents")
 
 
 @query("sink_catalog_upsert", "SELECT n_nationkey AS id, CASE WHEN n_regionkey = 1 THEN upper(n_name) ELSE n_name END AS name FROM nation")
 def sink_catalog_upsert(spark, sf_dir):
     old = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), "n_regionkey")
     new = old.where("n_regionkey = 1").withColumn("name", F.upper("name"))
-    once = relations.upsert(old, new, "id", ("name",))
-    return relations.upsert(once, new, "id", ("name",)).select("id", "name")
+    once = _read_back(relations.upsert(old, new, "id", ("name",)), "catalog")
+    return _read_back(relations.upsert(once, new, "id", ("name",)), "catalog").select("id", "name")
 
 
 @query("sink_label_update", "SELECT filename, CASE WHEN letter_id % 2 = 0 THEN 'TERVERIFIKASI' WHEN verified_by <> '' THEN 'PRE_LABEL' ELSE '' END AS status FROM records")
 def sink_label_update(spark, sf_dir):
     old = records(spark, sf_dir).select("filename", F.when(F.col("verified_by") != "", "PRE_LABEL").otherwise("").alias("status"))
     new = records(spark, sf_dir).where("letter_id % 2 = 0").select("filename", F.lit("TERVERIFIKASI").alias("status"))
-    return relations.upsert(old, new, "filename", ("status",))
+    return _read_back(relations.upsert(old, new, "filename", ("status",)), "labels")
+
+
+@query("sink_record_json", "SELECT filename, m_subject AS subject FROM records WHERE letter_id % 3 <> 0")
+def sink_record_json(spark, sf_dir):
+    """Records that exist already (every third) are not written again."""
+    df = records(spark, sf_dir)
+    path = scratch(spark, "records-json")
+    writers.record_json(metrics.record(df), path, existing=df.where("letter_id % 3 = 0"))
+    return readers.json_records(spark, path, multi_line=False).select("filename", F.col("metadata.subject").alias("subject"))
+
+
+@query("sink_extraction_append", "SELECT letter_id, t_letter_date AS letter_date, run FROM letters, (VALUES (1), (2)) AS r(run) WHERE run = 1 OR letter_id % 2 = 0")
+def sink_extraction_append(spark, sf_dir):
+    """Every run adds rows; nothing is replaced."""
+    path = scratch(spark, "extractions")
+    df = letters(spark, sf_dir).select("letter_id", extract.date_raw("text").alias("letter_date"))
+    for run in (1, 2):
+        writers.append(df.where(f"{run} = 1 or letter_id % 2 = 0").withColumn("run", F.lit(run)), path)
+    return spark.read.parquet(path)
+
+
+@query("sink_run_append", "SELECT 'first' AS run, count(*) AS n FROM records UNION ALL SELECT 'second', count(*) FROM records WHERE m_agency <> ''")
+def sink_run_append(spark, sf_dir):
+    path = scratch(spark, "runs")
+    df = records(spark, sf_dir)
+    for run, rows in (("first", df), ("second", df.where("m_agency <> ''"))):
+        writers.append(rows.agg(F.lit(run).alias("run"), F.count(F.lit(1)).alias("n")), path)
+    return spark.read.parquet(path)
+
+
+@query("sink_audit_append", "SELECT event_type AS action, CAST(user_id AS VARCHAR) AS file, count(*) AS n FROM events GROUP BY ALL")
+def sink_audit_append(spark, sf_dir):
+    """Events of two appends, read back from JSON lines."""
+    path = scratch(spark, "audit")
+    events = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("action"), F.col("user_id").cast("string").alias("file"))
+    for k in (0, 1):
+        writers.append_audit(events.where(f"event_id % 2 = {k}").drop("event_id"), path)
+    return readers.audit_log(spark, path).groupBy("action", "file").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("sink_csv_sheet", "SELECT filename, doc_type, pages, m_agency AS machine_agency FROM records")
+def sink_csv_sheet(spark, sf_dir):
+    path = scratch(spark, "sheet-out")
+    writers.csv_sheet(review.wide_sheet(records(spark, sf_dir)), path)
+    _, rows = readers.csv_sheet(spark, path)
+    return rows.select("filename", "doc_type", F.col("pages").cast("int").alias("pages"), F.coalesce("machine_agency", F.lit("")).alias("machine_agency"))
+
+
+@query("sink_type_cache", f"SELECT filename, doc_type, region, array_to_string({_RELEVANT}, ',') AS fields FROM records")
+def sink_type_cache(spark, sf_dir):
+    path = scratch(spark, "type-cache")
+    writers.type_cache(records(spark, sf_dir).withColumn("relevant_fields", classify.relevant_fields("doc_type")), path)
+    cached = spark.read.schema("filename string, doc_type string, region string, relevant_fields array<string>").json(path)
+    return cached.select("filename", "doc_type", "region", F.array_join("relevant_fields", ",").alias("fields"))
 
 
 @query("sink_markdown", "SELECT doc_type, '| ' || doc_type || ' | ' || CAST(count(*) AS VARCHAR) || ' |' AS line FROM records GROUP BY doc_type")

@@ -8,7 +8,7 @@ from letterloom.functions import audit, classify, extract, rules, text, validate
 from letterloom.operators import python_functions
 from letterloom.plans import extraction
 from letterloom.plans.registry import query, table
-from letterloom.sources.letters import letters
+from letterloom.sources.letters import letters, records
 
 
 def _of_letters(name_: str, sql: str, **columns):
@@ -19,6 +19,12 @@ def _of_letters(name_: str, sql: str, **columns):
         return letters(spark, sf_dir).select("letter_id", *(f().alias(c) for c, f in columns.items()))
 
 
+def _of_records(name_: str, sql: str, **columns):
+    @query(name_, sql)
+    def run(spark, sf_dir):
+        return records(spark, sf_dir).select("letter_id", *(f().alias(c) for c, f in columns.items()))
+
+
 def _of_documents(name_: str, sql: str, **columns):
     @query(name_, sql)
     def run(spark, sf_dir):
@@ -32,8 +38,8 @@ def _header():
 # --- normalisation -----------------------------------------------------------------------------------------------
 _of_letters("txt_split_glued", """SELECT letter_id, CASE WHEN letter_id % 6 = 0 THEN 'NOTULA RAPAT' ELSE replace(t_agency, ' DINAS PENDIDIKAN', '') END AS header FROM letters""",
             header=lambda: text.split_glued(_header()))
-_of_letters("txt_fix_misread", """SELECT letter_id, CASE letter_id % 3 WHEN 0 THEN 'DAERAH' WHEN 1 THEN 'Daerah' ELSE 'daerah' END || ' dan peraturan ' || CAST(letter_id AS VARCHAR) AS fixed FROM letters""",
-            fixed=lambda: text.fix_misread(F.concat(F.when(F.col("letter_id") % 3 == 0, "DACRAH").when(F.col("letter_id") % 3 == 1, "Dacrah").otherwise("daorah"), F.lit(" dan pcratu "), F.col("letter_id").cast("string"))))
+_of_letters("txt_fix_misread", """SELECT letter_id, replace(replace(text, 'Rapat', 'Daerah'), 'Undangan', 'DINAS') AS fixed FROM letters""",
+            fixed=lambda: text.fix_misread(F.replace(F.replace("text", F.lit("Rapat"), F.lit("Dacrah")), F.lit("Undangan"), F.lit("DINASS"))))
 _of_letters("txt_clean_value", """SELECT letter_id, coalesce(t_subject || '.', '') AS cleaned FROM letters""",
             cleaned=lambda: text.clean_value(F.concat(F.lit(" : - "), F.coalesce(F.replace("t_subject", F.lit(" "), F.lit("   ")), F.lit("")), F.lit("., ;"))))
 _of_letters("txt_normalize", """SELECT letter_id, CASE WHEN letter_id % 6 = 0 THEN 'NOTULA RAPAT' ELSE replace(t_agency, ' DINAS PENDIDIKAN', '') END AS normal FROM letters""",
@@ -190,14 +196,23 @@ _of_letters("val_page_pick", """SELECT letter_id, array_to_string(CASE WHEN lett
             pages=lambda: F.array_join(validate.page_pick((F.col("letter_id") % 7).cast("int"), (F.col("letter_id") % 5 - 1).cast("int")).cast("array<string>"), ","))
 
 # --- classification --------------------------------------------------------------------------------------------------
-_of_letters("cls_doc_type", "SELECT letter_id, t_doc_type AS type, CAST(t_type_hits AS INT) AS n_hits, CASE WHEN letter_id % 29 = 0 THEN 0.8::DOUBLE WHEN t_type_hits = 0 THEN 0.0::DOUBLE ELSE (50 + 15 * t_type_hits)::DOUBLE / 100 END AS confidence FROM letters",
-            type=lambda: classify.doc_type("text", "filename")["type"], n_hits=lambda: classify.doc_type("text", "filename")["hits"], confidence=lambda: classify.doc_type("text", "filename")["confidence"])
+@query("cls_doc_type", "SELECT letter_id, t_doc_type AS type, CAST(t_type_hits AS INT) AS n_hits, CASE WHEN letter_id % 29 = 0 THEN 0.8::DOUBLE WHEN t_type_hits = 0 THEN 0.0::DOUBLE ELSE (50 + 15 * t_type_hits)::DOUBLE / 100 END AS confidence FROM letters")
+def cls_doc_type(spark, sf_dir):
+    found = letters(spark, sf_dir).withColumn("t", classify.doc_type("text", "filename"))
+    return found.select("letter_id", "t.type", F.col("t.hits").alias("n_hits"), "t.confidence")
+
+
 _of_letters("cls_image_override", "SELECT letter_id, letter_id % 29 = 0 AS image FROM letters", image=lambda: classify.is_image("filename"))
 
 _RELEVANT = "CASE t_doc_type " + " ".join(f"WHEN '{t}' THEN '{','.join(f)}'" for t, _, f in rules.DOC_TYPES) + " END"
 _of_letters("cls_relevant_fields", f"SELECT letter_id, {_RELEVANT} AS relevant, CAST(8 - len(list_filter(string_split({_RELEVANT}, ','), lambda x: x <> '')) AS INT) AS n_irrelevant FROM letters",
             relevant=lambda: F.array_join(classify.relevant_fields("t_doc_type"), ","), n_irrelevant=lambda: F.size(classify.irrelevant_fields("t_doc_type")))
-_of_letters("cls_region", "SELECT letter_id, t_region AS code, t_region_name AS name FROM letters", code=lambda: classify.region("text")["code"], name=lambda: classify.region("text")["name"])
+
+
+@query("cls_region", "SELECT letter_id, t_region AS code, t_region_name AS name FROM letters")
+def cls_region(spark, sf_dir):
+    return letters(spark, sf_dir).withColumn("r", classify.region("text")).select("letter_id", "r.code", "r.name")
+
 
 _TAG_TABLE = ", ".join(f"({i}, '{t}', '{k}')" for i, (t, k) in enumerate((t, k) for t, words in rules.TAGS for k in words))
 
@@ -241,10 +256,12 @@ def cls_split(spark, sf_dir):
 
 
 # --- comparison, audit, egress -----------------------------------------------------------------------------------------
-_of_letters("cmp_value", """SELECT letter_id, CASE letter_id % 5 WHEN 0 THEN 'exact' WHEN 1 THEN 'partial' WHEN 2 THEN 'wrong' WHEN 3 THEN 'empty' ELSE 'no_ref' END AS verdict FROM letters""",
-            verdict=lambda: audit.cmp_value(F.when(F.col("letter_id") % 5 == 3, "").otherwise("  Budi, CONTOH"), F.when(F.col("letter_id") % 5 == 0, "budi contoh.").when(F.col("letter_id") % 5 == 1, "Budi Contoh, S.Pd").when(F.col("letter_id") % 5 == 2, "Siti").when(F.col("letter_id") % 5 == 3, "x").otherwise(" - ")))
-_of_letters("cmp_legacy", "SELECT letter_id, letter_id % 3 < 2 AS ok FROM letters",
-            ok=lambda: audit.cmp_legacy(F.lit("Budi Contoh"), F.when(F.col("letter_id") % 3 == 0, "BUDI  CONTOH").when(F.col("letter_id") % 3 == 1, "budi").otherwise("Siti")))
+_NORM = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+_HOLD = "contains(a, b) OR contains(b, a)"
+_of_records("cmp_value", f"SELECT letter_id, CASE WHEN b = '' THEN 'no_ref' WHEN a = '' THEN 'empty' WHEN a = b THEN 'exact' WHEN {_HOLD} THEN 'partial' ELSE 'wrong' END AS verdict FROM (SELECT letter_id, {_NORM.format('m_subject')} AS a, {_NORM.format('l_subject')} AS b FROM records)",
+            verdict=lambda: audit.cmp_value("m_subject", "l_subject"))
+_of_records("cmp_legacy", f"SELECT letter_id, a <> '' AND b <> '' AND ({_HOLD}) AS ok FROM (SELECT letter_id, {_NORM.format('m_agency')} AS a, {_NORM.format('l_agency')} AS b FROM records)",
+            ok=lambda: audit.cmp_legacy("m_agency", "l_agency"))
 
 
 @query("aud_find", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(trim(regexp_replace(lower(d.text), '[^a-z0-9/]+', ' ', 'g')), trim(regexp_replace(lower(b.text), '[^a-z0-9/]+', ' ', 'g')))")
@@ -264,16 +281,16 @@ _of_letters("aud_docnum", "SELECT letter_id, CASE WHEN t_doc_number IS NULL THEN
 
 _MODES, _POLICIES = ("off", "if_needed", "always"), ("off", "all", "scanned_only", "other")
 _pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (by % len(values) + 1).cast("int"))
-_of_letters("egr_policy", """WITH p AS (SELECT letter_id, ['off', 'if_needed', 'always'][letter_id % 3 + 1] AS mode, ['off', 'all', 'scanned_only', 'other'][CAST(floor(letter_id / 3) AS BIGINT) % 4 + 1] AS policy, letter_id % 5 <> 0 AS has_key, letter_id % 7 < 3 AS scanned FROM letters)
+_of_records("egr_policy", """WITH p AS (SELECT letter_id, ['off', 'if_needed', 'always'][pages % 3 + 1] AS mode, ['off', 'all', 'scanned_only', 'other'][letter_id % 4 + 1] AS policy, verified_by <> '' AS has_key, is_scanned AS scanned FROM records)
   SELECT letter_id, mode <> 'off' AND policy <> 'off' AND has_key AND (policy = 'all' OR (policy = 'scanned_only' AND scanned)) AS allowed,
   CASE WHEN mode = 'off' THEN 'mode off' WHEN policy = 'off' THEN 'policy off' WHEN NOT has_key THEN 'no key' WHEN policy = 'all' THEN 'policy all' WHEN policy = 'other' THEN 'unknown policy' WHEN scanned THEN 'scanned' ELSE 'has a text layer' END AS reason FROM p""",
-            **{k: (lambda k=k: audit.egress_policy(_pick(_MODES, F.col("letter_id")), _pick(_POLICIES, F.floor(F.col("letter_id") / 3)), F.col("letter_id") % 5 != 0, F.col("letter_id") % 7 < 3)[k]) for k in ("allowed", "reason")})
-_of_letters("egr_missing_meta", "SELECT letter_id, letter_id % 3 = 1 AND letter_id % 2 = 0 AS allowed FROM letters",
-            allowed=lambda: audit.egress_missing_meta(F.when(F.col("letter_id") % 3 > 0, F.col("letter_id") % 3 == 1), F.col("letter_id") % 2 == 0))
-_of_letters("egr_page_cap", "SELECT letter_id, CAST(least(4, letter_id % 9 + 1) AS INT) AS pages FROM letters", pages=lambda: F.size(audit.egress_pages(F.sequence(F.lit(0).cast("long"), F.col("letter_id") % 9))))
-_of_letters("qr_pick_url", "SELECT letter_id, CASE letter_id % 3 WHEN 0 THEN 'https://example.org/1' WHEN 1 THEN 'cek BSrE 9' END AS url FROM letters",
-            url=lambda: audit.qr_pick_url(F.array(F.lit("wifi:x"), F.when(F.col("letter_id") % 3 == 1, "cek BSrE 9").otherwise("plain"), F.when(F.col("letter_id") % 3 == 2, "ftp://x").otherwise("https://example.org/1"))))
-_of_letters("img_stamp", "SELECT letter_id, letter_id % 1600 > 800 AS stamp FROM letters", stamp=lambda: audit.stamp(F.col("letter_id") % 1600))
+            **{k: (lambda k=k: audit.egress_policy(_pick(_MODES, F.col("pages")), _pick(_POLICIES, F.col("letter_id")), F.col("verified_by") != "", F.col("is_scanned"))[k]) for k in ("allowed", "reason")})
+_of_records("egr_missing_meta", "SELECT letter_id, coalesce(CASE WHEN m_agency <> '' THEN m_subject <> '' END, false) AND is_scanned AS allowed FROM records",
+            allowed=lambda: audit.egress_missing_meta(F.when(F.col("m_agency") != "", F.col("m_subject") != ""), F.col("is_scanned")))
+_of_records("egr_page_cap", "SELECT letter_id, CAST(least(4, pages) AS INT) AS pages FROM records", pages=lambda: F.size(audit.egress_pages(F.sequence(F.lit(0), F.col("pages") - 1))))
+_of_records("qr_pick_url", "SELECT letter_id, CASE WHEN is_scanned THEN 'cek BSrE ' || filename WHEN m_verification_url <> '' THEN m_verification_url END AS url FROM records",
+            url=lambda: audit.qr_pick_url(F.array(F.col("m_subject"), F.when(F.col("is_scanned"), F.concat(F.lit("cek BSrE "), "filename")).otherwise(F.col("doc_type")), F.col("m_verification_url"))))
+_of_documents("img_stamp", "SELECT doc_id, coalesce(n_chars > 800, false) AS stamp FROM documents", stamp=lambda: audit.stamp("n_chars"))
 _of_letters("flt_ocr_trigger", "SELECT letter_id, length(t_agency) < 40 AND letter_id % 2 = 0 AS trigger FROM letters", trigger=lambda: (F.length("t_agency") < 40) & (F.col("letter_id") % 2 == 0))
-_of_letters("pick_adaptive", """SELECT letter_id, (c < 80 OR l < 5) AND m > 0 AND m >= 0.9 * n AND (d > c OR m > n) AS other FROM (SELECT letter_id, letter_id % 100 AS c, letter_id % 8 AS l, letter_id % 30 AS n, (letter_id * 7) % 33 AS m, (letter_id * 3) % 100 AS d FROM letters)""",
-            other=lambda: audit.pick_adaptive(F.expr("repeat('x', cast(letter_id % 30 as int))"), F.col("letter_id") % 100 / 100, F.col("letter_id") % 8, F.expr("repeat('y', cast((letter_id * 7) % 33 as int))"), F.col("letter_id") * 3 % 100 / 100))
+_of_records("pick_adaptive", """SELECT letter_id, (pages / 5.0::DOUBLE < 0.8::DOUBLE OR pages < 5) AND length(l_subject) > 0 AND length(l_subject) >= 0.9::DOUBLE * length(m_subject) AND (0.7::DOUBLE > pages / 5.0::DOUBLE OR length(l_subject) > length(m_subject)) AS other FROM records""",
+            other=lambda: audit.pick_adaptive("m_subject", F.col("pages") / 5, "pages", "l_subject", F.lit(0.7)))

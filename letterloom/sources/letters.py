@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from letterloom.shared import spread
+
 _MONTHS = ("Januari", "Februari", "Maret", "April", "Mei", "Juni", "Juli", "Agustus", "September", "Oktober", "November", "Desember")
 _SHORT = ("Jan", "Feb", "Mar", "Apr", "Mei", "Jun", "Jul", "Agt", "Sep", "Okt", "Nop", "Des")
 
@@ -99,6 +101,7 @@ RECORDS = (
 def derive(spark: SparkSession, sf_dir: str, statement: str) -> DataFrame:
     """Run a statement of this module over the input tables that it names."""
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer", "nation")}
+    tables["orders"] = spread(tables["orders"].select("o_orderkey", "o_custkey", "o_orderdate"))  # before texts are made of it
     return spark.sql(statement, **tables)
 
 

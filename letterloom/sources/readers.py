@@ -67,8 +67,9 @@ def join_pages(df: DataFrame, key: str, page: str) -> DataFrame:
     return df.groupBy(key).agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "\n").alias("text"))
 
 
-def json_records(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(RECORD).json(folder, multiLine=True)
+def json_records(spark: SparkSession, folder: str, multi_line: bool = True) -> DataFrame:
+    """Records of a folder: one file each, or as ``writers.record_json`` leaves them, one line each."""
+    return spark.read.schema(RECORD).json(folder, multiLine=multi_line)
 
 
 def records_from_json(lines: DataFrame) -> DataFrame:
@@ -140,7 +141,7 @@ def csv_sheet(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
         shape = "wide"
     else:
         raise ValueError(f"unknown header: {columns}")
-    rows = spark.read.csv(path, sep=header["d"], header=True, encoding="UTF-8", multiLine=True)
+    rows = spark.read.csv(path, sep=header["d"], header=True, encoding="UTF-8", multiLine=True)  # such files are not split
     rows = rows.toDF(*(c.replace("﻿", "") for c in rows.columns))
     return shape, rows.withColumn("pos", F.monotonically_increasing_id())
 

@@ -36,7 +36,7 @@ def new_version(df: DataFrame, path: str) -> str:
 def csv_sheet(sheet: DataFrame, path: str) -> None:
     """A review sheet for people: one file, with a byte order mark as the first character of its header."""
     first, *rest = sheet.columns
-    sheet.withColumnRenamed(first, f"﻿{first}").select(f"﻿{first}", *rest).coalesce(1).write.mode("overwrite").csv(path, header=True)
+    sheet.withColumnRenamed(first, f"﻿{first}").select(f"﻿{first}", *rest).coalesce(1).write.mode("overwrite").csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def type_cache(df: DataFrame, path: str) -> None:

@@ -95,6 +95,22 @@ def test_numbering_and_metrics(spark):
     assert "| a |" in writers.markdown(spark.createDataFrame([("a",)], "t string"))
 
 
+@pytest.mark.parametrize("partitions", [4, 8, 200])
+def test_numbering_of_many_rows(spark, partitions):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        df = spark.range(0, 25_000, 1, 7).select(F.xxhash64("id").alias("k"), F.concat(F.lit("wide "), F.col("id").cast("string")).alias("text"))
+        got = relations.numbered_by(df, "k").orderBy("k").select("no").toPandas()["no"]
+        assert got.tolist() == list(range(1, 25_001))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_numbering_of_nothing(spark):
+    assert relations.numbered_by(spark.createDataFrame([], "k long"), "k").count() == 0
+
+
 def test_api(spark):
     docs = spark.createDataFrame([(1, "2024-01-01", True), (2, "2024-01-02", False)], "id long, created_at string, needs_review boolean")
     ext = spark.createDataFrame([(1, 1, "https://x"), (2, 1, "")], "id long, document_id long, verification_url string")
