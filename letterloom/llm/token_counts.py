@@ -35,8 +35,21 @@ def whole_tokens(vocabulary: str) -> frozenset[str]:
     return frozenset(found)
 
 
+_ENCODERS: dict[str, PartEncoder] = {}
+
+
 def count_encoder(vocabulary: str, proved: frozenset[str]) -> PartEncoder:
-    """Token counts of parts of texts: proved pre-tokens count one, only the rest is merged by the library."""
+    """Token counts of parts of texts: proved pre-tokens count one, only the rest is merged by the library.
+
+    A worker keeps the last one, and what it remembers, from task to task.
+    """
+    if vocabulary not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[vocabulary] = _count_encoder(vocabulary, proved)
+    return _ENCODERS[vocabulary]
+
+
+def _count_encoder(vocabulary: str, proved: frozenset[str]) -> PartEncoder:
     tok = load(vocabulary)
     if not keeps_space(tok):
         raise ValueError("the shortcut is proved for byte-level vocabularies only")
@@ -79,7 +92,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = count_encoder(vocabulary, proved.value)
         for batch in batches:
-            counts = [sum(v) for _, texts in text_batches(batch.column("text")) for v in encode(texts)]
+            counts = [sum(v) for _, texts in text_batches(batch.column("text"), 2_000_000) for v in encode(texts)]
             sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).cast(pa.int64())
             yield pa.record_batch([batch.column("doc_id"), sizes, pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 

@@ -8,6 +8,7 @@ the whole text, so each distinct part is encoded by the library once per worker
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 
@@ -15,10 +16,11 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread per Spark core
 
-_ODD = re.compile(r"[ \n]\s|[^\S \n][ \n]")
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: Beyond the Latin blocks Unicode versions may differ; the capital I with a dot grows in lower case.
 _UNSETTLED = re.compile("[^\x00-\u012f\u0131-\u024f]")
+#: Marks that neither begin a contraction nor stand in a special string.
+_MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 _SETTLED_WORD = frozenset(chr(c) for c in (*range(48, 58), *range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x130), *range(0x131, 0x250)))
 
 
@@ -31,9 +33,9 @@ def load(path: str):
 def parts(text: str) -> list[str]:
     """Cut a text before line ends and at spaces, between characters that are no white space; those spaces are left out.
 
-    Texts where such a space or line end has other white space next to it are cut at the spaces alone that have none.
+    Texts with any other white space, or with some at an end or next to other, are cut at the spaces alone that have none beside them.
     """
-    if _ODD.search(text):
+    if " ".join(text.split()) != text.replace("\n", " "):
         return _BETWEEN.split(text)
     return text.replace("\n", " \n").split(" ")
 
@@ -48,13 +50,13 @@ def loose_parts(text: str) -> list[str]:
 class PartEncoder:
     """Values of texts from values of their parts: ``of_parts`` gets the strings not yet known.
 
-    Values can be added. A full stop or comma behind a settled letter or digit is a token of its own in both
-    families, so such a part has the value of the rest and of the mark.
+    Values can be added. A run of marks behind a settled letter or digit is a pre-token of its own in both
+    families, so such a part has the value of the rest and of the run.
     """
 
-    def __init__(self, of_parts, lead: str, cut=parts, limit: int = 600_000):
+    def __init__(self, of_parts, lead: str, cut=parts, limit: int = 450_000):
         self.of_parts, self.lead, self.cut, self.limit = of_parts, lead, cut, limit
-        self.marks = dict(zip(".,", of_parts([".", ","]), strict=True))
+        self.marks: dict = {}
         self.first: dict = {}
         self.later: dict = self.first if not lead else {}
 
@@ -63,12 +65,17 @@ class PartEncoder:
         values = list(map(known.get, asked))
         at = [i for i, v in enumerate(values) if v is None]
         new = list(dict.fromkeys([asked[i] for i in at]))
-        stems = {x: x[:-1] for x in new if x[-1:] in self.marks and x[-2:-1] in _SETTLED_WORD}
+        stems = {x: stem for x in new if (stem := x.rstrip(_MARKS)) != x and stem[-1:] in _SETTLED_WORD}
+        runs = {x[len(stem) :] for x, stem in stems.items()}
+        if unknown := [r for r in runs if r not in self.marks]:
+            if len(self.marks) > 10_000:
+                self.marks, unknown = {}, list(runs)
+            self.marks.update(zip(unknown, self.of_parts(unknown), strict=True))
         ask = [x for x in new if x not in stems]
         ask += [x for x in set(stems.values()).difference(ask) if x not in known]
         found = dict(zip(ask, self.of_parts([x if x[:1] == "\n" else lead + x for x in ask]), strict=True)) if ask else {}
         for x, stem in stems.items():
-            found[x] = (found[stem] if stem in found else known[stem]) + self.marks[x[-1]]
+            found[x] = (found[stem] if stem in found else known[stem]) + self.marks[x[len(stem) :]]
         for i in at:
             values[i] = found[asked[i]]
         if len(known) < self.limit:
@@ -139,8 +146,9 @@ class PartLibrary:
         return out
 
 
+@functools.lru_cache(maxsize=2)
 def id_encoder(path: str) -> PartEncoder:
-    """Ids as little-endian uint32 bytes, without added special tokens."""
+    """Ids as little-endian uint32 bytes, without added special tokens. A worker keeps it, and what it remembers, from task to task."""
     tok = load(path)
     if keeps_space(tok):  # a byte-level vocabulary keeps the space with the word behind it
         return PartEncoder(PartLibrary(tok), " ")
