@@ -326,6 +326,31 @@ def test_decontamination(spark):
     assert decontam.find_copies(docs, empty(bench)).count() == 0 and decontam.find_copies(empty(docs), bench).count() == 0
 
 
+def test_no_copy_is_missed(spark):
+    """Against alignment of every item with every whole document: short items, spread edits, repeated words."""
+    few = VOCAB[:25]  # so that n-grams are frequent
+    items = [" ".join(RNG.choice(few, n)) for n in (1, 2, 3, 4, 5, 6, 7, 9, 14, 22, 40)] + ["qqq www", "中文字句", "zz yy xx vv uu"]
+    texts = [" ".join(RNG.choice(few, RNG.integers(5, 120))) for _ in range(60)]
+    for item in items * 6:
+        words = []
+        for w in item.split():  # edits spread over the copy
+            kind = RNG.integers(0, 6)
+            words += [w, "new"] if kind == 0 else ["other"] if kind == 1 else [w]
+        texts.append(" ".join([*RNG.choice(VOCAB, 10), *words, *RNG.choice(VOCAB, 10)]))
+    texts += ["one qqq www two", "前文中文字句后文", "zz yy other vv uu", None, "", "x " * 30_000 + items[9]]
+    index = decontam.ItemIndex(list(enumerate(items)), 0.6)
+    number = lambda text: np.array([index.vocabulary.get(w, -1) for w in decontam.words_of(text or "")])
+    expected = {}
+    for d, text in enumerate(texts):
+        for n, w in index.items:
+            score = decontam.align(w, number(text))[0] if len(number(text)) else 0
+            if score >= 0.6:
+                expected[d, n] = score
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.find_copies(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert got == expected and len(expected) > 100
+
+
 def test_alignment_against_brute_force():
     def plain(a, b):
         h, best = np.zeros((len(a) + 1, len(b) + 1), int), 0
