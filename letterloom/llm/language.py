@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from letterloom.llm.common import text_batches
 
 GRAM = 5
-MAX_LANGUAGES = 32
+#: Languages in one word of a mask; a filter has as many words a slot as its languages need.
+WORD = 32
 #: ASCII letters in lower case, other ASCII as a space, further bytes of UTF-8 as they are.
 _FOLD = bytes(b if 97 <= b < 123 or b > 127 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
 _MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -37,6 +38,10 @@ def gram_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, begins, ends - GRAM + 1
 
 
+#: Sampled rows up to which every n-gram of a language counts.
+FEW = 50
+
+
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
@@ -46,30 +51,35 @@ class LanguageModel:
     languages: list[str]
     common: int  #: the most frequent language, for texts without any known n-gram
     bits: int
-    masks: np.ndarray  #: one bit mask of languages per slot
+    masks: np.ndarray  #: one bit mask of languages per slot, a row for every 32 languages
     chance: np.ndarray  #: per language, how often the filter says yes to an unknown n-gram
 
     @classmethod
     def build(cls, languages: list[str], common: int, grams: np.ndarray, masks: np.ndarray, slots_per_gram: int = 12) -> LanguageModel:
         bits = max(10, int(np.ceil(np.log2(max(1, len(grams)) * slots_per_gram))))
-        table = np.zeros(1 << bits, np.uint32)
+        masks = np.atleast_2d(masks)
+        table = np.zeros((len(masks), 1 << bits), np.uint32)
         for m in _MULTIPLIERS:
-            np.bitwise_or.at(table, (grams * m) >> np.uint64(64 - bits), masks)
-        fill = [float(np.mean((table >> np.uint32(k)) & np.uint32(1))) for k in range(len(languages))]
+            for row, mask in zip(table, masks, strict=True):
+                np.bitwise_or.at(row, (grams * m) >> np.uint64(64 - bits), mask)
+        fill = [float(np.mean((table[k // WORD] >> np.uint32(k % WORD)) & np.uint32(1))) for k in range(len(languages))]
         return cls(languages, common, bits, table, np.array(fill) ** len(_MULTIPLIERS))
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Corrected hit counts, one row per text and one column per language."""
         keys, begins, ends = gram_keys(texts)
         shift = np.uint64(64 - self.bits)
-        mask = self.masks[(keys * _MULTIPLIERS[0]) >> shift]
-        for m in _MULTIPLIERS[1:]:
-            mask &= self.masks[(keys * m) >> shift]
+        slots = [(keys * m) >> shift for m in _MULTIPLIERS]
         n = (ends - begins).astype(float)
         out = np.zeros((len(texts), len(self.languages)))
-        for k, chance in enumerate(self.chance):
-            sums = np.append(0, np.cumsum((mask >> np.uint32(k)) & np.uint32(1), dtype=np.int64))
-            out[:, k] = np.maximum(0, (sums[ends] - sums[begins] - n * chance) / max(1e-9, 1 - chance))
+        for word, row in enumerate(self.masks):
+            mask = row[slots[0]]
+            for at in slots[1:]:
+                mask &= row[at]
+            for k in range(word * WORD, min(len(self.languages), (word + 1) * WORD)):
+                sums = np.append(0, np.cumsum((mask >> np.uint32(k % WORD)) & np.uint32(1), dtype=np.int64))
+                chance = self.chance[k]
+                out[:, k] = np.maximum(0, (sums[ends] - sums[begins] - n * chance) / max(1e-9, 1 - chance))
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -86,27 +96,32 @@ def train(docs: DataFrame, usable: Column, per_language: int = 2_000, least_docs
     """Learn from text and lang of the ``usable`` rows of ``docs`` (doc_id, text, lang).
 
     At most about ``per_language`` rows of each language are read for it, taken by a hash of doc_id; an n-gram
-    counts for a language if ``least_docs`` of its rows have it (one, where there are few rows). Only these
-    n-grams, bounded by the sample, reach the driver.
+    counts for a language if ``least_docs`` of its rows have it (one, for a language of fewer than ``FEW`` rows in
+    the sample, whatever the others have). Only these n-grams, bounded by the sample, reach the driver. Rows without
+    text, lang or doc_id teach nothing, repeated rows count each; there may be any number of languages. Without any
+    such row every text is ``und``.
     """
-    rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()}
+    rows = docs.where(usable & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
     if not counts:
-        return LanguageModel(["und"], 0, 10, np.zeros(1 << 10, np.uint32), np.zeros(1))
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
+        return LanguageModel(["und"], 0, 10, np.zeros((1, 1 << 10), np.uint32), np.zeros(1))
     languages = sorted(counts)
-    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, per_language / n) * 1_000_000))))
-    sample = rows.where(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
+    number = {k: i for i, k in enumerate(languages)}
+    known_as = F.create_map(*(F.lit(x) for k, i in number.items() for x in (k, i)))
+    share = F.array(*(F.lit(int(min(1.0, per_language / counts[k]) * 1_000_000)) for k in languages))
+    sample = rows.withColumn("language", known_as[F.col("lang")]).drop("lang")
+    sample = sample.where(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1_000_000)) < F.get(share, F.col("language")))
+    sampled = {r["language"]: r["n"] for r in sample.groupBy("language").agg(F.count(F.lit(1)).alias("n")).collect()}
+    least = F.array(*(F.lit(1 if sampled.get(i, 0) < FEW else least_docs) for i in range(len(languages))))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[list[np.ndarray]] = [[] for _ in languages]
         for batch in batches:
-            langs = batch.column("lang").to_pylist()
+            langs = batch.column("language").to_pylist()
             for begin, texts in text_batches(batch.column("text"), 1_000_000):
                 keys, begins, ends = gram_keys(texts)
                 for k, (b, e) in enumerate(zip(begins, ends, strict=True)):
-                    found[languages.index(langs[begin + k])].append(np.unique(keys[b:e]))
+                    found[langs[begin + k]].append(np.unique(keys[b:e]))
         for k, lists in enumerate(found):
             if lists:
                 gram, n = np.unique(np.concatenate(lists), return_counts=True)
@@ -114,17 +129,22 @@ def train(docs: DataFrame, usable: Column, per_language: int = 2_000, least_docs
 
     known = (
         sample.mapInArrow(grams, "gram long, language int, n long").groupBy("gram", "language").agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= F.when(F.lit(min(counts.values()) < 50), 1).otherwise(least_docs))
-        .groupBy("gram").agg(F.bit_or(F.expr("shiftleft(1L, language)")).alias("mask")).toPandas()
+        .where(F.col("n") >= F.get(least, F.col("language"))).withColumn("word", F.floor(F.col("language") / WORD).cast("int"))
+        .groupBy("gram", "word").agg(F.bit_or(F.expr(f"shiftleft(1L, language % {WORD})")).alias("mask")).toPandas()
     )
-    common = languages.index(max(counts, key=lambda k: (counts[k], k)))
-    return LanguageModel.build(languages, common, known["gram"].to_numpy(np.int64).view(np.uint64), known["mask"].to_numpy(np.int64).astype(np.uint32))
+    common = number[max(counts, key=lambda k: (counts[k], k))]
+    every, at = np.unique(known["gram"].to_numpy(np.int64), return_inverse=True)
+    masks = np.zeros((-(-len(languages) // WORD), len(every)), np.uint32)
+    masks[known["word"].to_numpy(np.int64), at] = known["mask"].to_numpy(np.int64).astype(np.uint32)
+    return LanguageModel.build(languages, common, every.view(np.uint64), masks)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred, score of every row of ``docs`` (doc_id, text), from the whole text alone.
 
-    A null text or one without a letter is ``und`` with score 0. Repeated rows are judged each.
+    A null text or one without a letter is ``und`` with score 0; of languages with equal counts the first by name is
+    taken, and the most frequent one where a text has no known n-gram. Repeated rows are judged each, other columns
+    are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the training sample
 
