@@ -73,39 +73,54 @@ class QualityModel:
             one = np.zeros((len(x), KNOTS + 1), np.float32)
             one[np.arange(len(x)), at] = 1
             parts.append(one)
-        return (np.concatenate(parts, axis=1) - self.mean) / self.scale
+        wide = np.concatenate(parts, axis=1)
+        wide -= self.mean
+        wide /= self.scale
+        return wide
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.expand(x) @ self.weight + self.bias, -30, 30)))
 
 
 def _sigmoid(f: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(f, -30, 30)))  # keeps single precision
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.02, decay: float = 1e-4) -> QualityModel:
-    """Minimise prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]) with the logistic loss, by Adam.
+def risk_and_gradient(p: np.ndarray, u: np.ndarray, prior: float, w: np.ndarray, b: float) -> tuple[float, float, np.ndarray]:
+    """(risk on positives, estimated risk on the rest, gradient to follow) of a linear score with the logistic loss.
 
-    Where the second term is negative its gradient is reversed, as non-negative risk estimation prescribes.
+    The first is prior * E_p[l(f)], the second E_u[l(-f)] - prior * E_p[l(-f)]. Where that is negative its gradient
+    alone is followed, reversed, as non-negative risk estimation prescribes. The gradient's last number is b's.
     """
+    near = w.astype(p.dtype)
+    sp, su = (_sigmoid(x @ near + p.dtype.type(b)) for x in (p, u))
+
+    def mean(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return np.append(v @ x, v.sum()).astype(np.float64) / len(x)
+
+    # the logistic loss of f has the derivative -(1 - s), that of -f has s
+    good, bad = -prior * mean(p, 1 - sp), mean(u, su) - prior * mean(p, sp)
+    sp, su = (np.clip(x.astype(np.float64), 1e-12, 1 - 1e-12) for x in (sp, su))
+    on_good, on_bad = -prior * np.log(sp).mean(), -np.log1p(-su).mean() + prior * np.log1p(-sp).mean()
+    return float(on_good), float(on_bad), good + bad if on_bad >= 0 else -bad
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.02, decay: float = 1e-4) -> QualityModel:
+    """Minimise prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]) by Adam; see ``risk_and_gradient``."""
     both = np.concatenate([positive, unlabelled])
     knots = np.quantile(both[:, SHAPES:], np.linspace(0, 1, KNOTS + 2)[1:-1], axis=0).T.astype(np.float32)
     width = SHAPES + MEASURES + MEASURES * (KNOTS + 1)
     model = QualityModel(knots, np.zeros(width, np.float32), np.ones(width, np.float32), np.zeros(width), 0.0)
     wide = model.expand(both)
     model.mean = wide.mean(axis=0)
-    model.scale = np.maximum(wide.std(axis=0), 1e-2)
-    wide = (wide - model.mean) / model.scale
+    model.scale = np.maximum(wide.std(axis=0), np.float32(1e-2))
+    wide -= model.mean
+    wide /= model.scale
     p, u = wide[: len(positive)], wide[len(positive) :]
     w, b = np.zeros(width), float(np.log(prior / (1 - prior)))
     first, second = np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, steps + 1):
-        sp, su = _sigmoid(p @ w + b), _sigmoid(u @ w + b)
-        # the logistic loss of f has the derivative -(1 - s), that of -f has s
-        good = -prior * np.append(p.T @ (1 - sp), (1 - sp).sum()) / len(p)
-        bad = np.append(u.T @ su, su.sum()) / len(u) - prior * np.append(p.T @ sp, sp.sum()) / len(p)
-        risk = -np.log1p(-np.minimum(su, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-12)).mean()
-        gradient = good + bad if risk >= 0 else -bad
+        _, _, gradient = risk_and_gradient(p, u, prior, w, b)
         gradient[:-1] += decay * w
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
@@ -114,6 +129,25 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return model
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, confidence: float = 0.1) -> float:
+    """Share of good documents among the unlabelled ones, from these and the positives alone (best bin estimation).
+
+    A first model is fitted on two thirds of both. Of the other third, the share of unlabelled scores above a
+    threshold, divided by that of positive ones, bounds the prior from above, and comes near to it where few bad
+    documents score so high; the threshold with the least bound is taken, with regard to how sure the shares are.
+    """
+    held_p, held_u = np.arange(len(positive)) % 3 == 2, np.arange(len(unlabelled)) % 3 == 2
+    if not held_p.any() or not held_u.any() or held_p.all() or held_u.all():
+        return 0.5
+    model = fit(positive[~held_p], unlabelled[~held_u], 0.5, steps=120, rate=0.05)
+    p, u = (np.sort(model.scores(x)) for x in (positive[held_p], unlabelled[held_u]))
+    over_p, over_u = ((len(x) - np.searchsorted(x, p)) / len(x) for x in (p, u))
+    slack = [np.sqrt(np.log(4 / confidence) / (2 * len(x))) for x in (u, p)]
+    usable = over_p >= 0.05
+    best = int(np.argmin(np.where(usable, (over_u + slack[0] + slack[1]) / np.maximum(over_p, 1e-9), np.inf)))
+    return float(np.clip(over_u[best] / over_p[best], 0.02, 0.98))
+
+
 def _feature_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,21 +160,22 @@ def _feature_rows(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, usable: Column | str, positives: int = 6_000, unlabelled: int = 12_000) -> QualityModel:
     """Fit on ``usable`` rows (a condition on doc_id that holds for both tables): at most about so many trusted positives (``labels.quality`` = 1) and unlabelled documents.
 
-    Both samples are taken by a hash of doc_id, so they are bounded whatever the corpus and the same each time.
-    The class prior is the share of quality 1 among all usable labelled rows (0.5 without any), kept within
-    0.02 and 0.98. Without positives or documents the model is the prior.
+    Both samples are taken by a hash of doc_id, so they are bounded whatever the corpus and the same each time;
+    repeated rows count each, null texts are empty, rows without doc_id or quality teach nothing, and labels other
+    than 1 are not read. The class prior is estimated (see ``estimate_prior``) and kept within 0.02 and 0.98. Without
+    positives or documents every score is 0.5.
     """
     usable = F.expr(usable) if isinstance(usable, str) else usable
     labels = labels.where(usable & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id", "quality")
-    known = labels.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.col("quality") == 1).cast("long")), F.lit(0)).alias("good")).first()
-    prior = float(np.clip(known["good"] / known["n"] if known["n"] else 0.5, 0.02, 0.98))
+    labels = labels.where("quality = 1")
+    known = labels.count()
     docs = docs.where(usable & F.col("doc_id").isNotNull()).select("doc_id", "text")
     total = docs.count()
 
     def share(column: str, salt: str, most: int, of: int) -> Column:
         return F.pmod(F.xxhash64(F.lit(salt), column), F.lit(1_000_000)) < int(min(1.0, most / max(1, of)) * 1_000_000)
 
-    good = labels.where((F.col("quality") == 1) & share("doc_id", "positive", positives, known["good"])).select("doc_id").distinct()
+    good = labels.where(share("doc_id", "positive", positives, known)).select("doc_id").distinct()
     rows = docs.join(F.broadcast(good), "doc_id").select(F.lit(True).alias("positive"), "text")  # bounded by ``positives``
     rows = rows.unionByName(docs.where(share("doc_id", "unlabelled", unlabelled, total)).select(F.lit(False).alias("positive"), "text"))
     sample = _feature_rows(rows).toPandas()
@@ -148,9 +183,12 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | str, positives: i
     positive = sample["positive"].to_numpy(bool) if len(sample) else np.zeros(0, bool)
     if not positive.any() or positive.all():
         width = SHAPES + MEASURES + MEASURES * (KNOTS + 1)
-        return QualityModel(np.zeros((MEASURES, KNOTS), np.float32), np.zeros(width, np.float32), np.ones(width, np.float32), np.zeros(width), float(np.log(prior / (1 - prior))))
+        return QualityModel(np.zeros((MEASURES, KNOTS), np.float32), np.zeros(width, np.float32), np.ones(width, np.float32), np.zeros(width), 0.0)
     order = np.lexsort([*x[:, SHAPES : SHAPES + 4].T, positive])  # rows come in any order; sums shall not
-    return fit(x[order][positive[order]], x[order][~positive[order]], prior)
+    good, rest = x[order[positive[order]]], x[order[~positive[order]]]
+    mixed = [np.random.default_rng(5).permutation(len(part)) for part in (good, rest)]  # the estimate holds out every third row
+    good, rest = good[mixed[0]], rest[mixed[1]]
+    return fit(good, rest, estimate_prior(good, rest))
 
 
 def score(docs: DataFrame, model: QualityModel, output: str = "doc_id") -> DataFrame:

@@ -236,6 +236,45 @@ def test_language(spark):
     assert [int(e - b) for b, e in zip(begins, ends, strict=True)] == [5, 1, 2]
 
 
+def test_language_filter_against_plain_sets():
+    """Hits of a filter written with Python integers and sets, of over 32 languages, corrected by its measured fill."""
+    names = [f"l{k:02d}" for k in range(40)]
+    grams = np.unique(RNG.integers(0, 1 << 40, 300).astype(np.uint64))
+    owners = [set(RNG.choice(40, RNG.integers(1, 4)).tolist()) for _ in grams]
+    texts = ["Ab kala miro tenso", "", "x", "12 ab ab"]
+    keys, begins, ends = language.gram_keys(texts)
+    grams = np.unique(np.concatenate([grams, keys[::2]]))
+    owners = [set(RNG.choice(40, RNG.integers(1, 4)).tolist()) for _ in grams]
+    masks = np.array([[sum(1 << (k - 32 * word) for k in own if k // 32 == word) for own in owners] for word in (0, 1)], np.uint32)
+    model = language.LanguageModel.build(names, 0, grams, masks)
+    slots = {k: set() for k in range(40)}
+    place = lambda g: [(int(g) * int(m) % 2**64) >> (64 - model.bits) for m in language._MULTIPLIERS]
+    for g, own in zip(grams, owners, strict=True):
+        for k in own:
+            slots[k].update(place(g))
+    got = model.scores(texts)
+    for t in range(len(texts)):
+        own = [int(g) for g in keys[begins[t] : ends[t]]]
+        for k in range(40):
+            chance = (len(slots[k]) / 2**model.bits) ** 3
+            hits = sum(all(p in slots[k] for p in place(g)) for g in own)
+            assert got[t, k] == pytest.approx(max(0, (hits - len(own) * chance) / (1 - chance)))
+
+
+def test_rare_and_many_languages(spark):
+    data = [(i, prose(30), f"l{i % 40:02d}") for i in range(400)]
+    data += [(1000 + i, "zwq " * 5, "rare") for i in range(1)] + [(2000 + i, t, None) for i, t in enumerate(["zwq zwq", "x " * 200_000])] + [(None, "zwq", "other"), (3, prose(30), "l03")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = language.train(docs, docs["doc_id"] >= 0)
+    assert len(model.languages) == 41 and "other" not in model.languages
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, model).collect()}
+    assert got[2000] == "rare" and got[2001] in model.languages
+    few = language.train(docs.where("lang in ('l00', 'l01')"), docs["doc_id"] >= 0)
+    without = language.train(docs.where("lang in ('l00', 'l01') or lang = 'rare'"), docs["doc_id"] >= 0)
+    assert len(without.languages) == 3 and few.languages == without.languages[:2]  # a rare language leaves the others' rule alone
+    assert language.identify(empty(docs), model).count() == 0
+
+
 # 8
 def brute_fingerprint(text, n):
     words = (text or "").encode().lower().split()
@@ -298,6 +337,7 @@ def test_quality(spark):
     good = [prose(60).capitalize() + "." for _ in range(150)]
     bad = [" ".join([w.upper() + "!!" for w in RNG.choice(VOCAB[:3], 60)]) for _ in range(50)]
     data = [(i, t, "clash") for i, t in enumerate(good + bad)] + [(900, None, ""), (901, "", ""), (902, prose(20_000), "")]
+    data += [(5, good[5], "clash"), (None, good[6], "clash")]  # a repeated row, a row without id
     docs = spark.createDataFrame(data, "doc_id long, text string, score string")
     labels = spark.createDataFrame([(i, int(i < 150), 0) for i in range(200)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     model = quality.train(docs, labels, "doc_id % 3 <> 1")
@@ -310,6 +350,37 @@ def test_quality(spark):
     assert quality.score(docs, blank).count() == len(data) and quality.score(empty(docs), model).count() == 0
 
 
+def test_quality_risk_against_plain_sums():
+    p, u = RNG.normal(0.5, 1, (40, 5)), RNG.normal(0, 1, (70, 5))
+    loss = lambda z: np.log1p(np.exp(-z))
+    for prior in (0.3, 0.9):
+        for w, b in ((np.zeros(5), 0.0), (RNG.normal(0, 2, 5), 0.3)):
+            def parts(w, b):
+                good = prior * np.mean([loss(x @ w + b) for x in p])
+                bad = np.mean([loss(-(x @ w + b)) for x in u]) - prior * np.mean([loss(-(x @ w + b)) for x in p])
+                return good, bad
+
+            good, bad, gradient = quality.risk_and_gradient(p, u, prior, w, b)
+            assert (good, bad) == pytest.approx(parts(w, b))
+            follow = (lambda w, b: sum(parts(w, b))) if bad >= 0 else (lambda w, b: -parts(w, b)[1])
+            step = 1e-5
+            plain = [(follow(w + step * e, b) - follow(w - step * e, b)) / (2 * step) for e in np.eye(5)] + [(follow(w, b + step) - follow(w, b - step)) / (2 * step)]
+            assert gradient == pytest.approx(np.array(plain), abs=1e-6)
+
+
+def test_quality_prior_is_estimated():
+    width = quality.SHAPES + quality.MEASURES
+    def rows(n, good):
+        x = np.zeros((n, width), np.float32)
+        x[:, : 8] = RNG.normal(1.5 if good else -1.5, 1, (n, 8))
+        return x
+
+    for prior in (0.2, 0.6, 0.9):
+        some = rows(3000, True)
+        mixed = np.concatenate([rows(int(6000 * prior), True), rows(6000 - int(6000 * prior), False)])
+        assert abs(quality.estimate_prior(some, mixed[RNG.permutation(6000)]) - prior) < 0.05
+
+
 # 10
 def test_decontamination(spark):
     items = [prose(30) for _ in range(6)]
