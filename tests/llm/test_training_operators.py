@@ -161,8 +161,9 @@ def test_embeddings(spark, monkeypatch):
         assert got == want
     assert embeddings.near_duplicates(vectors.where("vec_id > 899")).where("kept").count() == 6
     assert embeddings.near_duplicates(vectors.where("1 = 0")).count() == 0
-    with pytest.raises(ValueError):
-        embeddings.near_duplicates(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<float>"))
+    rows = [(1, [1.0]), (2, [1.0, 2.0]), (3, [2.0]), (4, [2.0, 4.0]), (4, [1.0, 2.1]), (4, [-1.0, 0.0]), (2, [1.0, 2.0]), (None, [1.0, 2.0])]  # lengths differ, ids and rows repeat
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == [(0, 0, 0), (1, 1, 1), (2, 3, 2), (2, 3, 2), (3, 1, 1), (4, 0, 4), (4, 3, 2), (4, 3, 2)]
 
 
 # 5
