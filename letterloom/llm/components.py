@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from letterloom.llm.common import written
+from letterloom.shared import discard, scratch, written_at
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -13,9 +13,20 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round hangs every root under the smallest root next to it (a minimum, combined before the shuffle),
     then jumps pointers and rewrites the remaining links between roots, so links shrink quickly. Every round
-    is written to the shared folder. Null ends and links of a node to itself add nothing; repeated links
+    is written to the shared folder, and removed when the next one is. Null ends and links of a node to itself add nothing; repeated links
     count once; an empty table gives an empty result.
     """
+    spark, live = links.sparkSession, {}
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        """``df`` written in place of the table of that name, which it may read."""
+        path = scratch(spark, name)
+        out = written_at(df, path)
+        old, live[name] = live.get(name), path
+        if old:
+            discard(spark, old)
+        return out
+
     links = links.where("a is not null and b is not null")
     links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
@@ -39,5 +50,5 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         for end in ("a", "b"):
             moved = moved.join(hang.select(F.col("u").alias(end), F.col("up").alias("_to")), end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
         moved = moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = written(moved, "links")
+        links = written(moved, "moved")
     raise RuntimeError(f"components not settled after {max_rounds} rounds")

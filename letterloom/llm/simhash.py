@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from letterloom.llm.common import group_bounds, split_hot, text_batches, whole_groups
+from letterloom.llm.common import group_bounds, split_hot, text_batches, whole_groups, written
 from letterloom.llm.components import connected_components
 
 SEED = 42
@@ -161,8 +161,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
     doc_id of all their rows. Texts without words share fingerprint zero. Rows without doc_id keep a null id
     and count as members, never as the smallest.
     """
-    from letterloom.llm.common import written
-
     marked = written(fingerprints(docs, shingle), "fingerprints")
     return _with_components(marked, connected_components(links(marked)))
 
@@ -328,8 +326,6 @@ def verified_links(docs: DataFrame, classes: DataFrame, candidates: DataFrame, s
             own = [np.unique(_shingle_hashes(t, shingle)).astype("<u8").tobytes() for _, run in text_batches(batch.column("text")) for t in run]
             yield pa.record_batch([batch.column("component"), batch.column("fp"), batch.column("bits"), pa.array(own, pa.binary())], names=["component", "fp", "bits", "shingles"])
 
-    from letterloom.llm.common import written
-
     members = written(texts.join(wanted, "text_hash").select("component", "fp", "bits", "text").mapInArrow(sets, "component long, fp long, bits binary, shingles binary"), "shingles")
     keys = ["component", "low_block", "high_block"]
     members = split_hot(members, "component", "fp", group).repartition(*keys).sortWithinPartitions(*keys, "fp")
@@ -368,8 +364,6 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     one class. The fingerprints of texts with few shingles differ by more than the average, so that pairs at
     exactly the similarity meet less surely there.
     """
-    from letterloom.llm.common import written
-
     wide = words_for(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,8 +385,10 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
 
 
 def _with_components(marked: DataFrame, parts: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id of ``marked`` (doc_id, fp, from a written table). Both sides of a join are written before, so
+    that adaptive execution can split a fingerprint or component that very many rows have."""
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    linked = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    smallest = linked.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = linked.select("fp", "component").join(smallest, "component").select("fp", "component_id")
+    linked = written(classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "linked-classes")
+    smallest = written(linked.groupBy("component").agg(F.min("first").alias("component_id")), "smallest")
+    classes = written(linked.select("fp", "component").join(smallest, "component").select("fp", "component_id"), "found-classes")
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
