@@ -119,9 +119,11 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     """``pieces`` (uid, length, ... from a written table) with sequence_id and offset.
 
     Ranks within a length are counted in salted parts, as a third of all pieces may have one length: row
-    numbers within (length, salt), then the salts' counts are added up. Columns of the input keep their names.
+    numbers within (length, salt), then the salts' counts are added up. Columns sequence_id and offset of the input
+    are replaced, those that begin with an underscore are dropped; all others keep their names.
     """
     spark = pieces.sparkSession
+    pieces = pieces.drop(*(c for c in pieces.columns if c.startswith("_")))
     salts = partitions(spark)
     pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("uid"), F.lit(salts)).cast("int"))
     counts = pieces.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))

@@ -15,44 +15,57 @@ SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written and read back. A null text has the end id alone; a null doc_id comes first; a repeated one is ordered by text."""
     folder = scratch(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(BYTE_BPE), end_id=2)
     return token_files.read_token_files(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
+    """All documents written to the folders of their shards and read back: place, size and checksum of each. Equal and null ids share a shard."""
+    folder = scratch(spark, "shards")
+    sharding.write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", SHARDS, folder)
+    back = spark.read.schema("doc_id long, text string, shard_name string").parquet(folder)
+    shard = (F.array_position(F.lit(SHARDS), F.col("shard_name")) - 1).cast("int").alias("shard")
+    return back.select("doc_id", sharding.slot_of(F.col("doc_id")).alias("slot"), shard, "shard_name", F.octet_length("text").cast("long").alias("n_bytes"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is cut from each document, as ``repeats.repeated_spans`` says; null texts are empty, rows without doc_id lose nothing."""
     return repeats.removal_report(repeats.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors; see ``embeddings.near_duplicates`` for nulls, lengths and repeated rows."""
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document; null and empty texts have none."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the token pieces of all documents; a null text is the end id alone, repeated rows are packed each."""
     pieces = written(packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), end_id=1), "pieces")
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")).drop("uid")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document. A row without doc_id is in no fold: held_out is null and it is not learned from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.train(docs, crc_fold("doc_id", 4) != 2)
     return language.identify(docs, model).select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; null, empty and wordless texts have fingerprint zero."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document. A row without doc_id is in no fold: held_out is null and it is not learned from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"), crc_fold("doc_id", 3) != 1)
     scored = quality.score(docs, model)
@@ -60,6 +73,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test items found in any document; see ``decontam.find_copies``."""
     return decontam.find_copies(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 

@@ -338,7 +338,7 @@ def _hot_spans(dealt: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` (doc_id, text and any columns) with text_hash and ``spans``: array of (text_hash, begin, end) byte ranges, null where nothing repeats.
 
-    Columns text_hash and spans of the input are replaced.
+    Columns text_hash, spans and _key of the input are replaced or dropped.
     A byte is in a span if a string of ``length`` bytes over it also starts in a document with a smaller doc_id.
     Texts are taken as UTF-8, whole; a null text is empty; rows with one doc_id are one document's, whose texts
     don't repeat each other; a row without doc_id is left alone and is no source. Spans may overlap and belong to
@@ -346,7 +346,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    docs = docs.drop("text_hash", "spans").withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    docs = docs.drop("text_hash", "spans", "_key").withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     docs = docs.withColumn("_key", F.col("doc_id").cast("long"))
     long_enough = F.col("_key").isNotNull() & (F.octet_length(F.coalesce("text", F.lit(""))) >= length)
     texts = docs.where(long_enough)
@@ -403,7 +403,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     All rows and columns stay. A text that nothing was cut from, null included, is unchanged.
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    plain = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("rest"))  # so no name can clash
+    plain = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *(F.col(c).alias(f"c_{c}") for c in rest)).alias("rest"))  # so no name can clash
     names = plain.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,4 +413,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(new, old.type) if c == "text" else batch.column(c) for c in names], names=names)
 
     cut = repeated_spans(plain, length).select(*names, "text_hash", "spans").mapInArrow(run, plain.schema)
-    return cut.select(*(F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in docs.columns))
+    return cut.select(*(F.col(c) if c in ("doc_id", "text") else F.col("rest")[f"c_{c}"].alias(c) for c in docs.columns))
