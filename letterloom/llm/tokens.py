@@ -2,8 +2,7 @@
 
 A text is cut at spaces and line ends that stand alone between other characters. A tokenizer whose pre-tokenizer
 starts a new word at every one of them (both families below) gives the same ids for the parts one by one as for
-the whole text, so each distinct part is encoded by the library once per worker and remembered
-(up to ``limit`` parts; further ones are encoded again where they occur).
+the whole text, so a part is encoded by the library once per worker while it is remembered (see ``Memory``).
 """
 
 from __future__ import annotations
@@ -47,6 +46,24 @@ def loose_parts(text: str) -> list[str]:
     return text.replace("\n", " ").split(" ")
 
 
+class Memory:
+    """Values of the parts met lately: of ``limit`` or a few more that are recent, and of as many before them."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.recent: dict = {}
+        self.older: dict = {}
+
+    def get(self, part: str):
+        value = self.recent.get(part)
+        return self.older.get(part) if value is None else value
+
+    def add(self, values: dict) -> None:
+        self.recent.update(values)
+        if len(self.recent) > self.limit:
+            self.older, self.recent = self.recent, {}
+
+
 class PartEncoder:
     """Values of texts from values of their parts: ``of_parts`` gets the strings not yet known.
 
@@ -54,17 +71,19 @@ class PartEncoder:
     families, so such a part has the value of the rest and of the run.
     """
 
-    def __init__(self, of_parts, lead: str, cut=parts, limit: int = 450_000):
-        self.of_parts, self.lead, self.cut, self.limit = of_parts, lead, cut, limit
+    def __init__(self, of_parts, lead: str, cut=parts, limit: int = 200_000):
+        self.of_parts, self.lead, self.cut = of_parts, lead, cut
         self.marks: dict = {}
-        self.first: dict = {}
-        self.later: dict = self.first if not lead else {}
+        self.first = Memory(limit)
+        self.later = self.first if not lead else Memory(limit)
 
-    def _values(self, known: dict, asked: list[str], lead: str) -> list:
+    def _values(self, known: Memory, asked: list[str], lead: str) -> list:
         """Values of parts, repeats included; each different one is looked up, or worked out, once."""
-        values = list(map(known.get, asked))
+        values = list(map(known.recent.get, asked))
         at = [i for i, v in enumerate(values) if v is None]
-        new = list(dict.fromkeys([asked[i] for i in at]))
+        new = dict.fromkeys([asked[i] for i in at])
+        found = {x: known.older[x] for x in new if x in known.older}
+        new = [x for x in new if x not in found]
         stems = {x: stem for x in new if (stem := x.rstrip(_MARKS)) != x and stem[-1:] in _SETTLED_WORD}
         runs = {x[len(stem) :] for x, stem in stems.items()}
         if unknown := [r for r in runs if r not in self.marks]:
@@ -72,14 +91,18 @@ class PartEncoder:
                 self.marks, unknown = {}, list(runs)
             self.marks.update(zip(unknown, self.of_parts(unknown), strict=True))
         ask = [x for x in new if x not in stems]
-        ask += [x for x in set(stems.values()).difference(ask) if x not in known]
-        found = dict(zip(ask, self.of_parts([x if x[:1] == "\n" else lead + x for x in ask]), strict=True)) if ask else {}
+        for stem in set(stems.values()).difference(ask):
+            value = known.get(stem)
+            if value is None:
+                ask.append(stem)
+            else:
+                found[stem] = value
+        found.update(zip(ask, self.of_parts([x if x[:1] == "\n" else lead + x for x in ask]), strict=True) if ask else ())
         for x, stem in stems.items():
-            found[x] = (found[stem] if stem in found else known[stem]) + self.marks[x[len(stem) :]]
+            found[x] = found[stem] + self.marks[x[len(stem) :]]
         for i in at:
             values[i] = found[asked[i]]
-        if len(known) < self.limit:
-            known.update(found)
+        known.add(found)
         return values
 
     def __call__(self, texts: list[str]) -> list[list]:
@@ -146,7 +169,7 @@ class PartLibrary:
         return out
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def id_encoder(path: str) -> PartEncoder:
     """Ids as little-endian uint32 bytes, without added special tokens. A worker keeps it, and what it remembers, from task to task."""
     tok = load(path)
