@@ -81,6 +81,22 @@ def group_bounds(*columns: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(new), n)
 
 
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest connected row number of each of ``n`` rows linked by pairs (a, b), by minimum labels and pointer jumping."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new[root]
+    return root
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 100_000) -> Iterator[pa.Table]:
     """Tables of whole groups of ``keys`` from batches sorted by them; at least ``rows`` rows where there are so many."""
     held: list[pa.RecordBatch] = []

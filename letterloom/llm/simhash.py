@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from letterloom.llm.common import group_bounds, split_hot, text_batches, whole_groups, written
+from letterloom.llm.common import forest, group_bounds, split_hot, text_batches, whole_groups, written
 from letterloom.llm.components import connected_components
 
 SEED = 42
@@ -249,13 +249,18 @@ def similar_links(classes: DataFrame, similarity: float, group: int = GROUP) ->
             number = np.repeat(np.arange(len(size)), size)
             small = np.repeat(size <= SMALL, size)
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            low, high = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for lag in range(1, SMALL):  # small groups, all at once
                 at = np.flatnonzero((number[lag:] == number[:-lag]) & small[lag:])
                 if not len(at):
                     break
                 at = at[np.bitwise_count(v[at] ^ v[at + lag]).sum(axis=1) <= most]
-                a.append(fp[at])
-                b.append(fp[at + lag])
+                low.append(at)
+                high.append(at + lag)
+            root = forest(len(fp), np.concatenate(low), np.concatenate(high))
+            other = np.flatnonzero(root != np.arange(len(root)))
+            a.append(fp[root[other]])
+            b.append(fp[other])
             for k in np.flatnonzero(size > SMALL):
                 s = slice(bounds[k], bounds[k + 1])
                 two = columns[1][s.start] != columns[2][s.start]
@@ -312,7 +317,7 @@ def exact_forest(sets: list[np.ndarray], bits: np.ndarray, similarity: float, le
     return root
 
 
-def verified_links(docs: DataFrame, classes: DataFrame, candidates: DataFrame, shingle: int, similarity: float, group: int = 5_000) -> DataFrame:
+def verified_links(docs: DataFrame, classes: DataFrame, candidates: DataFrame, shingle: int, similarity: float, group: int = 1_000) -> DataFrame:
     """(a, b): links that connect exactly what classes (fp, text_hash, bits) of one candidate component and of the similarity connect.
 
     The shingles of one text a class are joined to its candidate component (node, component); all texts of a
