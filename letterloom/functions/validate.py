@@ -115,7 +115,7 @@ def score_format(c) -> Column:
 
 def content_hash(normalised) -> Column:
     """Hash of a normalised text of 50 characters at least, else empty."""
-    return F.when(F.length(col(normalised)) >= 50, F.sha2(col(normalised).cast("binary"), 256)).otherwise("")
+    return once(normalised, lambda n: F.when(F.length(n) >= 50, F.sha2(n.cast("binary"), 256)).otherwise(""))
 
 
 def page_pick(pages, limit) -> Column:
