@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from letterloom.llm import bwt
-from letterloom.llm.common import partitions, text_batches, written
+from letterloom.llm.common import BROADCAST_ROWS, partitions, text_batches, written
 
 LENGTH = 50
 SEED_SHARE = 0.4
@@ -33,6 +33,8 @@ SEED_SHARE = 0.4
 MERGE_BYTES = 120_000
 #: Documents that a key may have in one task; the strings of hotter keys are compared in Spark aggregations.
 HOT_DOCS = 5_000
+#: Documents of one chunk of texts from which on a key is hot, too, and only two of them travel to the key's task.
+CHUNK_DOCS = 32
 _LOW = np.uint64((1 << 40) - 1)
 
 
@@ -117,9 +119,33 @@ def _deal(blobs: DataFrame, n: int) -> DataFrame:
     return blobs.repartitionById(n, F.col("bucket"))
 
 
+#: An entry (document, key) of a chunk: its key is rare there; the first or last document of a key that many have; between these.
+_RARE, _END, _BETWEEN = 0, 1, 2
+
+
+def _kinds(key: np.ndarray, doc: np.ndarray, many_docs: int) -> np.ndarray:
+    """What kind each of a chunk's distinct entries is. Rows with one doc_id are one document, so a key needs two ids to be of many."""
+    kind = np.zeros(len(key), np.int8)
+    if not len(key) or np.unique(key, return_counts=True)[1].max() <= many_docs:
+        return kind
+    order = np.lexsort((doc, key))
+    starts = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+    ends = np.append(starts[1:], len(key))
+    many = (ends - starts > many_docs) & (doc[order[starts]] < doc[order[ends - 1]])
+    kind[order] = np.repeat(np.where(many, _BETWEEN, _RARE), ends - starts)
+    kind[order[starts[many]]] = _END
+    kind[order[ends[many] - 1]] = _END
+    return kind
+
+
 def _keys_of_documents(docs: DataFrame, length: int, n: int) -> DataFrame:
-    """(doc_id, key, hot): the keys of each document that another one has, too, and whether over ``HOT_DOCS`` have it. Keys travel packed by bucket."""
-    most = HOT_DOCS
+    """(doc_id, key, hot): the keys of each document that another one has, too, and whether very many have it. Keys travel packed by bucket.
+
+    A key is hot if over ``HOT_DOCS`` documents have it, or over ``CHUNK_DOCS`` of a chunk. The latter is known where
+    the chunk is read: its first and last document alone go to the key's task, to say so there, the others around it
+    in rows dealt by document. So no task gathers a key that a large share of all documents has.
+    """
+    most, many_docs = HOT_DOCS, CHUNK_DOCS
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,42 +158,52 @@ def _keys_of_documents(docs: DataFrame, length: int, n: int) -> DataFrame:
                 new = np.ones(len(key), bool)
                 new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1]) | (bucket[1:] != bucket[:-1])
                 text, key, bucket = text[new], key[new], bucket[new]
-                bounds = np.searchsorted(bucket, np.arange(n + 1))
-                some = np.flatnonzero(np.diff(bounds))
-                names, counts, keys = [], [], []
-                for b in some:
-                    s = slice(bounds[b], bounds[b + 1])
-                    who, each = np.unique(text[s], return_counts=True)
-                    names.append(ids[begin + who].astype("<i8").tobytes())
-                    counts.append(each.astype("<u4").tobytes())
-                    keys.append(key[s].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
-                yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(names, pa.binary()), pa.array(counts, pa.binary()), pa.array(keys, pa.binary())], names=["bucket", "docs", "counts", "keys"])
+                kind = _kinds(key | (bucket.astype(np.uint64) << np.uint64(40)), ids[begin + text], many_docs)
+                for own in np.unique(kind).tolist():
+                    t, k, in_bucket = text[kind == own], key[kind == own], bucket[kind == own]
+                    bounds = np.searchsorted(in_bucket, np.arange(n + 1))
+                    some = np.flatnonzero(np.diff(bounds))
+                    places, names, counts, keys = [], [], [], []
+                    for b in some.tolist():
+                        s = slice(bounds[b], bounds[b + 1])
+                        who, each = np.unique(t[s], return_counts=True)
+                        places.append(int(ids[begin + who[0]]) % n if own == _BETWEEN else b)
+                        names.append(ids[begin + who].astype("<i8").tobytes())
+                        counts.append(each.astype("<u4").tobytes())
+                        keys.append(k[s].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
+                    columns = [pa.array(places, pa.int32()), pa.array(some.astype(np.int32)), pa.array([own] * len(some), pa.int32()), *(pa.array(c, pa.binary()) for c in (names, counts, keys))]
+                    yield pa.record_batch(columns, names=["place", "bucket", "kind", "docs", "counts", "keys"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs_, keys_, buckets_ = [], [], []
+        names = ["doc_id", "key", "hot"]
+        docs_, keys_, ends_ = [], [], []
         for batch in batches:
-            for b, d, c, k in zip(*(batch.column(x).to_pylist() for x in ("bucket", "docs", "counts", "keys")), strict=True):
-                docs_.append(np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(c, "<u4")))
+            for b, own, d, c, k in zip(*(batch.column(x).to_pylist() for x in ("bucket", "kind", "docs", "counts", "keys")), strict=True):
+                doc = np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(c, "<u4"))
                 wide = np.zeros((len(k) // 5, 8), np.uint8)
                 wide[:, :5] = np.frombuffer(k, np.uint8).reshape(-1, 5)
-                keys_.append(wide.view("<u8").ravel())
-                buckets_.append(np.full(len(keys_[-1]), b))
+                key = wide.view("<u8").ravel() | (np.uint64(b) << np.uint64(40))
+                if own == _BETWEEN:  # known to be shared, and hot
+                    yield pa.record_batch([pa.array(doc), pa.array(key.view(np.int64)), pa.array(np.ones(len(doc), bool))], names=names)
+                    continue
+                docs_.append(doc)
+                keys_.append(key)
+                ends_.append(np.full(len(key), own == _END))
         if not docs_:
             return
-        doc, key, bucket = np.concatenate(docs_), np.concatenate(keys_), np.concatenate(buckets_)
-        key = key | (bucket.astype(np.uint64) << np.uint64(40))
+        doc, key, end = np.concatenate(docs_), np.concatenate(keys_), np.concatenate(ends_)
         order = np.argsort(key)
         doc, key = doc[order], key[order]
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
         sizes = np.diff(np.append(starts, len(key)))
-        keep, hot = np.repeat(several, sizes), np.repeat(sizes > most, sizes)
+        keep, hot = np.repeat(several, sizes), np.repeat((sizes > most) | np.logical_or.reduceat(end[order], starts), sizes)
         doc, key, hot = doc[keep], key[keep].view(np.int64), hot[keep]
         for at in range(0, len(doc), 500_000):
-            yield pa.record_batch([pa.array(doc[at : at + 500_000]), pa.array(key[at : at + 500_000]), pa.array(hot[at : at + 500_000])], names=["doc_id", "key", "hot"])
+            yield pa.record_batch([pa.array(doc[at : at + 500_000]), pa.array(key[at : at + 500_000]), pa.array(hot[at : at + 500_000])], names=names)
 
-    blobs = docs.mapInArrow(pack, "bucket int, docs binary, counts binary, keys binary")
-    return _deal(blobs, n).mapInArrow(meet, "doc_id long, key long, hot boolean")
+    blobs = docs.mapInArrow(pack, "place int, bucket int, kind int, docs binary, counts binary, keys binary")
+    return blobs.repartitionById(n, F.col("place")).mapInArrow(meet, "doc_id long, key long, hot boolean")
 
 
 def _segments(docs: DataFrame, length: int, n: int) -> DataFrame:
@@ -308,12 +344,14 @@ def _hot_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _hot_spans(dealt: DataFrame, length: int) -> DataFrame:
-    """Spans under hot keys. No task gathers a key or a string: minima are combined before the shuffle, frequent ones broadcast."""
+def _hot_spans(dealt: DataFrame, length: int, few: bool) -> DataFrame:
+    """Spans under hot keys. No task gathers a key or a string: minima are combined before the shuffle, frequent ones broadcast.
+
+    ``few``: the hot keys are few enough to broadcast.
+    """
     runs = dealt.mapInArrow(_hot_runs, "key long, mark long, segment binary, doc_id long, text_hash long, begin long")
-    # as many rows as hot keys, at most the runs divided by the limit
     keys = runs.groupBy("key").agg((F.min("mark") == F.max("mark")).alias("one"), F.min("doc_id").alias("least"))
-    runs = runs.join(F.broadcast(keys), "key")
+    runs = runs.join(F.broadcast(keys) if few else keys, "key")
     end = (F.col("begin") + F.octet_length("segment")).alias("end")
     whole = runs.where("one and least < doc_id").select("doc_id", "text_hash", "begin", end)
 
@@ -353,9 +391,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     shared = _keys_of_documents(texts.select(F.col("_key").alias("doc_id"), "text"), length, n)
     shared = shared.groupBy("doc_id").agg(*(F.collect_list(F.when(F.col("hot") == F.lit(h), F.col("key"))).alias(c) for c, h in (("keys", False), ("hot_keys", True))))
     shared = written(shared, "shared-keys").withColumnRenamed("doc_id", "_key")
+    few = shared.select(F.explode("hot_keys")).distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     # both joins read the same shuffle of the texts: nothing is selected before it, so the plans agree
     dealt = _deal(_segments(texts.join(shared.hint("shuffle_hash"), "_key"), length, n), n)
-    spans = dealt.mapInArrow(_spans_of_bucket(length), _SPAN).unionByName(_hot_spans(dealt, length))
+    spans = dealt.mapInArrow(_spans_of_bucket(length), _SPAN).unionByName(_hot_spans(dealt, length, few))
     spans = spans.groupBy(F.col("doc_id").alias("_key")).agg(F.collect_list(F.struct("text_hash", "begin", "end")).alias("spans"))
     marked = texts.join(spans.hint("shuffle_hash"), "_key", "left").drop("_key")
     return marked.unionByName(docs.where(~long_enough).drop("_key").withColumn("spans", F.lit(None).cast(marked.schema["spans"].dataType)))

@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from letterloom.llm import bwt, components, dac, decontam, embeddings, language, packing, quality, repeats, sharding, simhash, token_counts, token_files
@@ -503,7 +504,15 @@ def test_similar_texts_against_brute_force(spark):
     assert (simhash.exact_forest(classes, wide, 0.8)[1:-1:2] == np.arange(0, len(texts) - 1, 2)).tolist() == [s >= 0.8 for s in share]
 
 
-def test_repeats_of_a_passage_in_a_third_of_documents(spark, monkeypatch):
+def test_kinds_of_a_chunks_keys():
+    key = np.array([7, 5, 7, 9, 7, 7, 9, 9, 9], np.uint64)
+    doc = np.array([3, 1, 1, 4, 8, 2, 4, 4, 4])
+    assert repeats._kinds(key, doc, 3).tolist() == [2, 0, 1, 0, 1, 2, 0, 0, 0]  # all rows with 9 are one document's
+    assert repeats._kinds(key, doc, 4).tolist() == [0] * 9 and not len(repeats._kinds(key[:0], doc[:0], 3))
+
+
+@pytest.mark.parametrize("limits", [{"HOT_DOCS": 20}, {"CHUNK_DOCS": 5}])
+def test_repeats_of_a_passage_in_a_third_of_documents(spark, monkeypatch, limits):
     """One passage with differing neighbours: no task gets all segments of its keys, and the result is the same."""
     rng = np.random.default_rng(13)
 
@@ -514,7 +523,12 @@ def test_repeats_of_a_passage_in_a_third_of_documents(spark, monkeypatch):
     data = [(i, words(25) + (" " + passage + " " + words(8) if i % 3 == 0 else "")) for i in range(240)]
     data += [(900, data[3][1]), (901, "tail of it " + passage[40:]), (902, passage + "x"), (902, passage + "x"), (None, passage)]
     docs = spark.createDataFrame(data, "doc_id long, text string")
-    monkeypatch.setattr(repeats, "HOT_DOCS", 20, raising=False)
+    for name, value in limits.items():
+        monkeypatch.setattr(repeats, name, value)
+    whole = docs.where("doc_id is not null and octet_length(text) >= 50")
+    keys = repeats._keys_of_documents(whole, 50, 4)
+    own = keys.groupBy("key").agg(F.count_distinct("doc_id").alias("docs"), F.count_distinct("hot").alias("kinds"), F.max("hot").alias("hot"))
+    assert own.where("kinds <> 1 or docs < 2 or (docs > 70 and not hot)").count() == 0 and own.where("docs >= 80 and hot").count() > 0
     seen = spark.sparkContext.accumulator(0)
     earlier = repeats._earlier
 
