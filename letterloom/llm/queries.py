@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterloom.llm import decontam, embeddings, language, packing, quality, repeats, sharding, simhash, token_counts, token_files
+from letterloom.llm import decontam, embeddings, language, packing, periodic, personal, quality, repeats, sharding, simhash, token_counts, token_files, whitening
 from letterloom.llm.common import crc_fold, scratch, table, written
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -77,6 +77,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_copies(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document; null and empty texts have none."""
+    return personal.report(personal.find_personal_data(table(spark, sf_dir, "documents")))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors whitened, 32 components; see ``whitening.whiten`` for nulls, lengths and repeated rows."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words of every document, one in ten of which is made periodic first; null, empty and wordless texts have none."""
+    return periodic.run_report(table(spark, sf_dir, "documents"), periodic.repeated_words)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,7 +99,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_token_files, op2_sharding, op3_suffix_dedup, op4_embedding_dedup, op5_token_counts, op6_packing, op7_language_id, op8_simhash_dedup, op9_quality, op10_decontamination, pipeline)
+    own = (op1_token_files, op2_sharding, op3_suffix_dedup, op4_embedding_dedup, op5_token_counts, op6_packing, op7_language_id, op8_simhash_dedup, op9_quality, op10_decontamination,
+           op11_personal_data, op12_whitening, op13_periodic_runs, pipeline)
     return {f.__name__: f for f in own}
 
 
