@@ -98,21 +98,6 @@ def missing_required(df: DataFrame, required: list[str]) -> DataFrame:
     return df.select("filename", bad.alias("missing")).where("missing <> ''")
 
 
-def schema_violations(df: DataFrame, enums: dict[str, list[str]], patterns: dict[str, str], ranges: dict[str, tuple[float, float]]) -> DataFrame:
-    """filename and the violated rules of a schema given as enumerations, patterns and ranges."""
-    tests = [F.when(F.col(c).isNull() | ~F.col(c).isin(*v), f"{c}: enum") for c, v in enums.items()]
-    tests += [F.when(F.col(c).isNull() | ~F.col(c).rlike(p), f"{c}: pattern") for c, p in patterns.items()]
-    tests += [F.when(F.col(c).isNull() | ~F.col(c).between(*r), f"{c}: range") for c, r in ranges.items()]
-    return df.select("filename", F.concat_ws("; ", *tests).alias("violations")).where("violations <> ''")
-
-
 def unverified_claims(df: DataFrame) -> DataFrame:
     """Rows that claim to be verified without saying by whom."""
     return df.where((F.col("status") == "TERVERIFIKASI") & (F.trim(F.coalesce("verified_by", F.lit(""))) == ""))
-
-
-def nulls_and_reasons(records: DataFrame) -> DataFrame:
-    """filename, nulls, unexplained of nested records: nulls in metadata, and blank fields without a reason."""
-    nulls = sum((F.col(f"metadata.{f}").isNull().cast("int") for f in rules.FIELDS), F.lit(0))
-    unexplained = sum((F.when((F.col(f"metadata.{f}") == "") & F.try_element_at("missing_reasons", F.lit(f)).isNull(), 1).otherwise(0) for f in rules.FIELDS), F.lit(0))
-    return records.select("filename", nulls.alias("nulls"), unexplained.alias("unexplained"))

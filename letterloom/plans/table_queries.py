@@ -583,11 +583,6 @@ def chk_required(spark, sf_dir):
     return review.missing_required(records(spark, sf_dir), ["m_agency", "m_subject"])
 
 
-@query("chk_schema", "SELECT filename, array_to_string(list_filter([CASE WHEN doc_type NOT IN ('surat_dinas', 'laporan') THEN 'doc_type: enum' END, CASE WHEN NOT regexp_matches(m_letter_date, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') THEN 'm_letter_date: pattern' END, CASE WHEN pages NOT BETWEEN 1 AND 4 THEN 'pages: range' END], lambda x: x IS NOT NULL), '; ') AS violations FROM records WHERE doc_type NOT IN ('surat_dinas', 'laporan') OR NOT regexp_matches(m_letter_date, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') OR pages NOT BETWEEN 1 AND 4")
-def chk_schema(spark, sf_dir):
-    return review.schema_violations(records(spark, sf_dir), {"doc_type": ["surat_dinas", "laporan"]}, {"m_letter_date": "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"}, {"pages": (1, 4)})
-
-
 @query("chk_verified_integrity", "SELECT filename FROM records WHERE letter_id % 2 = 0 AND trim(verified_by) = ''")
 def chk_verified_integrity(spark, sf_dir):
     df = records(spark, sf_dir).withColumn("status", F.when(F.col("letter_id") % 2 == 0, "TERVERIFIKASI").otherwise("PRE_LABEL"))
@@ -599,11 +594,6 @@ def chk_labels_strict(spark, sf_dir):
     return metrics.long_form(records(spark, sf_dir), "letter_id").where("label is null or label = ''").select("letter_id", "field")
 
 
-@query("chk_no_null", "SELECT filename, CAST(0 AS INT) AS nulls, CAST(0 AS INT) AS unexplained FROM records")
-def chk_no_null(spark, sf_dir):
-    return review.nulls_and_reasons(metrics.record(records(spark, sf_dir)))
-
-
 @query("chk_catalog", f"WITH {_CAT} SELECT id, true AS well_named, CAST(3 AS INT) AS n_parameters, true AS increasing, true AS top_is_max FROM c")
 def chk_catalog(spark, sf_dir):
     from letterloom.operators.checks import catalog_facts
