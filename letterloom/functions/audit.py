@@ -35,6 +35,23 @@ def aud_contains(value, text_norm) -> Column:
     return F.when(n == "", "empty").when(F.contains(col(text_norm), n) | F.contains(bare(col(text_norm)), bare(n)), "found")
 
 
+def holds_block(text, value, least: float = 0.85) -> Column:
+    """Whether ``text`` holds a block of ``value`` of at least that share of its length (0.5 or more).
+
+    Such a block is a window of the least length that is enough, and all windows of that length share the value's
+    middle: a text without the middle is passed by after one search.
+    """
+    def of(v: Column) -> Column:
+        n = F.length(v)
+        short = F.floor(n * least).cast("int")
+        enough = F.when(short / n >= least, short).otherwise(short + 1)
+        middle = F.substring(v, n - enough + 1, 2 * enough - n)
+        windows = F.exists(F.sequence(F.lit(1), n - enough + 1), lambda i: F.contains(col(text), F.substring(v, i, enough)))
+        return F.coalesce((n > 0) & F.contains(col(text), middle) & F.when(n > 0, windows), F.lit(False))
+
+    return once(value, of)
+
+
 def aud_date(iso, text_norm) -> Column:
     day = F.regexp_extract(F.coalesce(col(iso), F.lit("")), r"^(\d{4})-(\d{2})-(\d{2})", 3).try_cast("int").cast("string")
     year = F.left(F.coalesce(col(iso), F.lit("")), F.lit(4))

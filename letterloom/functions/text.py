@@ -120,8 +120,7 @@ def dup_norm(c) -> Column:
 
 
 def audit_norm(c) -> Column:
-    plain = F.translate(F.lower(F.coalesce(col(c), F.lit(""))), "“”’", "\"\"'")
-    return F.trim(F.regexp_replace(plain, "[^a-z0-9/]+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), "[^a-z0-9/]+", " "))
 
 
 def digits(c) -> Column:

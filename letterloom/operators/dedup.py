@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from letterloom.functions import validate
-from letterloom.functions.text import dup_norm
+from letterloom.functions.audit import holds_block
+from letterloom.functions.text import audit_norm, dup_norm
 from letterloom.operators.python_functions import longest_block_share, similarity
 from letterloom.shared import written
 
@@ -66,12 +67,16 @@ def summary(df: DataFrame, marked: DataFrame) -> DataFrame:
 
 
 def similar_values(cells: DataFrame, least: float = 0.85) -> DataFrame:
-    """Decide the cells that substring tests left open; only they reach Python."""
-    from letterloom.functions.text import audit_norm
+    """Decide the cells that substring tests left open: ``similar`` where the text holds a block of that share of the value.
 
-    open_ = cells.where("verdict is null").withColumn("_share", longest_block_share(F.col("text_norm"), audit_norm("machine")))
-    decided = open_.withColumn("verdict", F.when(F.col("_share") >= least, "similar").otherwise("not_found")).drop("_share")
-    return cells.where("verdict is not null").unionByName(decided)
+    Searches for windows of the value decide values under 200 characters. From there on difflib leaves frequent
+    characters out of account, so its block may be shorter, but not longer: only such cells that hold a block reach it.
+    """
+    marked = cells.withColumn("_value", F.when(F.col("verdict").isNull(), audit_norm("machine"))).withColumn("_holds", F.when(F.col("_value").isNotNull(), holds_block("text_norm", "_value", least)))
+    left = F.col("_holds") & (F.length("_value") >= 200)  # all others give the function nulls
+    marked = marked.withColumn("_share", longest_block_share(F.when(left, F.col("text_norm")), F.when(left, F.col("_value"))))
+    similar = F.when(left, F.col("_share") >= least).otherwise(F.col("_holds"))
+    return marked.withColumn("verdict", F.coalesce("verdict", F.when(similar, "similar").otherwise("not_found"))).drop("_value", "_holds", "_share")
 
 
 def readings_best(df: DataFrame) -> DataFrame:

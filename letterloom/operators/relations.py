@@ -31,25 +31,6 @@ def seeded_split(df: DataFrame, key: str, train: float = 0.6, seed: int = 42) ->
     return placed.join(F.broadcast(total)).withColumn("split", F.when(F.col("no") <= F.floor(F.col("_total") * train), "train").otherwise("test")).drop("_place", "_total", "no")
 
 
-def find_contained(hay: DataFrame, needles: DataFrame) -> DataFrame:
-    """(doc_id, item_id) where hay.hay holds needles.needle, both of words set apart by single spaces.
-
-    A needle is sought by its longest inner word, so candidates meet in an equi-join on words; only they are
-    compared whole. Needles of under three words have no inner word: the distinct ones are broadcast and sought in every text.
-    """
-    inner = F.expr("slice(split(needle, ' '), 2, greatest(size(split(needle, ' ')) - 2, 0))")
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    marked = needles.where("needle is not null").withColumn("word", longest)
-    keyed = marked.where("word is not null")
-    words = hay.select("doc_id", F.explode(F.array_distinct(F.split("hay", " "))).alias("word"))
-    candidates = words.join(keyed.select("item_id", "word"), "word").select("doc_id", "item_id")
-    both = candidates.join(hay, "doc_id").join(needles, "item_id")
-    found = both.where(F.contains("hay", F.col("needle"))).select("doc_id", "item_id")
-    short = marked.where("word is null").groupBy("needle").agg(F.collect_list("item_id").alias("items"))
-    inside = hay.join(F.broadcast(short), F.contains("hay", F.col("needle"))).select("doc_id", F.explode("items").alias("item_id"))
-    return found.unionByName(inside)
-
-
 def left_broadcast(df: DataFrame, small: DataFrame, on: str, limit_bytes: int = 64 << 20) -> DataFrame:
     """Left equi-join that broadcasts ``small`` only where its estimated size is within ``limit_bytes``."""
     size = int(str(small._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

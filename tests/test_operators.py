@@ -132,10 +132,47 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert got.count() == 2 and got.where("doc_number = '421/1/AB/2024'").count() == 1
 
 
-def test_find_contained_seeks_short_needles(spark):
-    hay = spark.createDataFrame([(1, "one two three four"), (2, "someone else"), (3, None)], "doc_id long, hay string")
-    needles = spark.createDataFrame([(1, "one"), (2, "two three"), (3, "one two three"), (4, "five"), (5, "one"), (6, None)], "item_id long, needle string")
-    from letterloom.operators.relations import find_contained
-
-    got = sorted(tuple(r) for r in find_contained(hay, needles).collect())
-    assert got == [(1, 1), (1, 2), (1, 3), (1, 5), (2, 1), (2, 5)]
+def test_values_in_documents(spark, monkeypatch):
+    from letterloom.operators import finding
+
+    rows = [(1, "one two three four"), (2, "someone else"), (3, None), (4, "onetwo threefour five"), (None, "one"), (4, "x"), (5, "")]
+    sought = [(1, "one"), (2, "two three"), (3, "one two three"), (4, "six"), (5, "one"), (6, None), (7, ""), (8, "threefour fi"), (9, "three four fi"), (9, "three four fi")]
+    bare = lambda t: t.replace(" ", "")
+    want = sorted((d, i, "found" if n in h else "found_without_spaces") for d, h in rows if d and h for i, n in sought if n and bare(n) in bare(h))
+    hay, needles = spark.createDataFrame(rows, "doc_id long, hay string"), spark.createDataFrame(sought, "item_id long, needle string")
+    assert sorted(map(tuple, finding.find_values(hay, needles).collect())) == want and len(want) == 13
+    for name, value in (("SHARD", 8), ("TASK", 1), ("BROADCAST", 2)):
+        monkeypatch.setattr(finding, name, value)
+    assert sorted(map(tuple, finding.find_values(hay, needles).collect())) == want
+    found = finding.find_values(hay, needles)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert finding.find_values(hay, needles.limit(0)).collect() == [] and finding.find_values(hay.limit(0), needles).collect() == []
+
+
+def test_blocks_of_values_as_difflib_finds_them(spark):
+    import difflib
+    import random
+
+    from letterloom.functions.text import audit_norm
+    from letterloom.operators import dedup
+
+    rng, cells = random.Random(5), []
+    for k in range(10_000):
+        text = " ".join("".join(rng.choice("abcde1") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(3, 80)))
+        n = rng.choice([1, 2, 5, 7, 13, 20, 40, 199, 200, 260])
+        at = rng.randrange(max(1, len(text) - n))
+        value = list(text[at : at + n])
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            value[min(len(value) - 1, int(len(value) * rng.choice([0, 0.05, 0.1, 0.15, 0.2, 0.5, 0.86, 0.95])))] = "z"
+        cells.append((k, "".join(value), text, None if k % 10 else "found"))
+    df = spark.createDataFrame(cells, "id long, machine string, text_norm string, verdict string")
+    values = {r["id"]: r["v"] for r in df.select("id", audit_norm("machine").alias("v")).collect()}
+    got = {r["id"]: r["verdict"] for r in dedup.similar_values(df).collect()}
+
+    def want(k, text, given):
+        v = values[k]
+        block = difflib.SequenceMatcher(None, text, v).find_longest_match(0, len(text), 0, len(v)).size
+        return given or ("similar" if block / max(1, len(v)) >= 0.85 else "not_found")
+
+    assert got == {k: want(k, text, given) for k, _, text, given in cells}
+    assert {v: sum(g == v for g in got.values()) > 500 for v in ("similar", "not_found", "found")} == {"similar": True, "not_found": True, "found": True}
