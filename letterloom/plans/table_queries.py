@@ -10,7 +10,7 @@ from letterloom.operators import assess, dedup, metrics, relations, review
 from letterloom.plans import extraction
 from letterloom.plans.registry import query, table
 from letterloom.shared import scratch, written
-from letterloom.sources import readers, writers
+from letterloom.sources import database, document_files, readers, writers
 from letterloom.sources.letters import letters, records
 
 _NORM = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
@@ -678,10 +678,37 @@ def src_orm(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "lang", "source")
 
 
+@query("src_orm_jdbc", "SELECT doc_id, source, n_chars FROM documents WHERE lang = 'en' AND n_chars >= 200")
+def src_orm_jdbc(spark, sf_dir):
+    """Documents in a database, read in ranges of their number; conditions and columns go into the database's own queries.
+
+    ``letterloom.jdbc.url`` names the database. Where it is unset, one inside this process is made (tests, one machine):
+    the executors of a cluster could not open it.
+    """
+    url = spark.conf.get("letterloom.jdbc.url", None)
+    if not url:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set letterloom.jdbc.url to a database that executors reach")
+        url = f"jdbc:derby:{scratch(spark, 'database').removeprefix('file://')};create=true"
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    database.write_table(rows, url, "documents", {"lang": "VARCHAR(16)", "source": "VARCHAR(64)"})
+    return database.read_table(spark, url, "documents", key="doc_id", rows_per_part=1_000).where("lang = 'en' and n_chars >= 200").select("doc_id", "source", "n_chars")
+
+
+@query("src_db_fallback", "SELECT 'copy' AS read_from, lang, count(*) AS n FROM documents GROUP BY lang")
+def src_db_fallback(spark, sf_dir):
+    """A database that is not there: the copy in files answers."""
+    rows, origin = database.table_or_copy(spark, f"jdbc:derby:{scratch(spark, 'no-database').removeprefix('file://')}", "documents", f"{sf_dir}/documents.parquet", seconds=10)
+    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(F.lit(origin).alias("read_from"), "lang", "n")
+
+
 @query("src_json_records", "SELECT filename, m_agency AS agency, pages FROM records")
 def src_json_records(spark, sf_dir):
-    lines = metrics.record(records(spark, sf_dir)).join(records(spark, sf_dir).select("filename", "pages"), "filename").select(F.to_json(F.struct("*")).alias("json"))
-    return readers.records_from_json(lines).select("filename", F.col("metadata.agency").alias("agency"), F.col("page_count").alias("pages"))
+    """Records written as one file each, and read again."""
+    df, path = records(spark, sf_dir), scratch(spark, "record-files")
+    whole = metrics.record(df).join(df.select("filename", F.col("pages").alias("page_count")), "filename")
+    writers.record_json(whole, path)
+    return readers.json_records(spark, path).select("filename", F.col("metadata.agency").alias("agency"), F.col("page_count").alias("pages"))
 
 
 @query("src_manifest", "SELECT filename, arg_max(evidence_tag, pos) AS evidence_tag FROM (SELECT 'file-' || CAST(o_orderkey % 500 AS VARCHAR) AS filename, o_orderpriority AS evidence_tag, o_orderkey AS pos FROM orders) GROUP BY filename")
@@ -724,9 +751,12 @@ def src_csv_sheet(spark, sf_dir):
     return rows.select("filename", "field", F.coalesce("true_value", F.lit("")).alias("true_value"))
 
 
-@query("src_files", "SELECT filename FROM letters WHERE letter_id % 29 = 0 AND contains(filename, '1')")
+@query("src_files", "SELECT filename, CAST(length(text) AS BIGINT) AS length, md5(text) AS md5 FROM letters WHERE letter_id % 29 = 0 AND contains(filename, '1')")
 def src_files(spark, sf_dir):
-    return readers.supported(letters(spark, sf_dir).select("filename"), suffixes=("png", "jpg"), name_part="1")
+    """Letters written as files and read again: images whose name holds a 1; names are tested before files are opened."""
+    path = scratch(spark, "letter-files")
+    document_files.write(letters(spark, sf_dir).select("filename", F.col("text").alias("content")), path)
+    return readers.files(spark, path, ("png", "jpg"), name_part="1").select("filename", "length", F.md5("content").alias("md5"))
 
 
 @query("sink_doc_upsert", "SELECT o_orderkey AS file_hash, CASE WHEN o_orderkey % 3 = 0 THEN 'DONE' ELSE 'NEW' END AS status, CASE WHEN o_orderkey % 2 = 0 THEN 'old' ELSE 'new' END AS filename FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
@@ -752,13 +782,23 @@ def sink_label_update(spark, sf_dir):
     return _read_back(relations.upsert(old, new, "filename", ("status",)), "labels")
 
 
-@query("sink_record_json", "SELECT filename, m_subject AS subject FROM records WHERE letter_id % 3 <> 0")
+_INDENTED = " || chr(10) || ".join(["'{'", """'  "filename": "' || filename || '",'""", """'  "doc_type": {'""", """'    "type": "' || doc_type || '"'""", "'  },'", """'  "metadata": {'""", """'    "subject": "' || subject || '"'""", "'  },'", """'  "page_count": ' || CAST(pages AS VARCHAR)""", "'}'"])
+
+
+@query("sink_record_json", f"""WITH s AS (SELECT *, CASE WHEN letter_id % 9 = 0 THEN 'forced' WHEN letter_id % 3 = 0 THEN 'old' ELSE m_subject END AS subject FROM records)
+  SELECT regexp_replace(filename, '[.][^.]*$', '') || '.json' AS name, subject, md5({_INDENTED}) AS md5 FROM s""")
 def sink_record_json(spark, sf_dir):
-    """Records that exist already (every third) are not written again."""
-    df = records(spark, sf_dir)
-    path = scratch(spark, "records-json")
-    writers.record_json(metrics.record(df), path, existing=df.where("letter_id % 3 = 0"))
-    return readers.json_records(spark, path, multi_line=False).select("filename", F.col("metadata.subject").alias("subject"))
+    """A third is there already and stays, a ninth is written over by force; names and bytes are read back."""
+    df, path = records(spark, sf_dir), scratch(spark, "records-json")
+
+    def some(rows, subject):
+        return rows.select("filename", F.struct(F.col("doc_type").alias("type")).alias("doc_type"), F.struct(subject.alias("subject")).alias("metadata"), F.col("pages").alias("page_count"))
+
+    writers.record_json(some(df.where("letter_id % 3 = 0"), F.lit("old")), path)
+    writers.record_json(some(df, F.col("m_subject")), path)
+    writers.record_json(some(df.where("letter_id % 9 = 0"), F.lit("forced")), path, force=True)
+    back = document_files.read(spark, path, ("json",))
+    return back.select(F.col("filename").alias("name"), F.get_json_object(F.col("content").cast("string"), "$.metadata.subject").alias("subject"), F.md5("content").alias("md5"))
 
 
 @query("sink_extraction_append", "SELECT letter_id, t_letter_date AS letter_date, run FROM letters, (VALUES (1), (2)) AS r(run) WHERE run = 1 OR letter_id % 2 = 0")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from letterloom.functions import rules
+from letterloom.sources import document_files
 
 #: Suffixes of supported evidence files.
 SUFFIXES = ("pdf", "png", "jpg", "jpeg", "tif", "tiff")
@@ -29,10 +30,11 @@ def supported(files: DataFrame, suffixes: tuple[str, ...] = SUFFIXES, name_part:
     return kept.orderBy("filename").limit(limit) if limit is not None else kept
 
 
-def files(spark: SparkSession, folder: str, **options) -> DataFrame:
-    """filename, content, length of supported files; the content is read only where it is used."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return supported(found.withColumn("filename", F.element_at(F.split("path", "/"), -1)), **options)
+def files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUFFIXES, name_part: str = "", limit: int | None = None) -> DataFrame:
+    """filename, path, length, content of supported files; suffixes and the name are tested before a file is opened. ``limit`` keeps the first by name."""
+    found = document_files.read(spark, folder, suffixes)
+    found = found.where(F.contains("filename", F.lit(name_part))) if name_part else found
+    return found.orderBy("filename").limit(limit) if limit is not None else found
 
 
 def pages(found: DataFrame, provider: Callable[[str, bytes], list[str]], most: int | None = None) -> DataFrame:
@@ -67,9 +69,9 @@ def join_pages(df: DataFrame, key: str, page: str) -> DataFrame:
     return df.groupBy(key).agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "\n").alias("text"))
 
 
-def json_records(spark: SparkSession, folder: str, multi_line: bool = True) -> DataFrame:
-    """Records of a folder: one file each, or as ``writers.record_json`` leaves them, one line each."""
-    return spark.read.schema(RECORD).json(folder, multiLine=multi_line)
+def json_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of a folder, one file each as ``writers.record_json`` leaves them; a file that is no record is a row of nulls."""
+    return records_from_json(document_files.read(spark, folder, ("json",)).select(F.col("content").cast("string").alias("json")))
 
 
 def records_from_json(lines: DataFrame) -> DataFrame:

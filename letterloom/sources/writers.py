@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from letterloom.sources import document_files
 
-def record_json(records: DataFrame, path: str, existing: DataFrame | None = None, force: bool = False) -> None:
-    """One JSON object per document and line; documents in ``existing`` (filename) are skipped unless forced."""
-    if existing is not None and not force:
-        records = records.join(existing.select("filename"), "filename", "left_anti")
-    records.write.mode("overwrite").json(path)
+
+def record_json(records: DataFrame, path: str, force: bool = False) -> None:
+    """One indented JSON file per record, named as its document; files that are there already stay unless forced. All appear, or none."""
+    name = F.concat(F.regexp_replace("filename", r"\.[^.]*$", ""), F.lit(".json"))
+    document_files.write(records.select(name.alias("filename"), F.to_json(F.struct("*")).alias("content")), path, force=force, indent=2)
 
 
 def append(df: DataFrame, path: str) -> None:
