@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from letterloom.functions.classify import split_rank
 from letterloom.shared import written
+from letterloom.sources.bucket_table import reduced
 
 
 def numbered_by(df: DataFrame, *order: str | Column) -> DataFrame:
@@ -43,9 +44,15 @@ def nested_children(parents: DataFrame, children: DataFrame, on: str, order: str
     return parents.join(lists, on, "left").withColumn("children", F.coalesce("children", F.array().cast(lists.schema["children"].dataType)))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str, update: tuple[str, ...]) -> DataFrame:
-    """Keyed merge as a new relation: known keys take ``update`` columns from ``new``, unknown ones are added."""
-    a, b = old.alias("a"), new.alias("b")
+def upsert(old: DataFrame, new: DataFrame, key: str, update: tuple[str, ...], position: str | None = None) -> DataFrame:
+    """Keyed merge as a new relation: known keys take ``update`` columns from ``new``, unknown ones are added.
+
+    A key that repeats in ``new`` is one row: ``update`` columns of its last row by ``position`` (without one, in the
+    order of rows), the others of its first. Rows of ``new`` without a key are left out.
+    """
+    if position is None:
+        new, position = new.withColumn("_position", F.monotonically_increasing_id()), "_position"
+    a, b = old.alias("a"), reduced(new.select(*old.columns, position), key, update, position).alias("b")
     joined = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer")
     known = F.col(f"a.{key}").isNotNull()
 

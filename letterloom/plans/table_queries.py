@@ -11,6 +11,7 @@ from letterloom.plans import extraction
 from letterloom.plans.registry import query, table
 from letterloom.shared import scratch, written
 from letterloom.sources import database, document_files, readers, writers
+from letterloom.sources.bucket_table import BucketTable
 from letterloom.sources.letters import letters, records
 
 _NORM = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
@@ -759,12 +760,17 @@ def src_files(spark, sf_dir):
     return readers.files(spark, path, ("png", "jpg"), name_part="1").select("filename", "length", F.md5("content").alias("md5"))
 
 
-@query("sink_doc_upsert", "SELECT o_orderkey AS file_hash, CASE WHEN o_orderkey % 3 = 0 THEN 'DONE' ELSE 'NEW' END AS status, CASE WHEN o_orderkey % 2 = 0 THEN 'old' ELSE 'new' END AS filename FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
+@query("sink_doc_upsert", "SELECT o_orderkey AS file_hash, CASE WHEN o_orderkey % 3 = 0 THEN 'DONE' ELSE 'NEW' END AS status, CASE WHEN o_orderkey % 2 = 0 THEN 'old' ELSE 'first' END AS filename FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
 def sink_doc_upsert(spark, sf_dir):
+    """Two batches merged into a table in buckets; the second brings each key twice, for known and unknown keys alike."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_hash"))
-    old = orders.where("file_hash % 2 = 0").withColumns({"status": F.lit("NEW"), "filename": F.lit("old")})
-    new = orders.where("file_hash % 3 = 0").withColumns({"status": F.lit("DONE"), "filename": F.lit("new")})
-    return _read_back(relations.upsert(old, new, "file_hash", ("status",)), "documents")
+    old = orders.where("file_hash % 2 = 0").withColumns({"status": F.lit("NEW"), "filename": F.lit("old"), "pos": F.lit(0)})
+    twice = F.explode(F.array(F.struct(F.lit("RUNNING").alias("status"), F.lit("first").alias("filename"), F.lit(1).alias("pos")), F.struct(F.lit("DONE").alias("status"), F.lit("second").alias("filename"), F.lit(2).alias("pos"))))
+    new = orders.where("file_hash % 3 = 0").select("file_hash", twice.alias("v")).select("file_hash", "v.*")
+    documents = BucketTable(spark, scratch(spark, "documents"), "file_hash", buckets=32)
+    for batch in (old, new):
+        documents.merge(batch, ("status",), "pos")
+    return documents.read()
 
 
 @query("sink_catalog_upsert", "SELECT n_nationkey AS id, CASE WHEN n_regionkey = 1 THEN upper(n_name) ELSE n_name END AS name FROM nation")

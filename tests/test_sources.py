@@ -8,6 +8,7 @@ from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
 from letterloom.sources import database, document_files, readers, writers
+from letterloom.sources.bucket_table import BucketTable
 
 
 def batch(*rows):
@@ -129,3 +130,41 @@ def test_database_that_does_not_answer(spark, tmp_path):
         patch.setattr(database, "_answers", lambda *a: time.sleep(30))
         assert database.table_or_copy(spark, "jdbc:derby:x", "t", str(tmp_path / "copy"), seconds=0.5)[1] == "copy"
     assert time.time() - began < 15
+
+
+def test_merge_touches_only_its_buckets(spark, tmp_path):
+    made = BucketTable(spark, f"file://{tmp_path}/t", "k", buckets=8)
+    with pytest.raises(ValueError):
+        made.read()
+    kind = "k long, status string, name string, pos int"
+    first = made.merge(spark.createDataFrame([(i, "NEW", f"n{i}", 0) for i in range(100)] + [(None, "x", "x", 1)], kind), ("status",), "pos")
+    files = {b: sorted(p.name for p in (tmp_path / "t" / f).iterdir()) for b, f in first["folders"].items()}
+    second = made.merge(spark.createDataFrame([(5, "A", "later", 1), (5, None, "later", 3), (5, "B", "later", 2), (500, "C", "one", 7), (500, "D", "two", 9)], kind), ("status",), "pos")
+    changed = {b for b in second["folders"] if second["folders"][b] != first["folders"].get(b)}
+    assert 1 <= len(changed) <= 2 and second["number"] == 2
+    assert all(sorted(p.name for p in (tmp_path / "t" / second["folders"][b]).iterdir()) == files[b] for b in files if b not in changed)
+    rows = {r["k"]: (r["status"], r["name"]) for r in made.read().collect()}
+    assert len(rows) == 101 and rows[5] == (None, "n5") and rows[500] == ("D", "one") and rows[6] == ("NEW", "n6")
+    assert made.merge(spark.createDataFrame([], kind), ("status",), "pos")["folders"] == second["folders"] and made.read().count() == 101
+
+
+def test_second_of_two_merges_at_once_fails(spark, tmp_path, monkeypatch):
+    kind = "k long, status string, pos int"
+    made = BucketTable(spark, f"file://{tmp_path}/t", "k", buckets=4)
+    made.merge(spark.createDataFrame([(1, "a", 0)], kind), ("status",), "pos")
+    stale = made.manifest()
+    made.merge(spark.createDataFrame([(1, "b", 0)], kind), ("status",), "pos")
+    other = BucketTable(spark, f"file://{tmp_path}/t", "k")
+    monkeypatch.setattr(other, "manifest", lambda: stale)
+    with pytest.raises(Exception, match="xist"):
+        other.merge(spark.createDataFrame([(1, "c", 0)], kind), ("status",), "pos")
+    assert [tuple(r) for r in made.read().collect()] == [(1, "b")]
+
+
+def test_repeated_keys_in_a_merge(spark):
+    from letterloom.operators.relations import upsert
+
+    old = spark.createDataFrame([(1, "o", "x"), (2, "o", "x")], "k long, a string, b string")
+    new = spark.createDataFrame([(1, "n1", "y", 2), (1, "n2", "z", 1), (3, "n3", "y", 1), (3, "n4", "z", 2), (None, "n", "n", 1)], "k long, a string, b string, pos int")
+    assert sorted(tuple(r) for r in upsert(old, new, "k", ("a",), "pos").collect()) == [(1, "n1", "x"), (2, "o", "x"), (3, "n4", "y")]
+    assert upsert(old, new.drop("pos"), "k", ("a",)).count() == 3
