@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,18 +11,36 @@ from letterloom.functions import rules
 from letterloom.functions.text import col, found, once, replace, rx, split_glued, strip
 
 
+def required_word(pattern: str) -> str:
+    """The longest run of letters that every match of a pattern of the rule tables holds; empty if none is found."""
+    plain = re.sub(r"\(\?:[^)]*\)[?*+]?", " ", pattern)  # what a group holds may vary
+    plain = re.sub(r"\\.[?*+]?", " ", plain)
+    plain = re.sub(r".[?*]", " ", plain)
+    return max(re.findall("[a-z]+", plain), key=len, default="") if "|" not in plain else ""
+
+
 def type_code(text, filename) -> Column:
-    """hits * 100 + preference of the best type; no join and no shuffle, the rules are part of the expression."""
+    """hits * 100 + preference of the best type; no join and no shuffle, the rules are part of the expression.
+
+    A pattern is tried only where the word that it requires stands in the text: a plain search costs a small part of
+    a pattern's, and all of them less than one pattern of all words. Two letters equal s and i whatever the case;
+    texts with one of them are tried by all patterns.
+    """
     last = len(rules.DOC_TYPES)
 
-    def best(both: Column) -> Column:
+    def best(v: Column) -> Column:
+        def hit(pattern: str) -> Column:
+            word = required_word(pattern)
+            tried = found(v["both"], pattern, "im")
+            return F.when((v["odd"] | F.contains(v["both"], F.lit(word))) & tried if word else tried, 1).otherwise(0)
+
         def code(order: int, patterns: tuple[str, ...]) -> Column:
-            hits = sum((found(both, p, "im").cast("int") for p in patterns), F.lit(0))
-            return once(hits, lambda n: F.when(n > 0, n * 100 + (last - order)).otherwise(0))
+            return once(sum(map(hit, patterns), F.lit(0)), lambda n: F.when(n > 0, n * 100 + (last - order)).otherwise(0))
 
         return F.greatest(*(code(order, patterns) for order, (_, patterns, _) in enumerate(rules.DOC_TYPES) if patterns))
 
-    return once(F.lower(F.concat(F.coalesce(col(filename), F.lit("")), F.lit("\n"), F.coalesce(col(text), F.lit("")))), best)
+    both = F.lower(F.concat(F.coalesce(col(filename), F.lit("")), F.lit("\n"), F.coalesce(col(text), F.lit(""))))
+    return once(both, lambda b: once(F.struct(b.alias("both"), (F.contains(b, F.lit("\u017f")) | F.contains(b, F.lit("\u0131"))).alias("odd")), best))
 
 
 def doc_type(text, filename) -> Column:

@@ -140,3 +140,21 @@ def test_python_functions(spark):
     words = ["Élan vital", "ﬁne", None, "A--b"]
     keys = [r["k"] for r in spark.createDataFrame([(w,) for w in words], "w string").select(python_functions.cmp_norm("w").alias("k")).collect()]
     assert keys == ["e lan vital", "fine", "", "a b"] and unicodedata.normalize("NFKD", "É") != "É"
+
+
+def test_patterns_are_tried_where_their_word_stands(spark):
+    from letterloom.functions import rules
+    from letterloom.functions.classify import required_word
+
+    patterns = [p for _, own, _ in rules.DOC_TYPES for p in own]
+    assert all(required_word(p) for p in patterns)
+    assert [required_word(p) for p in (r"https?://", r"petunjuk\s+(?:teknis|operasional)", r"^\s*hal\s*:", "a|b")] == ["http", "petunjuk", "hal", ""]
+    texts = ["ſurat Undangan", "BERıTA acara", "surat  tugas", "link: x", "petunjuk\nteknis", "Keputusan kepala", "hal : a", "x\n hal: b", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(classify.type_code("t", F.lit("f")).alias("c"), F.lower(F.concat(F.lit("f\n"), "t")).alias("b"))
+    last = len(rules.DOC_TYPES)
+    plain = F.lit(0)
+    for order, (_, own, _) in enumerate(rules.DOC_TYPES):
+        hits = sum((F.col("b").rlike(f"(?Uim){p}").cast("int") for p in own), F.lit(0))
+        plain = F.greatest(plain, F.when(hits > 0, hits * 100 + last - order).otherwise(0))
+    got = [tuple(r) for r in df.select("c", plain.alias("p")).collect()]
+    assert all(c == p for c, p in got) and sum(c > 0 for c, _ in got) == 8
