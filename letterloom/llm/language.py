@@ -38,10 +38,6 @@ def gram_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, begins, ends - GRAM + 1
 
 
-#: Sampled rows up to which every n-gram of a language counts.
-FEW = 50
-
-
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
@@ -92,12 +88,12 @@ class LanguageModel:
         return names, np.where(lettered, share, 0.0)
 
 
-def train(docs: DataFrame, usable: Column, per_language: int = 2_000, least_docs: int = 3) -> LanguageModel:
+def train(docs: DataFrame, usable: Column, per_language: int = 2_000, least_share: float = 0.00125) -> LanguageModel:
     """Learn from text and lang of the ``usable`` rows of ``docs`` (doc_id, text, lang).
 
     At most about ``per_language`` rows of each language are read for it, taken by a hash of doc_id; an n-gram
-    counts for a language if ``least_docs`` of its rows have it (one, for a language of fewer than ``FEW`` rows in
-    the sample, whatever the others have). Only these n-grams, bounded by the sample, reach the driver. Rows without
+    counts for a language if more than ``least_share`` of its sampled rows have it (3 of 2 000, 1 of fewer than 800:
+    the same rule for any number of rows and whatever the other languages have). Only these n-grams, bounded by the sample, reach the driver. Rows without
     text, lang or doc_id teach nothing, repeated rows count each; there may be any number of languages. Without any
     such row every text is ``und``.
     """
@@ -112,7 +108,7 @@ def train(docs: DataFrame, usable: Column, per_language: int = 2_000, least_docs
     sample = rows.withColumn("language", known_as[F.col("lang")]).drop("lang")
     sample = sample.where(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1_000_000)) < F.get(share, F.col("language")))
     sampled = {r["language"]: r["n"] for r in sample.groupBy("language").agg(F.count(F.lit(1)).alias("n")).collect()}
-    least = F.array(*(F.lit(1 if sampled.get(i, 0) < FEW else least_docs) for i in range(len(languages))))
+    least = F.array(*(F.lit(int(sampled.get(i, 0) * least_share) + 1) for i in range(len(languages))))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[list[np.ndarray]] = [[] for _ in languages]

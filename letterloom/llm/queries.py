@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from letterloom.llm import decontam, embeddings, language, packing, periodic, personal, quality, repeats, sharding, simhash, token_counts, token_files, whitening
 from letterloom.llm.common import crc_fold, scratch, table, written
@@ -22,10 +23,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents written to the folders of their shards and read back: place, size and checksum of each. Equal and null ids share a shard."""
-    folder = scratch(spark, "shards")
-    sharding.write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", SHARDS, folder)
-    back = spark.read.schema("doc_id long, text string, shard_name string").parquet(folder)
+    """All documents, with all their columns, written to the folders of their shards and read back: place, size and checksum of each. Equal and null ids share a shard."""
+    folder, docs = scratch(spark, "shards"), table(spark, sf_dir, "documents")
+    sharding.write_shards(docs, "doc_id", SHARDS, folder)
+    back = spark.read.schema(T.StructType([*(f for f in docs.schema if f.name not in ("slot", "shard", "shard_name")), T.StructField("shard_name", T.StringType())])).parquet(folder)
     shard = (F.array_position(F.lit(SHARDS), F.col("shard_name")) - 1).cast("int").alias("shard")
     return back.select("doc_id", sharding.slot_of(F.col("doc_id")).alias("slot"), shard, "shard_name", F.octet_length("text").cast("long").alias("n_bytes"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
 

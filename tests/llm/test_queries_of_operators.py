@@ -111,3 +111,16 @@ def test_simhash_and_decontamination(spark, documents):
     items = rows_of(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'")
     verbatim = {(d, i) for d, t, _ in documents for i, x in items if x and x in (t or "")}
     assert verbatim <= {(r["doc_id"], r["item_id"]) for r in queries.op10_decontamination(spark, SF).collect()}
+
+
+def test_sharding_of_no_rows_and_of_a_clashing_column(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    text, number = pa.array(["a", None, "b"]), pa.array([1, 2, None], pa.int64())
+    whole = pa.table({"doc_id": number, "text": text, "shard_name": text, "slot": number})
+    for n, folder in ((0, "none"), (3, "some")):
+        (tmp_path / folder).mkdir()
+        pq.write_table(whole.slice(0, n), tmp_path / folder / "documents.parquet")
+        got = queries.op2_sharding(spark, str(tmp_path / folder)).collect()
+        assert len(got) == n and all(r["shard_name"] == queries.SHARDS[r["shard"]] for r in got)
