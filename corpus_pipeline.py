@@ -32,9 +32,11 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 bytes or more that an earlier document has, too, are cut; documents stay.
 
-    Null texts stay null; rows without doc_id are left alone; rows that repeat a doc_id are one document's.
+    Null texts stay null; rows without doc_id are left alone; rows that repeat a doc_id are one document's. Where there
+    is a column ``n_chars`` it follows the text.
     """
-    return repeats.remove_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    cut = repeats.remove_repeats(docs)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
