@@ -612,14 +612,19 @@ def chk_labels_strict(spark, sf_dir):
     return metrics.long_form(records(spark, sf_dir), "letter_id").where("label is null or label = ''").select("letter_id", "field")
 
 
-@query("chk_catalog", f"WITH {_CAT} SELECT id, true AS well_named, CAST(3 AS INT) AS n_parameters, true AS increasing, true AS top_is_max FROM c")
+@query("chk_catalog", f"WITH {_CAT} SELECT id, k % 5 <> 1 AS well_named, CAST(CASE WHEN k % 4 = 1 THEN 2 ELSE 3 END AS INT) AS n_parameters, k % 6 <> 2 AS increasing, k % 7 <> 3 AND k % 4 <> 1 AS top_is_max FROM (SELECT *, CAST(substr(id, 5) AS INT) AS k FROM c)")
 def chk_catalog(spark, sf_dir):
+    """Facts of indicators some of which have a bad parameter id, a parameter too few, two equal scores or another maximum."""
     from letterloom.operators.checks import catalog_facts
 
-    return catalog_facts(_catalog(spark, sf_dir).where("active"))
+    k, p = F.substring("id", 5, 2).cast("int"), F.col("parameters")
+    named = F.when(k % 5 == 1, F.transform(p, lambda x: x.withField("id", F.concat(F.lit("X"), x["id"])))).otherwise(p)
+    same = F.when(k % 6 == 2, F.transform(named, lambda x, i: F.when(i == 0, x.withField("score", F.element_at(p, 2)["score"])).otherwise(x))).otherwise(named)
+    faulty = F.when(k % 4 == 1, F.slice(same, 1, 2)).otherwise(same)
+    catalog = _catalog(spark, sf_dir).where("active").withColumns({"parameters": faulty, "max_score": F.when(k % 7 == 3, F.col("max_score") + 1).otherwise(F.col("max_score"))})
+    return catalog_facts(catalog)
 
 
-# --- assessment ------------------------------------------------------------------------------------------------------------
 @query("asm_indicator_score", f"WITH {_CATALOG_SQL} SELECT innovation, indicator, coalesce(max(score) FILTER (fulfilled), 0) AS score FROM cat GROUP BY innovation, indicator")
 def asm_indicator_score(spark, sf_dir):
     return assess.indicator_scores(_parameters(spark, sf_dir))
@@ -852,9 +857,14 @@ def sink_type_cache(spark, sf_dir):
     return cached.select("filename", "doc_type", "region", F.array_join("relevant_fields", ",").alias("fields"))
 
 
-@query("sink_markdown", "SELECT doc_type, '| ' || doc_type || ' | ' || CAST(count(*) AS VARCHAR) || ' |' AS line FROM records GROUP BY doc_type")
+@query("sink_markdown", """WITH g AS (SELECT doc_type, count(*) AS n FROM records GROUP BY doc_type), l AS (SELECT row_number() OVER (ORDER BY n DESC, doc_type) + 2 AS no, '| ' || doc_type || ' | ' || CAST(n AS VARCHAR) || ' |' AS line FROM g)
+  SELECT * FROM l UNION ALL SELECT * FROM (VALUES (1, '| doc_type | n |'), (2, '|---|---|')) AS h(no, line)""")
 def sink_markdown(spark, sf_dir):
-    return metrics.types_report(records(spark, sf_dir)).select("doc_type", writers.markdown_row("doc_type", F.col("n").cast("string")).alias("line"))
+    """The report of types as a Markdown file, and its lines read back."""
+    path = scratch(spark, "report")
+    writers.markdown_file(metrics.types_report(records(spark, sf_dir)).select("doc_type", "n"), path, "types.md")
+    lines = F.posexplode(F.split(F.trim(F.col("content").cast("string"), F.lit("\n")), "\n")).alias("no", "line")
+    return document_files.read(spark, path).select(lines).select((F.col("no") + 1).cast("long").alias("no"), "line")
 
 
 @query("flagship", """WITH s AS (SELECT t_doc_number IS NOT NULL AS a, t_agency <> '' AS b, t_subject IS NOT NULL AS c, t_letter_date IS NOT NULL AS d, letter_id % 8 >= 2 AS has_id, t_signer_valid AS ok FROM letters),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from letterloom.functions import audit, classify, extract, rules, text, validate
 from letterloom.operators import python_functions
 from letterloom.plans import extraction
+from letterloom.operators.relations import first_k
 from letterloom.plans.registry import query, table
 from letterloom.sources.letters import letters, records
 
@@ -183,8 +184,9 @@ _of_documents("val_scanned", r"""SELECT doc_id, len(list_filter(regexp_split_to_
 @query("val_scanned_4p", """SELECT conv_id, CAST(count(*) FILTER (turn_no <= 4) AS BIGINT) AS pages_read, coalesce(sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))) FILTER (turn_no <= 4), 0) < 30 AS scanned
   FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn_no FROM conversations) GROUP BY conv_id""".replace("\\\\", "\\"))
 def val_scanned_4p(spark, sf_dir):
-    """Turns stand for pages: the first four of each conversation, by a bounded ordered aggregate."""
-    pages = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("turn", "text"))), 1, 4).alias("pages"))
+    """Turns stand for pages: the first four of each conversation; four a task and conversation reach the shuffle, however many there are."""
+    first = first_k(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", 4)
+    pages = first.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("pages"))
     words = F.aggregate("pages", F.lit(0), lambda n, p: n + text.word_count(p["text"]))
     return pages.select("conv_id", F.size("pages").cast("long").alias("pages_read"), validate.scanned(words).alias("scanned"))
 

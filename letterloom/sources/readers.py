@@ -131,11 +131,15 @@ def delimiter(header: Column) -> Column:
 
 
 def csv_sheet(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
-    """(shape, rows) of a review sheet: delimiter and shape are read from the header; a byte order mark is dropped.
+    """(shape, rows) of a review sheet, one file or a folder of parts: delimiter and shape are read from the first header; a byte order mark is dropped.
 
-    ``rows`` has ``pos``, the row's order in the sheet. Unknown headers raise ValueError.
+    ``rows`` has ``pos``, a row's place that orders: parts by name, rows within one as they stand. Unknown headers
+    raise ValueError.
     """
-    header = spark.read.text(path).select(F.replace("value", F.lit("﻿"), F.lit("")).alias("h")).select("h", delimiter(F.col("h")).alias("d")).first()
+    place = F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row"))  # a file is read by one task
+    lines = spark.read.text(path).select("value", place.alias("place"))
+    header = lines.agg(F.min_by(F.replace("value", F.lit("\ufeff"), F.lit("")), "place").alias("h")).select("h", delimiter(F.col("h")).alias("d")).first()
+    header = header if header and header["h"] is not None else None
     columns = header["h"].strip().split(header["d"]) if header else []
     if "true_value" in columns:
         shape = "long"
@@ -145,7 +149,7 @@ def csv_sheet(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
         raise ValueError(f"unknown header: {columns}")
     rows = spark.read.csv(path, sep=header["d"], header=True, encoding="UTF-8", multiLine=True)  # such files are not split
     rows = rows.toDF(*(c.replace("﻿", "") for c in rows.columns))
-    return shape, rows.withColumn("pos", F.monotonically_increasing_id())
+    return shape, rows.withColumn("pos", place)
 
 
 def relation(spark: SparkSession, name: str, fallback: str | None = None) -> DataFrame:

@@ -52,3 +52,9 @@ def markdown(report: DataFrame) -> str:
     """A small aggregate as a Markdown table; for reports of a few rows, which come to the driver."""
     rows = report.select(markdown_row(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in report.columns)).alias("line")).toLocalIterator()
     return "\n".join(["| " + " | ".join(report.columns) + " |", "|" + "---|" * len(report.columns), *(r["line"] for r in rows)])
+
+
+def markdown_file(report: DataFrame, path: str, name: str) -> None:
+    """``markdown`` of a small report as one file of a folder."""
+    rows = report.sparkSession.createDataFrame([(name, markdown(report) + "\n")], "filename string, content string")
+    document_files.write(rows, path, force=True)

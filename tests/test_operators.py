@@ -176,3 +176,10 @@ def test_blocks_of_values_as_difflib_finds_them(spark):
 
     assert got == {k: want(k, text, given) for k, _, text, given in cells}
     assert {v: sum(g == v for g in got.values()) > 500 for v in ("similar", "not_found", "found")} == {"similar": True, "not_found": True, "found": True}
+
+
+def test_order_of_a_sheet_in_parts(spark, tmp_path):
+    for name, rows in (("part-1.csv", ["a.pdf,agency,first,"]), ("part-2.csv", ["a.pdf,agency,then,", "a.pdf,subject,x,"] + [f"b{k}.pdf,agency,{'y' * 40},"  for k in range(50)]), ("part-3.csv", ["a.pdf,agency,last,"])):
+        (tmp_path / name).write_text("\n".join(["filename,field,true_value,clearly_absent", *rows]))
+    _, rows = readers.csv_sheet(spark, str(tmp_path))
+    assert {(r["field"], r["raw"]) for r in review.parse_long(rows).where("filename = 'a.pdf'").collect()} == {("agency", "last"), ("subject", "x")}
