@@ -317,13 +317,58 @@ def exact_forest(sets: list[np.ndarray], bits: np.ndarray, similarity: float, le
     return root
 
 
+#: Classes of at most so many distinct shingles carry them, and meet by these.
+SHORT = 15
+
+
+def short_links(classes: DataFrame, similarity: float, group: int = 1_000) -> DataFrame:
+    """(a, b): links that connect exactly the classes (fp, few: sorted distinct shingles) that have the similarity, of those that carry theirs.
+
+    Two sets of a similarity share one of the first n - ceil(similarity * n) + 1 of their n shingles, in one order for
+    all: each class has an entry for each of these, and whoever meets under a shingle is compared exactly.
+    """
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x, "<u8") for x in batch.column("few").to_pylist()]
+            first = np.array([len(x) - math.ceil(similarity * len(x) - 1e-9) + 1 if len(x) else 0 for x in sets], np.int64)
+            rows = np.repeat(np.arange(len(sets)), first)
+            keys = np.concatenate([np.zeros(0, "<u8"), *(x[:k] for x, k in zip(sets, first.tolist(), strict=True))]).view(np.int64)
+            yield pa.record_batch([pa.array(keys), *(batch.column(c).take(pa.array(rows)) for c in ("fp", "few"))], names=["key", "fp", "few"])
+
+    entries = split_hot(classes.where("few is not null").select("fp", "few").mapInArrow(enter, "key long, fp long, few binary"), "key", "fp", group)
+    keys = ["key", "low_block", "high_block"]
+    entries = entries.repartition(*keys).sortWithinPartitions(*keys, "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data in whole_groups(batches, keys, 20_000):
+            columns = [data.column(k).to_numpy() for k in keys]
+            fp, block, sets = data.column("fp").to_numpy(), data.column("block").to_numpy(), data.column("few").to_pylist()
+            bounds = group_bounds(*columns)
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if high - low < 2:
+                    continue
+                own = [np.frombuffer(x, "<u8") for x in sets[low:high]]
+                two = columns[1][low] != columns[2][low]
+                root = exact_forest(own, np.zeros((len(own), 1), np.uint64), similarity, block[low:high] if two else None)
+                other = root != np.arange(len(root))
+                a.append(fp[low:high][root[other]])
+                b.append(fp[low:high][other])
+            first, second = np.concatenate(a), np.concatenate(b)
+            if len(first):
+                yield pa.record_batch([pa.array(first), pa.array(second)], names=["a", "b"])
+
+    return entries.mapInArrow(run, "a long, b long")
+
+
 def verified_links(docs: DataFrame, classes: DataFrame, candidates: DataFrame, shingle: int, similarity: float, group: int = 1_000) -> DataFrame:
     """(a, b): links that connect exactly what classes (fp, text_hash, bits) of one candidate component and of the similarity connect.
 
     The shingles of one text a class are joined to its candidate component (node, component); all texts of a
     component meet, in pairs of blocks where it is large.
     """
-    wanted = classes.join(candidates.withColumnRenamed("node", "fp"), "fp")
+    wanted = classes.drop("few").join(candidates.withColumnRenamed("node", "fp"), "fp")
     texts = docs.select(_text_hash(), "text").groupBy("text_hash").agg(F.min("text").alias("text"))  # copies are combined before the shuffle
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,25 +411,26 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
 
     Candidates meet by wide fingerprints; links are verified exactly before components are formed. ``fp`` is a
     hash of the distinct shingles. Texts of fewer words than a shingle are one shingle; those without words are
-    one class. The fingerprints of texts with few shingles differ by more than the average, so that pairs at
-    exactly the similarity meet less surely there.
+    one class. The fingerprints of texts with few shingles differ by more than the average: texts of at most ``SHORT``
+    distinct shingles meet by these as well, so that no pair of them escapes.
     """
     wide = words_for(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, rows = [], []
+            fp, rows, few = [], [], []
             for _, texts in text_batches(batch.column("text")):
                 for t in texts:
                     own = np.unique(_shingle_hashes(t, shingle))
                     fp.append(xxhash.xxh64_intdigest(own.astype("<u8").tobytes(), SEED))
                     rows.append(wide_fingerprint(own, wide).astype("<u8").tobytes())
-            yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(rows, pa.binary())], names=["doc_id", "text_hash", "fp", "bits"])
+                    few.append(own.astype("<u8").tobytes() if 0 < len(own) <= SHORT else None)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(rows, pa.binary()), pa.array(few, pa.binary())], names=["doc_id", "text_hash", "fp", "bits", "few"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    marked = written(docs.select("doc_id", _text_hash(), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, fp long, bits binary"), "wide-fingerprints")
-    classes = written(marked.groupBy("fp").agg(F.min("text_hash").alias("text_hash"), F.first("bits").alias("bits")), "wide-classes")
-    candidates = connected_components(similar_links(classes.select("fp", "bits"), similarity))
+    marked = written(docs.select("doc_id", _text_hash(), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, fp long, bits binary, few binary"), "wide-fingerprints")
+    classes = written(marked.groupBy("fp").agg(F.min("text_hash").alias("text_hash"), F.first("bits").alias("bits"), F.first("few").alias("few")), "wide-classes")
+    candidates = connected_components(similar_links(classes.select("fp", "bits"), similarity).unionByName(short_links(classes, similarity)))
     links = verified_links(docs, classes, candidates, shingle, similarity)
     return _with_components(marked.select("doc_id", "fp"), connected_components(links))
 

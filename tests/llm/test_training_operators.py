@@ -526,3 +526,25 @@ def test_repeats_of_a_passage_in_a_third_of_documents(spark, monkeypatch):
     monkeypatch.setattr(repeats, "_earlier", watched)
     got = sorted(str(tuple(r)) for r in repeats.removal_report(repeats.repeated_spans(docs)).collect())
     assert got == brute_repeats(data) and seen.value == 0
+
+
+def test_short_texts_meet_by_their_shingles(spark, monkeypatch):
+    """All pairs of texts of up to 19 words that are similar enough are joined, and no others; also with groups split in blocks."""
+    rng = np.random.default_rng(21)
+    texts = []
+    for n in np.tile(np.arange(5, 20), 12):
+        words = [f"w{k}" for k in rng.integers(0, 4_000, n)]
+        texts += [" ".join(words), " ".join([*words[:-1], "end"]), " ".join(["begin", *words]), " ".join([*words, "more", "words"])]
+    texts += [f"always the same five words {k}" for k in range(30)] + ["one two", "one two", "three", ""]
+    sets = [set(simhash._shingle_hashes(t, 5).tolist()) for t in texts]
+    near = np.array([[bool(a and b) and len(a & b) >= 0.8 * len(a | b) - 1e-9 for b in sets] for a in sets])
+    label = np.arange(len(texts))
+    for _ in range(8):
+        label = np.array([min(label[i], label[near[i]].min(initial=i)) for i in range(len(texts))])
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for group in (1_000, 7):
+        links = simhash.short_links
+        monkeypatch.setattr(simhash, "short_links", lambda c, s, group=group, links=links: links(c, s, group))
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(frame).collect()}
+        monkeypatch.undo()
+        assert got == dict(enumerate(label.tolist())) and len(set(got.values())) < len(texts) - 100
