@@ -9,6 +9,7 @@ from letterloom.functions import validate
 from letterloom.functions.audit import holds_block
 from letterloom.functions.text import audit_norm, dup_norm
 from letterloom.operators.python_functions import longest_block_share, similarity
+from letterloom.operators.relations import join_to_one
 from letterloom.shared import written
 
 
@@ -36,10 +37,10 @@ def by_number(df: DataFrame, least: float = 0.95) -> DataFrame:
     """
     df = df.withColumn("number", dup_norm("doc_number")).where((F.length("number") >= 6) & (F.length("text_norm") >= 200)).select("filename", "number", "text_norm")
     first = df.groupBy("number").agg(F.min_by(F.struct("filename", "text_norm"), preference()).alias("p"))
-    pairs = df.join(first, "number").where("filename <> p.filename").select("filename", "text_norm", "p")
-    same = pairs.where("text_norm = p.text_norm")
-    other = pairs.where("text_norm <> p.text_norm").withColumn("ratio", similarity(F.col("p.text_norm"), F.col("text_norm"), least)).where(F.col("ratio") >= least)
-    return same.select("filename", F.col("p.filename").alias("duplicate_of")).unionByName(other.select("filename", F.col("p.filename").alias("duplicate_of")))
+    pairs = join_to_one(df, first, "number").where("filename <> p.filename")
+    differs = F.col("text_norm") != F.col("p.text_norm")  # equal texts give the function nulls
+    pairs = pairs.withColumn("_ratio", similarity(F.when(differs, F.col("p.text_norm")), F.when(differs, F.col("text_norm")), least))
+    return pairs.where(~differs | (F.col("_ratio") >= least)).select("filename", F.col("p.filename").alias("duplicate_of"))
 
 
 def flatten(pointers: DataFrame) -> DataFrame:

@@ -38,6 +38,30 @@ def left_broadcast(df: DataFrame, small: DataFrame, on: str, limit_bytes: int =
     return df.join(F.broadcast(small) if size <= limit_bytes else small, on, "left")
 
 
+#: Rows of a key from which it is split, and keys whose list is broadcast at most.
+HOT, HOT_KEYS = 100_000, 100_000
+
+
+def join_to_one(df: DataFrame, one: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+    """Inner join of ``df`` with ``one``, which has one row per key, where a single key may hold a large part of ``df``.
+
+    Keys of more than ``limit`` rows are counted first, by an aggregate that combines before its shuffle. Their rows
+    are dealt by a hash of all their columns over parts of about ``limit``, the same if a task is repeated, and their
+    row of ``one`` goes to each part; other keys have one part.
+    """
+    limit = limit or HOT
+    hot = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    hot = written(hot.select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")), "hot-keys")
+    found = hot.count()  # at most the rows of ``df`` divided by the limit
+    if not found:
+        return df.join(one, key)
+    known = F.broadcast(hot) if found <= HOT_KEYS else hot
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = df.join(known, key, "left").withColumn("_part", F.pmod(F.xxhash64(*df.columns), parts).cast("int")).drop("_parts")
+    copies = one.join(known, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(copies, [key, "_part"]).drop("_part")
+
+
 def nested_children(parents: DataFrame, children: DataFrame, on: str, order: str, *columns: str) -> DataFrame:
     """Parents with their children as an ordered list, empty for none."""
     lists = children.groupBy(on).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("children"))

@@ -183,3 +183,20 @@ def test_order_of_a_sheet_in_parts(spark, tmp_path):
         (tmp_path / name).write_text("\n".join(["filename,field,true_value,clearly_absent", *rows]))
     _, rows = readers.csv_sheet(spark, str(tmp_path))
     assert {(r["field"], r["raw"]) for r in review.parse_long(rows).where("filename = 'a.pdf'").collect()} == {("agency", "last"), ("subject", "x")}
+
+
+def test_key_that_holds_most_rows(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 5 else f"k{i}") for i in range(200)] + [(900, None), (901, "alone")], "id long, k string")
+    one = spark.createDataFrame([("hot", "H"), ("k5", "five"), ("unused", "u"), (None, "n")], "k string, v string")
+    want = sorted((i, "hot", "H") for i in range(200) if i % 5) + [(5, "k5", "five")]
+    for limit in (7, 10_000):
+        got = relations.join_to_one(rows, one, "k", limit)
+        assert got.columns == ["k", "id", "v"] and sorted((r["id"], r["k"], r["v"]) for r in got.collect()) == sorted(want)
+
+
+def test_copies_under_one_number(spark, monkeypatch):
+    monkeypatch.setattr(relations, "HOT", 5)
+    body = "isi surat yang panjang " * 12
+    rows = [(f"d{k:02d}.pdf", "421/1/AB/2024", body if k % 3 else body + str(k)) for k in range(20)] + [("other.pdf", "421/1/AB/2024", "lain sekali " * 30), ("x.pdf", "9/9/ZZ/2024", body), ("short.pdf", "421/1/AB/2024", "a")]
+    got = {r["filename"]: r["duplicate_of"] for r in dedup.by_number(spark.createDataFrame(rows, "filename string, doc_number string, text_norm string")).collect()}
+    assert got == {f"d{k:02d}.pdf": "d00.pdf" for k in range(1, 20)}
