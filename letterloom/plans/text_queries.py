@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from letterloom.functions import audit, classify, extract, rules, text, validate
 from letterloom.operators import python_functions
-from letterloom.plans import extraction
 from letterloom.operators.relations import first_k
+from letterloom.plans import extraction
 from letterloom.plans.registry import query, table
 from letterloom.sources.letters import letters, records
 
@@ -47,8 +47,8 @@ _of_letters("txt_normalize", """SELECT letter_id, CASE WHEN letter_id % 6 = 0 TH
             normal=lambda: text.normalize(F.concat(F.lit(":  "), _header(), F.lit(" ;"))))
 _of_letters("txt_norm_agency", """SELECT letter_id, CASE WHEN letter_id % 6 = 0 THEN 'NOTULA RAPAT' ELSE replace(t_agency, ' DINAS PENDIDIKAN', '') END || ' DINAS' AS agency FROM letters""",
             agency=lambda: text.norm_agency(F.concat(_header(), F.lit(" DINAS Dinas dinas -"))))
-_of_letters("txt_norm_name", """SELECT letter_id, 'Budi Contoh ' || CAST(letter_id % 97 AS VARCHAR) || ', S.Pd., M.Pd.' AS name FROM letters""",
-            name=lambda: text.norm_name(F.concat(F.lit(" : Budi Contoh "), (F.col("letter_id") % 97).cast("string"), F.lit(" ,S.Pd.   ,  M.Pd."))))
+_of_letters("txt_norm_name", """SELECT letter_id, 'Budi Contoh ' || CAST(letter_id % 97 AS VARCHAR) || ', S.Pd., M.Pd' AS name FROM letters""",
+            name=lambda: text.norm_name(F.concat(F.lit(" : "), F.replace(F.get(F.filter(F.split("text", "\n"), lambda x: F.contains(x, F.lit("S.Pd."))), F.lit(0)), F.lit(","), F.lit("   ,")), F.lit("  ,M.Pd ;"))))
 _of_letters("txt_cmp_norm", """SELECT letter_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS key FROM letters""", key=lambda: text.cmp_norm_ascii("text"))
 _of_letters("txt_cmp_norm_legacy", """SELECT letter_id, trim(regexp_replace(lower(coalesce(t_subject, '')), '[^a-z0-9]+', ' ', 'g')) AS key FROM letters""", key=lambda: text.cmp_norm_legacy("t_subject"))
 _of_documents("txt_dup_norm", """SELECT doc_id, trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS normal FROM documents""", normal=lambda: text.dup_norm("text"))
@@ -175,8 +175,8 @@ def val_confidence(spark, sf_dir):
     return df.select("letter_id", F.col("hundredths").cast("long").alias("score_hundredths"), F.size("flags").cast("long").alias("n_flags"), "review")
 
 
-_of_letters("val_needs_review", "SELECT letter_id, letter_id % 101 < 70 OR letter_id % 3 = 0 AS review FROM letters",
-            review=lambda: validate.needs_review(F.col("letter_id") % 101, F.when(F.col("letter_id") % 3 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))))
+_of_records("val_needs_review", "SELECT letter_id, pages * 20 < 70 OR m_agency = '' OR m_subject = '' AS review FROM records",
+            review=lambda: validate.needs_review(F.col("pages") * 20, F.array_compact(F.array(*(F.when(F.col(f"m_{f}") == "", rules.FLAGS[f]) for f in ("agency", "subject"))))))
 _of_letters("val_resolve", "SELECT letter_id, coalesce(nullif(t_iso_date, ''), t_written_date) AS value FROM letters", value=lambda: validate.resolve("t_iso_date", "t_written_date"))
 _of_documents("val_scanned", r"""SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) < 30 AS scanned FROM documents""", scanned=lambda: validate.scanned(text.word_count("text")))
 
@@ -191,11 +191,11 @@ def val_scanned_4p(spark, sf_dir):
     return pages.select("conv_id", F.size("pages").cast("long").alias("pages_read"), validate.scanned(words).alias("scanned"))
 
 
-_of_letters("val_score_format", "SELECT letter_id, replace(printf('%.2f', CAST(letter_id % 97 AS DOUBLE) / 4), '.', ',') AS shown FROM letters", shown=lambda: validate.score_format(F.col("letter_id") % 97 / 4))
+_of_documents("val_score_format", "SELECT doc_id, replace(printf('%.2f', CAST(n_chars AS DOUBLE) / 7), '.', ',') AS shown FROM documents", shown=lambda: validate.score_format(F.col("n_chars") / 7))
 _of_documents("val_sha256", """SELECT doc_id, CASE WHEN length(n) >= 50 THEN sha256(n) ELSE '' END AS hash FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS n FROM documents)""",
               hash=lambda: validate.content_hash(text.dup_norm("text")))
-_of_letters("val_page_pick", """SELECT letter_id, array_to_string(CASE WHEN letter_id % 5 - 1 <= 0 OR letter_id % 5 - 1 >= letter_id % 7 THEN range(letter_id % 7) ELSE list_distinct_sorted END, ',') AS pages FROM (SELECT letter_id, list_concat(range(greatest(letter_id % 5 - 1, 0)), [letter_id % 7 - 1]) AS list_distinct_sorted FROM letters)""",
-            pages=lambda: F.array_join(validate.page_pick((F.col("letter_id") % 7).cast("int"), (F.col("letter_id") % 5 - 1).cast("int")).cast("array<string>"), ","))
+_of_records("val_page_pick", """SELECT letter_id, array_to_string(CASE WHEN k <= 0 OR k >= pages THEN range(pages) ELSE list_concat(range(greatest(k, 0)), [pages - 1]) END, ',') AS pages FROM (SELECT letter_id, pages, length(m_subject) % 5 - 1 AS k FROM records)""",
+            pages=lambda: F.array_join(validate.page_pick("pages", F.length("m_subject") % 5 - 1).cast("array<string>"), ","))
 
 # --- classification --------------------------------------------------------------------------------------------------
 @query("cls_doc_type", "SELECT letter_id, t_doc_type AS type, CAST(t_type_hits AS INT) AS n_hits, CASE WHEN letter_id % 29 = 0 THEN 0.8::DOUBLE WHEN t_type_hits = 0 THEN 0.0::DOUBLE ELSE (50 + 15 * t_type_hits)::DOUBLE / 100 END AS confidence FROM letters")
