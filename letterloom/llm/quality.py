@@ -107,13 +107,15 @@ def risk_and_gradient(p: np.ndarray, u: np.ndarray, prior: float, w: np.ndarray,
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.02, decay: float = 1e-4) -> QualityModel:
     """Minimise prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]) by Adam; see ``risk_and_gradient``."""
-    both = np.concatenate([positive, unlabelled])
-    knots = np.quantile(both[:, SHAPES:], np.linspace(0, 1, KNOTS + 2)[1:-1], axis=0).T.astype(np.float32)
+    knots = np.quantile(np.concatenate([positive[:, SHAPES:], unlabelled[:, SHAPES:]]), np.linspace(0, 1, KNOTS + 2)[1:-1], axis=0).T.astype(np.float32)
     width = SHAPES + MEASURES + MEASURES * (KNOTS + 1)
     model = QualityModel(knots, np.zeros(width, np.float32), np.ones(width, np.float32), np.zeros(width), 0.0)
-    wide = model.expand(both)
+    wide = np.empty((len(positive) + len(unlabelled), width), np.float32)  # the driver holds the features once, and this
+    for part, begin in ((positive, 0), (unlabelled, len(positive))):
+        for at in range(0, len(part), 2_000):
+            wide[begin + at : begin + min(at + 2_000, len(part))] = model.expand(part[at : at + 2_000])
     model.mean = wide.mean(axis=0)
-    model.scale = np.maximum(wide.std(axis=0), np.float32(1e-2))
+    model.scale = np.maximum(np.concatenate([wide[:, at : at + 64].std(axis=0) for at in range(0, width, 64)]), np.float32(1e-2))
     wide -= model.mean
     wide /= model.scale
     p, u = wide[: len(positive)], wide[len(positive) :]
@@ -178,14 +180,19 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | str, positives: i
     good = labels.where(share("doc_id", "positive", positives, known)).select("doc_id").distinct()
     rows = docs.join(F.broadcast(good), "doc_id").select(F.lit(True).alias("positive"), "text")  # bounded by ``positives``
     rows = rows.unionByName(docs.where(share("doc_id", "unlabelled", unlabelled, total)).select(F.lit(False).alias("positive"), "text"))
-    sample = _feature_rows(rows).toPandas()
-    x = np.frombuffer(b"".join(map(bytes, sample["features"])), np.float32).reshape(-1, SHAPES + MEASURES)
-    positive = sample["positive"].to_numpy(bool) if len(sample) else np.zeros(0, bool)
+    sample = _feature_rows(rows).toArrow()
+    x, at = np.empty((sample.num_rows, SHAPES + MEASURES), np.float32), 0
+    for chunk in sample.column("features").chunks:
+        x[at : at + len(chunk)] = np.frombuffer(b"".join(chunk.to_pylist()), np.float32).reshape(len(chunk), SHAPES + MEASURES)
+        at += len(chunk)
+    positive = np.array(sample.column("positive").to_pylist(), bool)
+    del sample
     if not positive.any() or positive.all():
         width = SHAPES + MEASURES + MEASURES * (KNOTS + 1)
         return QualityModel(np.zeros((MEASURES, KNOTS), np.float32), np.zeros(width, np.float32), np.ones(width, np.float32), np.zeros(width), 0.0)
     order = np.lexsort([*x[:, SHAPES : SHAPES + 4].T, positive])  # rows come in any order; sums shall not
     good, rest = x[order[positive[order]]], x[order[~positive[order]]]
+    del x
     mixed = [np.random.default_rng(5).permutation(len(part)) for part in (good, rest)]  # the estimate holds out every third row
     good, rest = good[mixed[0]], rest[mixed[1]]
     return fit(good, rest, estimate_prior(good, rest))
