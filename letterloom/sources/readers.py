@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from letterloom.functions import rules
-from letterloom.sources import document_files
+from letterloom.sources import document_files, packs
 
 #: Suffixes of supported evidence files.
 SUFFIXES = ("pdf", "png", "jpg", "jpeg", "tif", "tiff")
@@ -74,6 +74,11 @@ def json_records(spark: SparkSession, folder: str) -> DataFrame:
     return records_from_json(document_files.read(spark, folder, ("json",)).select(F.col("content").cast("string").alias("json")))
 
 
+def packed_records(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``json_records``, of what ``writers.record_packs`` leaves."""
+    return records_from_json(packs.read(spark, folder, ("json",)).select(F.col("content").cast("string").alias("json")))
+
+
 def records_from_json(lines: DataFrame) -> DataFrame:
     return lines.select(F.from_json(F.replace("json", F.lit('"pages":'), F.lit('"page_count":')), RECORD).alias("r")).select("r.*")
 

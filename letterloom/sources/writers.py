@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from letterloom.sources import document_files
+from letterloom.sources import document_files, packs
+
+
+def _record_files(records: DataFrame) -> DataFrame:
+    name = F.concat(F.regexp_replace("filename", r"\.[^.]*$", ""), F.lit(".json"))
+    return records.select(name.alias("filename"), F.to_json(F.struct("*")).alias("content"))
 
 
 def record_json(records: DataFrame, path: str, force: bool = False) -> None:
     """One indented JSON file per record, named as its document; files that are there already stay unless forced. All appear, or none."""
-    name = F.concat(F.regexp_replace("filename", r"\.[^.]*$", ""), F.lit(".json"))
-    document_files.write(records.select(name.alias("filename"), F.to_json(F.struct("*")).alias("content")), path, force=force, indent=2)
+    document_files.write(_record_files(records), path, force=force, indent=2)
+
+
+def record_packs(records: DataFrame, path: str, force: bool = False) -> None:
+    """As ``record_json``, with the same names and bytes in packs: for more records than a folder should have files."""
+    packs.write(_record_files(records), path, force=force, indent=2)
 
 
 def append(df: DataFrame, path: str) -> None:
