@@ -43,10 +43,20 @@ def new_version(df: DataFrame, path: str) -> str:
     return out
 
 
+#: Rows of one file of a sheet: more than people read, and well within what a spreadsheet holds.
+SHEET = 200_000
+
+
 def csv_sheet(sheet: DataFrame, path: str) -> None:
-    """A review sheet for people: one file, with a byte order mark as the first character of its header."""
+    """A review sheet for people: one file, with a byte order mark as the first character of its header.
+
+    A sheet of more than ``SHEET`` rows is several such files of about that many, in order of its first column; no
+    task writes, or later reads, the whole of it.
+    """
     first, *rest = sheet.columns
-    sheet.withColumnRenamed(first, f"﻿{first}").select(f"﻿{first}", *rest).coalesce(1).write.mode("overwrite").csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    parts = -(-sheet.count() // SHEET)
+    rows = sheet.coalesce(1) if parts <= 1 else sheet.repartitionByRange(parts, first).sortWithinPartitions(first)
+    rows.withColumnRenamed(first, f"\ufeff{first}").select(f"\ufeff{first}", *rest).write.mode("overwrite").csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def type_cache(df: DataFrame, path: str) -> None:
