@@ -1,16 +1,20 @@
 """JSON Schema (draft 7) compiled to one expression over a parsed document.
 
 A document is a VARIANT, so whatever it holds can be looked at: keys that no schema names, values of any type, at
-any depth. Each schema node becomes SQL that binds its value once and yields the rules it breaks with their paths;
-arrays and free keys are walked by higher-order functions, so nothing leaves the JVM and no row is shuffled.
-References are resolved when the schema is compiled. The expression is written as SQL text and handed over whole:
-built call by call, a schema of some seventy nodes takes tens of thousands of calls between Python and the JVM.
+any depth. What stands at a fixed path is looked up by it in plain expressions, so that its tests are conditions for which
+Spark generates code and which share what they look up; higher-order functions, which Spark evaluates without
+generated code, walk only arrays and free keys, and name the keys that are missing or too many. Nothing leaves the
+JVM and no row is shuffled. References are resolved when the schema is compiled. The expression is written as SQL
+text and handed over whole: built call by call, a schema of some seventy nodes takes tens of thousands of calls
+between Python and the JVM.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from itertools import count
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,15 +36,18 @@ def compile_schema(schema: dict | bool) -> Callable[[str], Column]:
     Paths are those of JSON Pointers without the first slash (``evidences/0/page_start``), the root's is empty. Rules
     are the keywords that fail. Unknown keywords and references that lead into themselves raise ValueError.
     """
-    return lambda value: F.expr(_Compiler(schema).node(value, "''", schema, ()))
+    return lambda value: F.expr(_joined(_Compiler(schema).node(_Value(value), "''", schema, ())))
 
 
 def violations(docs: DataFrame, schema: dict, key: str, json: str = "json") -> DataFrame:
     """The key, path and rule of all that documents (text in ``json``) break; a text that is no JSON breaks ``malformed``, a null one ``missing``."""
     parsed = docs.select(key, F.col(json).isNull().alias("_absent"), F.try_parse_json(json).alias("_document"))
-    one = lambda rule: F.array(F.struct(F.lit("").alias("path"), F.lit(rule).alias("rule")))
-    broken = F.when(F.col("_absent"), one("missing")).when(F.col("_document").isNull(), one("malformed")).otherwise(compile_schema(schema)("_document"))
-    return parsed.select(key, F.explode(broken).alias("_b")).select(key, "_b.path", "_b.rule")
+    one = lambda test, rule: F.when(test, F.array(F.struct(F.lit("").alias("path"), F.lit(rule).alias("rule")))).otherwise(F.expr(_NONE))
+    # an absent document breaks none of the schema's rules; beside each other, not one in the other, the tests share what they fetch
+    broken = F.concat(one(F.col("_absent"), "missing"), one(~F.col("_absent") & F.col("_document").isNull(), "malformed"), compile_schema(schema)("_document"))
+    # a column of its own, as a generator's argument gets no generated code; outer, as Spark would else test the sizes by working all out a second time
+    rows = parsed.select(key, broken.alias("_broken")).select(key, F.explode_outer("_broken").alias("_b"))
+    return rows.where(F.col("_b").isNotNull()).select(key, "_b.path", "_b.rule")
 
 
 def _text(s: str) -> str:
@@ -55,13 +62,45 @@ def _below(path: str, step: str) -> str:
     return f"concat({path}, if({path} = '', '', '/'), {step})" if path != "''" else step
 
 
-def _broken(path: str, tests: list[tuple[str, str]]) -> str:
-    """Those of (rule, condition) whose condition holds."""
-    return "array_compact(array(" + ", ".join(f"CASE WHEN {test} THEN named_struct('path', {path}, 'rule', {_text(rule)}) END" for rule, test in tests) + "))" if tests else _NONE
+def _joined(parts: list[str]) -> str:
+    return f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0] if parts else _NONE
 
 
-def _is_flat(schema: dict | bool) -> bool:
-    return isinstance(schema, dict) and bool(schema) and set(schema) <= _FLAT | _NOTES
+def _if(test: str, found: str) -> str:
+    return f"CASE WHEN {test} THEN {found} ELSE {_NONE} END"
+
+
+def _broken(path: str, rule: str, test: str) -> str:
+    return _if(test, f"array(named_struct('path', {path}, 'rule', {_text(rule)}))")
+
+
+class _Value(NamedTuple):
+    """A VARIANT: SQL of one, and the path of keys and positions from there. Maps are costlier: all that an object holds is copied for one."""
+
+    base: str
+    steps: str = ""
+
+    @property
+    def sql(self) -> str:
+        return f"try_variant_get({self.base}, '${self.steps}', 'variant')" if self.steps else self.base
+
+    @property
+    def object(self) -> str:
+        return f"try_cast({self.sql} AS map<string,variant>)"
+
+    @property
+    def keys(self) -> str:
+        """Null for all that is no object."""
+        return f"map_keys({self.object})"
+
+    @property
+    def list(self) -> str:
+        return f"try_cast({self.sql} AS array<variant>)"
+
+    def at(self, key: str) -> _Value:
+        if re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", key):  # paths don't take every key
+            return _Value(self.base, f"{self.steps}.{key}")
+        return _Value(f"try_element_at({self.object}, {_text(key)})")
 
 
 class _Compiler:
@@ -72,11 +111,6 @@ class _Compiler:
         """A variable's name that no other has."""
         return f"x{next(self.names)}"
 
-    def once(self, value: str, body: Callable[[str], str]) -> str:
-        """``body`` of a value that is worked out once."""
-        x = self.name()
-        return f"get(transform(array({value}), {x} -> {body(x)}), 0)"
-
     def resolved(self, schema: dict | bool, within: tuple[str, ...]) -> tuple[dict | bool, tuple[str, ...]]:
         while isinstance(schema, dict) and "$ref" in schema:
             reference = schema["$ref"]
@@ -89,35 +123,37 @@ class _Compiler:
                 schema = schema[step.replace("~1", "/").replace("~0", "~")]
         return schema, within
 
-    def node(self, value: str, path: str, schema: dict | bool, within: tuple[str, ...]) -> str:
-        """Rules that ``value`` (SQL of a VARIANT) breaks; one that is absent, SQL null, breaks none."""
+    def node(self, value: _Value, path: str, schema: dict | bool, within: tuple[str, ...]) -> list[str]:
+        """Rules that ``value`` breaks, as SQL of arrays; one that is absent, SQL null, breaks none."""
         schema, within = self.resolved(schema, within)
         if schema is True or schema == {}:
-            return _NONE
+            return []
         if schema is False:
-            return _broken(path, [("false", f"{value} IS NOT NULL")])
+            return [_broken(path, "false", f"{value.sql} IS NOT NULL")]
         if unknown := set(schema) - _KNOWN - _NOTES:
             raise ValueError(f"unknown keywords: {sorted(unknown)}")
-        if _is_flat(schema):
-            return self.once(value, lambda v: _broken(path, [(rule, f"{v} IS NOT NULL AND {test}") for rule, test in self.flat(v, schema)]))
-
-        def bound(b: str) -> str:
-            own = _broken(f"{b}.path", [*self.flat(f"{b}.v", schema), *self.whole(b, schema, within)])
-            return f"CASE WHEN {b}.v IS NULL THEN {_NONE} ELSE concat({', '.join([own, *self.parts(b, schema, within)])}) END"
+        own = [*self.flat(value, schema), *self.whole(value, schema, within)]
+        return [*(_broken(path, rule, f"{value.sql} IS NOT NULL AND {test}") for rule, test in own), *self.parts(value, path, schema, within)]
 
-        return self.once(f"named_struct('v', {value}, 'path', {path}, 'object', try_cast({value} AS map<string,variant>), 'list', try_cast({value} AS array<variant>))", bound)
+    def breaks(self, value: _Value, schema: dict | bool, within: tuple[str, ...]) -> str:
+        return f"size({_joined(self.node(value, chr(39) * 2, schema, within))}) > 0"
 
-    def breaks(self, value: str, schema: dict | bool, within: tuple[str, ...]) -> str:
-        return f"size({self.node(value, chr(39) * 2, schema, within)}) > 0"
+    def guarded(self, values: str, x: str, value: _Value, schema: dict | bool, within: tuple[str, ...], found: str) -> str:
+        """``found`` where one of ``values`` (bound to ``x``, its VARIANT is ``value``) may break a rule: of schemas of single values this test is much less work."""
+        schema, _ = self.resolved(schema, within)
+        if not isinstance(schema, dict) or not set(schema) <= _FLAT | _NOTES:
+            return found
+        return _if(f"exists({values}, {x} -> {value.sql} IS NOT NULL AND ({' OR '.join(f'({test})' for _, test in self.flat(value, schema)) or 'false'}))", found)
 
-    def flat(self, v: str, schema: dict) -> Iterator[tuple[str, str]]:
+    def flat(self, value: _Value, schema: dict) -> Iterator[tuple[str, str]]:
         """(keyword, condition under which it is broken) of what a value itself is."""
-        kind = f"schema_of_variant({v})"
+        v = value.sql
+        kind = f"schema_of_variant({v})"  # costly for objects and arrays, whose types are told by casts
         number, text = f"try_cast({v} AS double)", f"try_cast({v} AS string)"
         is_text = f"{kind} = 'STRING'"
         is_number = f"({kind} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR {kind} LIKE 'DECIMAL%')"
         of_kind = {
-            "string": is_text, "boolean": f"{kind} = 'BOOLEAN'", "null": f"{kind} = 'VOID'", "number": is_number, "object": f"{kind} LIKE 'OBJECT%'", "array": f"{kind} LIKE 'ARRAY%'",
+            "string": is_text, "boolean": f"{kind} = 'BOOLEAN'", "null": f"{kind} = 'VOID'", "number": is_number, "object": f"{value.keys} IS NOT NULL", "array": f"{value.list} IS NOT NULL",
             "integer": f"({kind} = 'BIGINT' OR ({is_number} AND {number} = floor({number})))",  # however it is written
         }
         if "type" in schema:
@@ -147,60 +183,70 @@ class _Compiler:
             if word in schema:
                 yield word, f"{is_number} AND {form.format(number, repr(float(schema[word])))}"
 
-    def whole(self, b: str, schema: dict, within: tuple[str, ...]) -> Iterator[tuple[str, str]]:
+    def whole(self, value: _Value, schema: dict, within: tuple[str, ...]) -> Iterator[tuple[str, str]]:
         """As ``flat``, of what a value holds altogether."""
-        sizes = {"minItems": ("list", "<"), "maxItems": ("list", ">"), "minProperties": ("object", "<"), "maxProperties": ("object", ">")}
+        sizes = {"minItems": (value.list, "<"), "maxItems": (value.list, ">"), "minProperties": (value.keys, "<"), "maxProperties": (value.keys, ">")}
         for word, (part, sign) in sizes.items():
             if word in schema:
-                yield word, f"{b}.{part} IS NOT NULL AND size({b}.{part}) {sign} {int(schema[word])}"
+                yield word, f"{part} IS NOT NULL AND size({part}) {sign} {int(schema[word])}"
         x = self.name()
         if schema.get("uniqueItems"):
-            yield "uniqueItems", f"{b}.list IS NOT NULL AND size(array_distinct(transform({b}.list, {x} -> to_json({x})))) < size({b}.list)"
+            yield "uniqueItems", f"{value.list} IS NOT NULL AND size(array_distinct(transform({value.list}, {x} -> to_json({x})))) < size({value.list})"
         if "contains" in schema:
-            yield "contains", f"{b}.list IS NOT NULL AND NOT exists({b}.list, {x} -> NOT ({self.breaks(x, schema['contains'], within)}))"
+            yield "contains", f"{value.list} IS NOT NULL AND NOT exists({value.list}, {x} -> NOT ({self.breaks(_Value(x), schema['contains'], within)}))"
         if "anyOf" in schema:
-            yield "anyOf", " AND ".join(self.breaks(f"{b}.v", s, within) for s in schema["anyOf"])
+            yield "anyOf", " AND ".join(self.breaks(value, s, within) for s in schema["anyOf"])
         if "oneOf" in schema:
-            yield "oneOf", " + ".join(f"int(NOT ({self.breaks(f'{b}.v', s, within)}))" for s in schema["oneOf"]) + " <> 1"
+            yield "oneOf", " + ".join(f"int(NOT ({self.breaks(value, s, within)}))" for s in schema["oneOf"]) + " <> 1"
         if "not" in schema:
-            yield "not", f"NOT ({self.breaks(f'{b}.v', schema['not'], within)})"
+            yield "not", f"NOT ({self.breaks(value, schema['not'], within)})"
 
-    def parts(self, b: str, schema: dict, within: tuple[str, ...]) -> list[str]:
+    def parts(self, value: _Value, path: str, schema: dict, within: tuple[str, ...]) -> list[str]:
         """Broken rules below a value, and those that name one of its keys."""
-        named, patterns = schema.get("properties", {}), schema.get("patternProperties", {})
-        keys, out = f"map_keys({b}.object)", []
+        named, patterns, required = schema.get("properties", {}), schema.get("patternProperties", {}), schema.get("required", [])
+        out = []
 
         def keyed(found: str, rule: str) -> str:
             k = self.name()
-            return f"coalesce(transform({found}, {k} -> named_struct('path', {_below(f'{b}.path', k)}, 'rule', {_text(rule)})), {_NONE})"
+            return f"coalesce(transform({found}, {k} -> named_struct('path', {_below(path, k)}, 'rule', {_text(rule)})), {_NONE})"
 
         def each(entries: str, below: dict | bool) -> str:
-            e = self.name()
-            return f"coalesce(flatten(transform({entries}, {e} -> {self.node(f'{e}.value', _below(f'{b}.path', f'{e}.key'), below, within)})), {_NONE})"
-
-        if schema.get("required"):
-            out.append(keyed(f"array_except({_texts(schema['required'])}, {keys})", "required"))
-        out += [self.node(f"try_element_at({b}.object, {_text(n)})", _below(f"{b}.path", _text(n)), below, within) for n, below in named.items()]
+            e, one = self.name(), self.name()
+            return self.guarded(entries, one, _Value(f"{one}.value"), below, within, f"coalesce(flatten(transform({entries}, {e} -> {_joined(self.node(_Value(f'{e}.value'), _below(path, f'{e}.key'), below, within))})), {_NONE})")
+
+        if required:
+            absent = " OR ".join(f"{value.at(n).sql} IS NULL" for n in required)
+            out.append(_if(f"{value.keys} IS NOT NULL AND ({absent})", keyed(f"array_except({_texts(required)}, {value.keys})", "required")))
+        for n, below in named.items():
+            out += self.node(value.at(n), _below(path, _text(n)), below, within)
         k = self.name()
-        out += [each(f"filter(map_entries({b}.object), {k} -> regexp_like({k}.key, {_text(p)}))", below) for p, below in patterns.items()]
+        out += [each(f"filter(map_entries({value.object}), {k} -> regexp_like({k}.key, {_text(p)}))", below) for p, below in patterns.items()]
         other = schema.get("additionalProperties", True)
         if other is not True and other != {}:
             free = lambda key: " AND ".join([f"NOT array_contains({_texts(named)}, {key})", *(f"NOT regexp_like({key}, {_text(p)})" for p in patterns)])
-            out.append(keyed(f"filter({keys}, {k} -> {free(k)})", "additionalProperties") if other is False else each(f"filter(map_entries({b}.object), {k} -> {free(f'{k}.key')})", other))
+            entries = f"filter(map_entries({value.object}), {k} -> {free(f'{k}.key')})" if named or patterns else f"map_entries({value.object})"
+            more = f"array_except({value.keys}, {_texts(named)})"
+            if other is not False:
+                out.append(each(entries, other))
+            else:
+                out.append(_if(f"size({more}) > 0", keyed(f"filter({value.keys}, {k} -> {free(k)})" if patterns else more, "additionalProperties")))
         if "propertyNames" in schema:
-            as_value = f"try_cast(parse_json(to_json(array({k}))) AS array<variant>)[0]"
-            out.append(keyed(f"filter({keys}, {k} -> {self.breaks(as_value, schema['propertyNames'], within)})", "propertyNames"))
+            as_value = _Value(f"try_cast(parse_json(to_json(array({k}))) AS array<variant>)[0]")
+            out.append(keyed(f"filter({value.keys}, {k} -> {self.breaks(as_value, schema['propertyNames'], within)})", "propertyNames"))
         items = schema.get("items", True)
         first = len(items) if isinstance(items, list) else 0
         if first:
-            out += [self.node(f"get({b}.list, {i})", _below(f"{b}.path", f"'{i}'"), below, within) for i, below in enumerate(items)]
+            for i, below in enumerate(items):
+                out += self.node(value._replace(steps=f"{value.steps}[{i}]"), _below(path, f"'{i}'"), below, within)
         rest = schema.get("additionalItems", True) if isinstance(items, list) else items
         if rest is not True and rest != {}:
-            x, i = self.name(), self.name()
-            walked = self.node(x, _below(f"{b}.path", f"cast({i} AS string)"), rest, within)
-            out.append(f"coalesce(flatten(transform({b}.list, ({x}, {i}) -> CASE WHEN {i} >= {first} THEN {walked} ELSE {_NONE} END)), {_NONE})")
-        out += [self.node(f"{b}.v", f"{b}.path", s, within) for s in schema.get("allOf", [])]
+            x, i, one = self.name(), self.name(), self.name()
+            walked = _joined(self.node(_Value(x), _below(path, f"cast({i} AS string)"), rest, within))
+            walked = _if(f"{i} >= {first}", walked) if first else walked
+            out.append(self.guarded(value.list, one, _Value(one), rest, within, f"coalesce(flatten(transform({value.list}, ({x}, {i}) -> {walked})), {_NONE})"))
+        for s in schema.get("allOf", []):
+            out += self.node(value, path, s, within)
         if "if" in schema:
-            then, otherwise = (self.node(f"{b}.v", f"{b}.path", schema.get(w, True), within) for w in ("then", "else"))
-            out.append(f"CASE WHEN {self.breaks(f'{b}.v', schema['if'], within)} THEN {otherwise} ELSE {then} END")
+            then, otherwise = (_joined(self.node(value, path, schema.get(w, True), within)) for w in ("then", "else"))
+            out.append(f"CASE WHEN {self.breaks(value, schema['if'], within)} THEN {otherwise} ELSE {then} END")
         return out

@@ -69,3 +69,13 @@ def test_blanks_without_reason(spark):
     rows = [("1", ("", "v", False), {}), ("2", ("", "", True), {"x": "scan", "y": "none"}), ("3", ("a", "", True), None), ("4", (None, "b", None), {})]
     got = {r["filename"]: (r["nulls"], r["unexplained"]) for r in checks.nulls_and_blanks(spark.createDataFrame(rows, kind)).collect()}
     assert got == {"1": ([], ["x"]), "3": (["missing_reasons"], ["y"]), "4": (["metadata.x", "metadata.flag"], [])}
+
+
+def test_generated_code_does_the_checks(spark):
+    """A generator's argument is worked out node by node, without generated code; so a column holds it, and values at fixed paths need no lambda."""
+    found = violations(spark.createDataFrame([(1, "{}")], "id int, json string"), schemas.RECORD, "id")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(_broken" in plan
+    flat = {"type": "object", "properties": {"a": {"type": "object", "properties": {"b": {"type": "integer", "minimum": 1}}, "required": ["b"]}}}
+    shallow = violations(spark.createDataFrame([(1, '{"a": {"b": 0}}'), (2, '{"a": {}}'), (3, '{"a": {"b": 1}}')], "id int, json string"), flat, "id")
+    assert sorted(map(tuple, shallow.collect())) == [(1, "a/b", "minimum"), (2, "a/b", "required")]
