@@ -42,15 +42,15 @@ def left_broadcast(df: DataFrame, small: DataFrame, on: str, limit_bytes: int =
 HOT, HOT_KEYS = 100_000, 100_000
 
 
-def join_to_one(df: DataFrame, one: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+def join_to_one(df: DataFrame, one: DataFrame, key: str, limit: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """Inner join of ``df`` with ``one``, which has one row per key, where a single key may hold a large part of ``df``.
 
     Keys of more than ``limit`` rows are counted first, by an aggregate that combines before its shuffle. Their rows
     are dealt by a hash of all their columns over parts of about ``limit``, the same if a task is repeated, and their
-    row of ``one`` goes to each part; other keys have one part.
+    row of ``one`` goes to each part; other keys have one part. ``sizes`` (key, _n) spares the count where it is known.
     """
     limit = limit or HOT
-    hot = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    hot = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")) if sizes is None else sizes).where(F.col("_n") > limit)
     hot = written(hot.select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")), "hot-keys")
     found = hot.count()  # at most the rows of ``df`` divided by the limit
     if not found:
