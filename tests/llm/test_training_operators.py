@@ -321,6 +321,28 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_links_leave_few_files(spark, monkeypatch):
+    """Whatever the number of shuffle partitions: each file costs a process on a local disk, a request elsewhere."""
+    count, written_at = {}, components.written_at
+
+    def counted(df, path):
+        out = written_at(df, path)
+        count[path.rpartition("/")[2].partition("-")[0]] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(components, "written_at", counted)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in zip(old, ("40", "false"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        links = spark.range(300).selectExpr("id as a", "id + 1 as b")
+        assert components.connected_components(links).agg({"component": "max"}).first()[0] == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert max(v for k, v in count.items() if k != "links") <= spark.sparkContext.defaultParallelism
+
+
 def test_split_hot_meets_every_pair_once(spark):
     df = spark.createDataFrame([(1, i) for i in range(23)] + [(2, 100)], "key long, member long")
     met = Counter()
