@@ -17,6 +17,8 @@ from letterloom.llm import dac
 from letterloom.llm.common import partitions, text_batches
 from letterloom.llm.tokens import id_encoder
 
+#: Parts that a worker remembers: rare words come again after long stretches, and 150 000 more take about 40 MB.
+REMEMBERED = 350_000
 MANIFEST = "part int, seq int, file string, n_docs long, n_ids long"
 READ = "file string, place int, doc_id long, begin long, n_tokens long, ids_crc32 long"
 
@@ -35,7 +37,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        encode = id_encoder(vocabulary)
+        encode = id_encoder(vocabulary, REMEMBERED)
         end = np.array([end_id], "<u4").tobytes()
         part, seq = TaskContext.get().partitionId(), 0
         ids: list[bytes] = []
