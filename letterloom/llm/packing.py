@@ -32,11 +32,10 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int =
         end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             keys = batch.column("doc_id").to_pylist()
-            for begin, texts in text_batches(batch.column("text"), 2_000_000):
+            for begin, texts in text_batches(batch.column("text")):
                 rows: list[tuple] = []
-                for k, values in enumerate(encode(texts)):
-                    values.append(end)
-                    ids = b"".join(values)
+                for k, ids in enumerate(encode.joined(texts)):
+                    ids += end
                     rows += [(keys[begin + k], p // step, p // 4, min(len(ids) - p, step) // 4, ids[p : p + step]) for p in range(0, len(ids), step)]
                 doc, piece, start, length, ids = zip(*rows, strict=True)
                 yield pa.record_batch(

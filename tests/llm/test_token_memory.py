@@ -41,3 +41,21 @@ def test_ids_are_the_librarys_whatever_is_remembered():
     for at in range(0, len(texts), 7):
         for text, values in zip(texts[at : at + 7], encode(texts[at : at + 7]), strict=True):
             assert np.frombuffer(b"".join(values), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
+
+
+def test_joined_ids_are_the_librarys_and_only_different_parts_are_looked_up():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"Wort{x}," if x > 60 else "the" for x in rng.integers(0, 200, 90)) for _ in range(30)]
+    texts += ["", " ", "\n", "a\nb", " a", "a  b", "a\tb\r\nc", "\u00e9 \u0130 <|x|>", "<|endoftext|> A", "\u65e5\u672c \x00 \u8a9e"]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        tok, encode = tokens.load(path), tokens.id_encoder(path, 50)
+        asked, values = [], encode._values
+        encode._values = lambda known, parts, lead, asked=asked, values=values: asked.append(list(parts)) or values(known, parts, lead)
+        for at in range(0, len(texts), 9):
+            some = texts[at : at + 9]
+            assert [np.frombuffer(ids, "<u4").tolist() for ids in encode.joined(some)] == [tok.encode(t, add_special_tokens=False).ids for t in some]
+        assert encode.joined([]) == []
+        if name.startswith("word"):
+            assert all(len(parts) == len(set(parts)) for parts in asked)
+    tokens.id_encoder.cache_clear()
