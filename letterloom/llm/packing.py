@@ -20,6 +20,29 @@ from letterloom.llm.tokens import id_encoder
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids binary"
 
 
+def _pieces(vocabulary: str, end_id: int, capacity: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = id_encoder(vocabulary)
+        end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
+        try:
+            for batch in batches:
+                keys = batch.column("doc_id").to_pylist()
+                for begin, texts in text_batches(batch.column("text")):
+                    rows: list[tuple] = []
+                    for k, ids in enumerate(encode.joined(texts)):
+                        ids += end
+                        rows += [(keys[begin + k], p // step, p // 4, min(len(ids) - p, step) // 4, ids[p : p + step]) for p in range(0, len(ids), step)]
+                    doc, piece, start, length, ids = zip(*rows, strict=True)
+                    yield pa.record_batch(
+                        [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
+                        names=["doc_id", "piece", "start", "length", "ids"],
+                    )
+        finally:  # workers stay for other stages, and by this much larger otherwise
+            encode.forget()
+
+    return run
+
+
 def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 4096) -> DataFrame:
     """Pieces of at most ``capacity`` ids of every document: uid (one per row), doc_id, piece, start, length, ids.
 
@@ -27,24 +50,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int =
     little-endian uint32. Write the result before packing it: uid numbers the rows of this computation.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = id_encoder(vocabulary)
-        end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
-        for batch in batches:
-            keys = batch.column("doc_id").to_pylist()
-            for begin, texts in text_batches(batch.column("text")):
-                rows: list[tuple] = []
-                for k, ids in enumerate(encode.joined(texts)):
-                    ids += end
-                    rows += [(keys[begin + k], p // step, p // 4, min(len(ids) - p, step) // 4, ids[p : p + step]) for p in range(0, len(ids), step)]
-                doc, piece, start, length, ids = zip(*rows, strict=True)
-                yield pa.record_batch(
-                    [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
-                    names=["doc_id", "piece", "start", "length", "ids"],
-                )
-
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    pieces = docs.mapInArrow(_pieces(vocabulary, end_id, capacity), "doc_id long, piece int, start long, length long, ids binary")
     return pieces.select(F.monotonically_increasing_id().alias("uid"), "*")
 
 

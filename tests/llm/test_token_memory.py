@@ -2,8 +2,9 @@
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 
-from letterloom.llm import tokens
+from letterloom.llm import packing, tokens
 
 
 def test_parts_met_in_every_generation_stay_recent():
@@ -59,3 +60,11 @@ def test_joined_ids_are_the_librarys_and_only_different_parts_are_looked_up():
         if name.startswith("word"):
             assert all(len(parts) == len(set(parts)) for parts in asked)
     tokens.id_encoder.cache_clear()
+
+
+def test_a_packing_task_leaves_nothing_remembered_in_its_worker():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = pa.record_batch([pa.array([1, 2]), pa.array(["some words, again words", None])], names=["doc_id", "text"])
+    assert [x for b in packing._pieces(path, 1, 4096)(iter([texts])) for x in b.column("doc_id").to_pylist()] == [1, 2]
+    encode = tokens.id_encoder(path)
+    assert not encode.first.recent and not encode.first.older and not encode.marks
